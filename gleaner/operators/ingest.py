@@ -67,9 +67,21 @@ def link_limit(max_jobs: int) -> int:
     return max(max_jobs * 6, max_jobs + 12)
 
 
-def buffer_links(links: DataFrame, max_jobs: int, listing: str = "listing_id", order: str = "place") -> DataFrame:
-    """The first distinct links of every listing, enough to fill ``max_jobs``."""
-    return top_n(ordered_distinct(links, [listing, "url"], order), listing, order, link_limit(max_jobs))
+def buffer_links(links: DataFrame, max_jobs: int, chunk: str = "chunk_no", place: str = "place") -> DataFrame:
+    """Enough links per listing to fill ``max_jobs``, each once.
+
+    A chunk gives at most the limit, and is read only while the chunks before it gave fewer than that.
+    """
+    limit = link_limit(max_jobs)
+    capped = top_n(ordered_distinct(links, ["listing_id", chunk, "url"], place), ["listing_id", chunk], place, limit)
+    placed = capped.select("listing_id", "url", F.struct(chunk, place).alias("place"))
+    firsts = ordered_distinct(placed, ["listing_id", "url"], "place")
+    filled = top_n(firsts, "listing_id", "place", limit, "rank").filter(F.col("rank") == limit)
+    last_chunk = filled.select("listing_id", F.col(f"place.{chunk}").alias("last_chunk"))
+    kept = firsts.join(last_chunk, "listing_id", "left").filter(
+        F.col("last_chunk").isNull() | (F.col(f"place.{chunk}") <= F.col("last_chunk"))
+    )
+    return kept.select("listing_id", "url", "place")
 
 
 def cap_with_spillover(
