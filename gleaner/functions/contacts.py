@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
-from gleaner.functions.nodes import let
-from gleaner.functions.text import blank_to_null, normalize_space, strip_space
+from gleaner.functions.text import blank_to_null, let, normalize_space, strip_space
 
 
 def _null() -> Column:

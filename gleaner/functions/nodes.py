@@ -8,16 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.functions.markup import VOID_TAGS
-from gleaner.functions.text import blank_to_null, normalize_space, split_lines, strip_space
+from gleaner.functions.text import blank_to_null, let, normalize_space, split_lines, strip_space
 
 Predicate = Callable[[Column], Column]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times, inside lambdas too."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def attr(node: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(node["attrs"], F.lit(name)), F.lit(""))
 

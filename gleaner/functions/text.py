@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ SPACE = r"[\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
@@ -86,11 +92,15 @@ def drop_blank_fields(fields: Column) -> Column:
 
 def dedupe_ci(values: Column) -> Column:
     """Case-insensitive distinct of an array; the first spelling stays, in order."""
-    lowered = F.transform(values, F.lower)
-    return F.transform(
-        F.array_distinct(lowered),
-        lambda key: F.try_element_at(values, F.array_position(lowered, key).cast("int")),
-    )
+
+    def with_keys(pair: Column) -> Column:
+        return F.transform(
+            F.array_distinct(pair["keys"]),
+            lambda key: F.get(pair["spellings"], (F.array_position(pair["keys"], key) - 1).cast("int")),
+        )
+
+    spellings = F.struct(values.alias("spellings"), F.transform(values, F.lower).alias("keys"))
+    return let(spellings, with_keys)
 
 
 def clamp(value: Column, low: int, high: int) -> Column:

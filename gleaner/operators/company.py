@@ -26,11 +26,10 @@ from gleaner.functions.nodes import (
     has_class,
     id_and_class,
     is_element,
-    let,
     remove,
 )
 from gleaner.functions.records import verbatim_or_rule
-from gleaner.functions.text import blank_to_null, strip_code_fence, strip_space
+from gleaner.functions.text import blank_to_null, let, strip_code_fence, strip_space
 from gleaner.functions.urls import mailto_address
 from gleaner.operators.pages import (
     SILENT_TAGS,

@@ -21,15 +21,14 @@ from gleaner.functions.nodes import (
     inside_any,
     is_element,
     keep_span,
-    let,
     remove,
     remove_spans,
     render_html,
     spans,
     text_pieces,
 )
-from gleaner.functions.text import blank_to_null, normalize_space, split_lines, strip_space
-from gleaner.functions.urls import detail_url_filter, detail_urls, is_job_url, numbered_page_urls
+from gleaner.functions.text import blank_to_null, dedupe_ci, let, normalize_space, split_lines, strip_space
+from gleaner.functions.urls import detail_url_filter, detail_urls, is_job_url, numbered_page_urls, tag_from_href
 
 SILENT_TAGS = ("script", "style", "noscript")
 
@@ -378,8 +377,6 @@ def company_home_fields(nodes: Column) -> Column:
 
 def company_tags(nodes: Column) -> Column:
     """Distinct tags of a page; until some tag is found, a container's own text is split up."""
-    from gleaner.functions.text import dedupe_ci
-    from gleaner.functions.urls import tag_from_href
 
     def is_container(n: Column) -> Column:
         named = F.contains(attr(n, "class"), F.lit("tag")) | F.contains(attr(n, "id"), F.lit("tag"))
@@ -448,7 +445,6 @@ def company_sections(nodes: Column) -> Column:
 
 def company_about_fields(nodes: Column) -> Column:
     """Struct of distinct images and the description of an about page."""
-    from gleaner.functions.text import dedupe_ci
 
     def of_page(page: Column) -> Column:
         content = F.coalesce(

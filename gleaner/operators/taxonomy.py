@@ -16,6 +16,7 @@ from gleaner.functions.taxonomy import is_low_information, job_prompt, job_text
 from gleaner.functions.text import blank_to_null, strip_space
 from gleaner.operators.ranking import global_position
 from gleaner.operators.shape import alias_coalesce, category_table
+from gleaner.session import cut_lineage
 
 # Category names compared per expression; larger taxonomies use several, in rank order.
 MENTION_CHUNK = 1000
@@ -96,11 +97,11 @@ def match_category_exact(jobs: DataFrame, selectable: DataFrame, out: str = "exa
     )
 
 
-def mentioned_category(text: Column, selectable: DataFrame) -> Column:
-    """Place of the first category in order whose name occurs in the text.
+def _with_mentions(jobs: DataFrame, selectable: DataFrame, text: Column) -> tuple[DataFrame, Column, list[str]]:
+    """The jobs with helper columns, the place of the first category named in the text, the helpers.
 
-    The names travel as sorted scalar arrays of bounded length; later arrays are read only
-    while earlier ones matched nothing, so any size of taxonomy gives the same answer.
+    The names travel as sorted scalar arrays of bounded length; later arrays are read only while
+    earlier ones matched nothing, so a taxonomy of any size gives the same answer.
     """
     places = selectable.filter("name != ''").select(category_place().alias("place"))
     chunks = max(1, -(-places.count() // MENTION_CHUNK))
@@ -112,22 +113,27 @@ def mentioned_category(text: Column, selectable: DataFrame) -> Column:
             numbered.filter((F.col("_n") > i * MENTION_CHUNK) & (F.col("_n") <= (i + 1) * MENTION_CHUNK))
             for i in range(chunks)
         ]
-    firsts = []
-    for group in groups:
-        names = group.agg(F.sort_array(F.collect_list("place")).alias("places")).scalar()
-        firsts.append(F.get(F.filter(names, lambda place: F.contains(text, place.lname)), F.lit(0)))
-    return F.coalesce(*firsts)
+    helpers = [f"_names_{i}" for i in range(chunks)]
+    arrays = [group.agg(F.sort_array(F.collect_list("place")).alias("places")).scalar() for group in groups]
+    held = jobs.withColumns(dict(zip(helpers, arrays)))
+    firsts = [
+        F.get(F.filter(F.col(name), lambda place: F.contains(text, place["lname"])), F.lit(0)) for name in helpers
+    ]
+    return held, F.coalesce(*firsts), helpers
 
 
 def match_category_mention(jobs: DataFrame, selectable: DataFrame, text: Column, out: str = "mentioned") -> DataFrame:
-    return jobs.withColumn("_text", text).withColumn(out, mentioned_category(F.col("_text"), selectable)).drop("_text")
+    """First category in order whose name occurs in the text."""
+    held, place, helpers = _with_mentions(jobs.withColumn("_text", text), selectable, F.col("_text"))
+    return held.withColumn(out, place).drop("_text", *helpers)
 
 
 def assign_category(jobs: DataFrame, categories: DataFrame | None) -> DataFrame:
     """Set ``category_id`` and ``category_name``: test rows, exact match, mention, Other, nothing."""
     if categories is None:
         return jobs.withColumns({"category_id": F.lit(""), "category_name": F.lit("")})
-    selectable = selectable_categories(categories)
+    # The dimension is read in four places below; written once, its source is worked out once.
+    selectable = cut_lineage(selectable_categories(categories))
     place = category_place()
     fixed = selectable.agg(
         F.struct(
@@ -136,17 +142,18 @@ def assign_category(jobs: DataFrame, categories: DataFrame | None) -> DataFrame:
         )
     ).scalar()
     staged = match_category_exact(jobs, selectable, "_exact").withColumns({"_fixed": fixed, "_text": job_text(jobs.columns)})
+    held, mentioned, helpers = _with_mentions(staged, selectable, F.col("_text"))
     for_tests = F.when(is_low_information(F.col("_text")), F.coalesce("_fixed.test", "_fixed.other"))
-    chosen = F.coalesce(for_tests, "_exact", mentioned_category(F.col("_text"), selectable), "_fixed.other")
+    chosen = F.coalesce(for_tests, "_exact", mentioned, "_fixed.other")
     return (
-        staged.withColumn("_chosen", chosen)
+        held.withColumn("_chosen", chosen)
         .withColumns(
             {
                 "category_id": F.coalesce("_chosen.id", F.lit("")),
                 "category_name": F.coalesce("_chosen.name", F.lit("")),
             }
         )
-        .drop("_exact", "_fixed", "_text", "_chosen")
+        .drop("_exact", "_fixed", "_text", "_chosen", *helpers)
     )
 
 
