@@ -194,9 +194,13 @@ def last_per_label(labels: Column, values: Column, key: str) -> Column:
     return F.try_element_at(pairs, F.lit(-1))["value"]
 
 
+def _tidy(lines: Column) -> Column:
+    return F.filter(F.transform(lines, normalize_space), lambda line: line != "")
+
+
 def parse_contact(lines: Column) -> Column:
     """Struct of the contact fields read from the lines of one block."""
-    return let(line_facts(pair_label_lines(lines)), _contact_of_facts)
+    return let(line_facts(pair_label_lines(_tidy(lines))), _contact_of_facts)
 
 
 def _contact_of_facts(facts: Column) -> Column:
@@ -266,7 +270,7 @@ def person_fields(lines: Column) -> Column:
 
     Whether a line is a value depends on the line before, so this is a fold over the positions.
     """
-    lines = pair_label_lines(F.filter(lines, lambda line: ~_bare_label(line).isin("contacts", "contact")))
+    lines = pair_label_lines(F.filter(_tidy(lines), lambda line: ~_bare_label(line).isin("contacts", "contact")))
 
     def facts_of(all_lines: Column) -> Column:
         return F.transform(

@@ -72,7 +72,7 @@ def descendants(nodes: Column, root: Column) -> Column:
 
 def remove(nodes: Column, wanted: Predicate) -> Column:
     """Take the fitting nodes off the page, with all below them."""
-    return let(spans(nodes, wanted), lambda roots: remove_spans(nodes, roots))
+    return let(nodes, lambda page: let(spans(page, wanted), lambda roots: remove_spans(page, roots)))
 
 
 def remove_spans(nodes: Column, roots: Column) -> Column:

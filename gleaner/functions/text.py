@@ -35,9 +35,12 @@ def normalize_space(value: Column) -> Column:
 
 
 def split_lines(value: Column) -> Column:
-    """Non-empty lines, each with its white space normalised."""
-    lines = F.transform(F.split(value, LINE_BREAK), normalize_space)
-    return F.filter(lines, lambda line: line != "")
+    """Non-empty lines, blanks within a line collapsed."""
+
+    def tidy(line: Column) -> Column:
+        return strip_space(F.regexp_replace(F.replace(line, F.lit("\u00a0"), F.lit(" ")), r"[ \t\r\f\x0b]+", " "))
+
+    return F.filter(F.transform(F.split(value, LINE_BREAK), tidy), lambda line: line != "")
 
 
 def truncate_text(value: Column, limit: int, suffix: str = "...") -> Column:

@@ -29,6 +29,7 @@ from gleaner.functions.nodes import (
 )
 from gleaner.functions.text import blank_to_null, dedupe_ci, let, normalize_space, split_lines, strip_space
 from gleaner.functions.urls import detail_url_filter, detail_urls, is_job_url, numbered_page_urls, tag_from_href
+from gleaner.operators.shape import settled
 
 SILENT_TAGS = ("script", "style", "noscript")
 
@@ -58,10 +59,11 @@ def page_text(pages: DataFrame, preserve_lines: bool = True, out: str = "page_te
     return parse_pages(pages).withColumn(out, text).drop("nodes")
 
 
-def job_text(nodes: Column) -> Column:
+def job_text(pages: DataFrame, out: str = "job_text") -> DataFrame:
     """Text given to the extraction model: scripts and page chrome removed."""
-    quiet = remove(nodes, lambda n: n["tag"].isin("script", "style"))
-    return F.array_join(text_pieces(strip_page_chrome(quiet)), "\n")
+    parsed = parse_pages(pages)
+    quiet = parsed.withColumn("nodes", remove(F.col("nodes"), lambda n: n["tag"].isin("script", "style")))
+    return strip_page_chrome(quiet).withColumn(out, F.array_join(text_pieces(F.col("nodes")), "\n")).drop("nodes")
 
 
 # --- links -----------------------------------------------------------------------------------
@@ -260,9 +262,11 @@ def page_urls(pages: DataFrame, listing: str = "page_id", max_pages: int = 10) -
 # --- detail html -----------------------------------------------------------------------------
 
 
-def strip_page_chrome(nodes: Column) -> Column:
-    """Take branding, cookie, hidden, apply and related-job blocks off the page."""
-    return let(nodes, lambda page: let(chrome_roots(page), lambda roots: remove_spans(page, roots)))
+def strip_page_chrome(pages: DataFrame, nodes: str = "nodes") -> DataFrame:
+    """Take branding, cookie, hidden, apply and related-job blocks off the pages."""
+    marked = settled(pages, {nodes: F.col(nodes)}).withColumn("_roots", chrome_roots(F.col(nodes)))
+    kept = F.when(F.col("_roots").isNotNull(), remove_spans(F.col(nodes), F.col("_roots"))).otherwise(F.col(nodes))
+    return marked.withColumn(nodes, kept).drop("_roots")
 
 
 def drop_empty_paragraphs(nodes: Column) -> Column:
@@ -323,10 +327,12 @@ def main_content(nodes: Column, plain: bool = False) -> Column:
 
 def detail_html(pages: DataFrame, plain: bool = False, out: str = "html_content") -> DataFrame:
     """Cleaned html of a detail page; the uncleaned main part where cleaning leaves nothing."""
-    staged = parse_pages(pages).withColumn("_main", main_content(F.col("nodes"), plain))
-    cleaned = render_html(drop_empty_paragraphs(strip_page_chrome(F.col("_main"))))
-    shown = F.when(strip_space(cleaned) != "", cleaned).otherwise(render_html(F.col("_main")))
-    return staged.withColumn(out, shown).drop("nodes", "_main")
+    main = parse_pages(pages).withColumn("_main", main_content(F.col("nodes"), plain)).drop("nodes")
+    cleaned = strip_page_chrome(main.withColumn("_clean", F.col("_main")), "_clean")
+    shown = cleaned.withColumn("_html", render_html(drop_empty_paragraphs(F.col("_clean"))))
+    return shown.withColumn(
+        out, F.when(strip_space(F.col("_html")) != "", F.col("_html")).otherwise(render_html(F.col("_main")))
+    ).drop("_main", "_clean", "_html")
 
 
 # --- company pages ---------------------------------------------------------------------------

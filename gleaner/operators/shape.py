@@ -32,6 +32,17 @@ def ensure_columns(df: DataFrame, schema: StructType) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Set columns behind a one-row generator.
+
+    The optimizer merges projections, which would repeat a costly array expression inside a lambda or
+    a Python step's argument; it does not merge across a generator.
+    """
+    kept = [F.col(name) for name in df.columns if name not in columns]
+    held = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select(*kept, F.inline(F.array(held)))
+
+
 def category_table(df: DataFrame) -> DataFrame:
     """``id, name, parent_id, active`` from a category table under any of its spellings."""
     parents, flags = present(df, K.CATEGORY_PARENT_KEYS), present(df, K.CATEGORY_ACTIVE_KEYS)

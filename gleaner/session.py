@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+_SHIPPED: set[tuple[str, str]] = set()
 
 
 def build_session(app_name: str = "gleaner", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,6 +27,20 @@ def build_session(app_name: str = "gleaner", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession, *packages: str) -> None:
+    """Give the executors these packages of the source tree, once per application.
+
+    Needed where the library is not installed on the cluster: Python steps run its functions there.
+    """
+    root = Path(__file__).resolve().parent.parent
+    for package in packages or (Path(__file__).resolve().parent.name,):
+        if (spark.sparkContext.applicationId, package) in _SHIPPED:
+            continue
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='gleaner-')}/{package}", "zip", root, package)
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add((spark.sparkContext.applicationId, package))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one only where the session names none."""
     jvm_context = spark.sparkContext._jsc.sc()

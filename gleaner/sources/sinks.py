@@ -29,7 +29,7 @@ def apply_category_updates(posts: DataFrame, updates: DataFrame, run_ts: datetim
 
     Also adds ``was_updated``, so the caller can count the changed rows.
     """
-    posts = ensure_columns(posts, StructType().add("categoryId", "int").add("updatedAt", "timestamp_ntz"))
+    posts = ensure_columns(posts, StructType.fromDDL("categoryId int, updatedAt timestamp_ntz"))
     new = updates.select(F.col("id").alias("_id"), strip_space(F.col("category_id")).try_cast("int").alias("_category"))
     new = new.filter(F.col("_category").isNotNull()).groupBy("_id").agg(F.max("_category").alias("_category"))
     now = F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz")
@@ -65,7 +65,7 @@ def load_state(spark: SparkSession, root: str, version: str, record_schema: Stru
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return None
     urls = spark.read.schema("source_url string, saved_at timestamp_ntz").parquet(hadoop.toString())
-    schema = StructType(list(record_schema.fields)).add("saved_at", "timestamp_ntz")
+    schema = StructType([*record_schema.fields, *StructType.fromDDL("saved_at timestamp_ntz").fields])
     return urls, spark.read.schema(schema).parquet(f"{root.rstrip('/')}/records/version={version}")
 
 
