@@ -74,7 +74,7 @@ select string_agg(line, chr(10) order by o, n, id) || chr(10) || chr(10) || '{K.
 
 def _taxonomy(spark, d):
     """The distinct second words of the part names under one parent, with Other and Test."""
-    part = read_table(spark, d, "part")
+    part = read_table(spark, d, "part", spread=True)
     words = part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name")).filter("name <> ''").distinct()
     children = words.select(F.concat(F.lit("c-"), "name").alias("id"), F.initcap("name").alias("name"), F.lit("root").alias("parent_id"))
     fixed = read_table(spark, d, "region").select(
@@ -95,7 +95,7 @@ TITLES = ["test job", "Cook", "demo sample", "Senior", "job title", ""]
 
 
 def _jobs(spark, d):
-    part = read_table(spark, d, "part")
+    part = read_table(spark, d, "part", spread=True)
     size = F.col("p_size") % 4
     return part.select(
         "p_partkey",

@@ -43,7 +43,7 @@ def pick_sql(values: list[str], index: str) -> str:
     return f"{sql_list(values)}[(({index}) % {len(values)}) + 1]"
 
 
-def pages(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+def pages(spark: SparkSession, folder: str, spread: bool = True) -> DataFrame:
     return read_table(spark, folder, "pages", spread)
 
 

@@ -8,6 +8,7 @@ from catalog.common import pick, pick_sql, quote, sql_list
 from gleaner import constants as K
 from gleaner.functions import contacts as C
 from gleaner.functions.text import split_lines
+from gleaner.operators.contacts import read_contacts
 from gleaner.sources.tables import read_table
 
 LABELS = ["Phone:", "Fax:", "x", "Email", "mobile 5", "Tel", "y", ":mail:", "Telephone", "z", "w"]
@@ -19,7 +20,7 @@ PREFIXES = [
 
 def _text_lines(spark, d):
     """Non-empty lines of each document, as an array."""
-    docs = read_table(spark, d, "documents").select("doc_id", split_lines(F.col("text")).alias("lines"))
+    docs = read_table(spark, d, "documents", spread=True).select("doc_id", split_lines(F.col("text")).alias("lines"))
     return docs.filter(F.size("lines") > 0)
 
 
@@ -220,8 +221,8 @@ from w join n on n.doc_id = w.doc_id and n.last_pos = w.pos"""
 
 def q_contact_lines(spark, d):
     """All contact fields of every document, read from its labelled and unlabelled lines."""
-    held = _prefixed(spark, d).withColumn("c", C.parse_contact(F.col("lines")))
-    return held.select("doc_id", *[F.col(f"c.{name}").alias(name) for name in K.CONTACT_FIELDS])
+    held = read_contacts(_prefixed(spark, d))
+    return held.select("doc_id", *[F.col(f"contact.{name}").alias(name) for name in K.CONTACT_FIELDS])
 
 
 def q_person_lines(spark, d):
@@ -233,8 +234,8 @@ def q_person_lines(spark, d):
 
 
 def _texts(spark, d):
-    docs = read_table(spark, d, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"), "text")
-    talk = read_table(spark, d, "conversations").select(F.lit("c").alias("kind"), F.col("conv_id").alias("id"), "turn", "text")
+    docs = read_table(spark, d, "documents", spread=True).select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"), "text")
+    talk = read_table(spark, d, "conversations", spread=True).select(F.lit("c").alias("kind"), F.col("conv_id").alias("id"), "turn", "text")
     return docs.unionByName(talk)
 
 

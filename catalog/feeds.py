@@ -17,7 +17,7 @@ def _configs(spark, d):
         F.lit('{"url":"'), F.when(F.col("n") > 3, F.concat(F.lit("https://feeds.example.com/"), "event_type")).otherwise(F.lit("")),
         F.lit('","fields":{"location":'), (F.col("top") > 95).cast("string"), F.lit("}}"),
     )
-    types = read_table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
+    types = read_table(spark, d, "events", spread=True).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
     users = types.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_type", feed.alias("feed")))).alias("feeds"))
     body = F.array_join(F.transform("feeds", lambda f: f["feed"]), ",")
     tail = F.when(F.size("feeds") == 4, F.lit("]")).otherwise(F.lit("]}"))
@@ -40,7 +40,7 @@ select cast(user_id as varchar) as config_id, 'site-' || user_id as site_id, fee
 
 
 def q_owner_lookup(spark, d):
-    sites = read_table(spark, d, "customer").select(
+    sites = read_table(spark, d, "customer", spread=True).select(
         F.concat(F.lit("site-"), F.col("c_custkey").cast("string")).alias("id"),
         F.when(F.col("c_mktsegment") == "BUILDING", F.lit("")).when(F.col("c_acctbal") > 0, F.col("c_name")).alias("userId"),
     )
@@ -55,7 +55,7 @@ from (select distinct user_id from events) u left join customer on c_custkey = u
 
 
 def q_ingest_summary(spark, d):
-    rows = read_table(spark, d, "events").select(
+    rows = read_table(spark, d, "events", spread=True).select(
         F.col("user_id").alias("config_id"), F.col("event_type").alias("feed_url"),
         (F.col("value") > 20).alias("is_new"), (F.col("value") > 60).alias("is_saved"),
     )
@@ -69,7 +69,7 @@ select user_id as config_id, event_type as feed_url, count(*) as scraped, count(
 
 def q_cap_spillover(spark, d):
     """Five feeds in order offer the same addresses; each saves its first ten new ones."""
-    rows = read_table(spark, d, "events").select(
+    rows = read_table(spark, d, "events", spread=True).select(
         F.col("event_type").alias("feed"), F.get_json_object("props", "$.k").alias("url"), "event_id"
     )
     saved = ingest.cap_with_spillover(rows.filter("url is not null"), ["feed"], "url", "event_id")
@@ -107,7 +107,7 @@ select l.l_orderkey, l_linenumber, l_partkey, cast(l.run as bigint) as run from
 
 
 def q_dedupe_composite(spark, d):
-    orders = read_table(spark, d, "orders").select(
+    orders = read_table(spark, d, "orders", spread=True).select(
         F.when(F.col("o_orderstatus") != "P", F.col("o_custkey") % 50).alias("title"), F.col("o_orderpriority").alias("url"),
         F.when(F.col("o_totalprice") > 250000, F.col("o_orderstatus")).alias("image"), "o_orderkey",
     )
@@ -120,7 +120,7 @@ select case when o_orderstatus <> 'P' then o_custkey % 50 end as title, o_orderp
 
 
 def q_dedupe_record(spark, d):
-    orders = read_table(spark, d, "orders").select(
+    orders = read_table(spark, d, "orders", spread=True).select(
         F.when(F.col("o_totalprice") > 150000, F.concat(F.lit(" "), (F.col("o_custkey") % 40).cast("string"))).alias("name"),
         F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")).otherwise("  ").alias("city"),
         "o_orderkey",
@@ -135,7 +135,7 @@ select min(o_orderkey) as o_orderkey, name, city from r where name is not null o
 
 
 def q_union_if_empty(spark, d):
-    orders = read_table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+    orders = read_table(spark, d, "orders", spread=True).select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
     boxes = orders.filter("o_orderstatus = 'F' and o_totalprice > 300000")
     return dedupe.union_if_empty(boxes, orders.filter("o_orderstatus = 'O'"), "o_custkey")
 

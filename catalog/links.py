@@ -63,7 +63,7 @@ from pages where coalesce(case when url like 'https:%' then url when contains(ur
 
 def q_lookup_orders(spark, d):
     returned = read_table(spark, d, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey")
-    orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    orders = read_table(spark, d, "orders", spread=True).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     return lookup_by_id(orders, returned, "o_orderkey")
 
 

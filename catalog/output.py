@@ -13,7 +13,7 @@ BLANKS = ["", " ", "Reno", "Ottawa, ON"]
 
 
 def _records(spark, d):
-    return read_table(spark, d, "customer").select(
+    return read_table(spark, d, "customer", spread=True).select(
         F.col("c_custkey").cast("string").alias("job_id"),
         F.col("c_name").alias("employer"),
         F.col("c_mktsegment").alias("job_title"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import pages, strip_sql
 from gleaner.operators import company as M
+from gleaner.operators import contacts as C
 from gleaner.operators import pages as P
 from gleaner.operators.dedupe import ordered_distinct
 
@@ -220,7 +221,7 @@ select page_id, {_FOLDER_SQL} || 'hero.png' as images, 'Maker of ' || page_id as
 
 
 def q_contact_records(spark, d):
-    contacts = M.contact_records(_companies(spark, d))
+    contacts = C.contact_records(_companies(spark, d))
     person = F.col("contact_person")
     return contacts.select(
         "page_id", "name", "address", "city", "state", "post_code", "country", "phone", "telephone", "fax", "mail",

@@ -22,7 +22,7 @@ COUNTRIES = ["", "", "", "", "", "", "", "america", "CAN.", "Germany"]
 
 def _customers(spark, d):
     key = F.col("c_custkey")
-    return read_table(spark, d, "customer").select(
+    return read_table(spark, d, "customer", spread=True).select(
         "c_custkey",
         F.concat(pick(HEADS, key), pick(TAILS, F.floor(key / 13))).alias("location"),
         pick(CITIES, F.floor(key / 3)).alias("city"),
@@ -115,7 +115,7 @@ SPELLINGS = ["CA", "usa", " United States of America ", "Canada.", "u.s.", "Peru
 
 
 def q_country_name(spark, d):
-    rows = read_table(spark, d, "customer").select("c_custkey", pick(SPELLINGS, F.col("c_custkey")).alias("country"))
+    rows = read_table(spark, d, "customer", spread=True).select("c_custkey", pick(SPELLINGS, F.col("c_custkey")).alias("country"))
     return rows.select("c_custkey", G.country_name(F.col("country")).alias("country"))
 
 
@@ -127,7 +127,7 @@ STATE_SPELLINGS = ["on", "QC.", "B.C.", "ca", "washington dc", "Bavaria", "pei",
 
 
 def q_state_name(spark, d):
-    rows = read_table(spark, d, "customer").select(
+    rows = read_table(spark, d, "customer", spread=True).select(
         "c_custkey",
         pick(STATE_SPELLINGS, F.col("c_custkey")).alias("state"),
         pick(["", "Canada", "United States", "Peru"], F.col("c_nationkey")).alias("country"),
@@ -153,7 +153,7 @@ def q_geo_ids(spark, d):
         )
     )
     # Every second customer names the state by code; the country may be a name, a code, wrong or absent.
-    customers = read_table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = read_table(spark, d, "customer", spread=True).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     customers = customers.join(region, F.col("r_regionkey") == F.when(F.col("c_acctbal") > 2000, F.col("n_regionkey")).otherwise((F.col("n_regionkey") + 1) % 5))
     rows = customers.select(
         "c_custkey",

@@ -18,7 +18,7 @@ ANSWERS = 6
 
 def _responses(spark, d):
     """Model answers in turn: fenced, plain with a list, broken, no object, none, and all kinds of values."""
-    e = read_table(spark, d, "events")
+    e = read_table(spark, d, "events", spread=True)
     title = F.concat(F.lit("Job "), F.col("event_type"), F.lit(" "), F.get_json_object("props", "$.k"))
     answers = F.array(
         F.concat(F.lit('```json\n{"job_title":"'), title, F.lit('","salary_range":null,"city":"Reno"}\n```')),
@@ -82,7 +82,7 @@ VERBATIM = ['{"description":"A  b\\n\\n\\n c "}', '{"description":null}', '{"des
 
 
 def q_verbatim(spark, d):
-    rows = read_table(spark, d, "events").select("event_id", "event_type", pick(VERBATIM, F.col("event_id")).alias("response"))
+    rows = read_table(spark, d, "events", spread=True).select("event_id", "event_type", pick(VERBATIM, F.col("event_id")).alias("response"))
     return rows.select("event_id", R.verbatim_or_rule(F.col("response"), F.col("event_type")).alias("description"))
 
 
@@ -94,7 +94,7 @@ select event_id, case event_id % 6 when 0 then 'A b' || chr(10) || chr(10) || 'c
 
 def _records(spark, d):
     """Order rows as job records under both spellings of their fields."""
-    o = read_table(spark, d, "orders").join(read_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = read_table(spark, d, "orders", spread=True).join(read_table(spark, d, "customer", spread=True), F.col("o_custkey") == F.col("c_custkey"))
     urgent = F.col("o_orderpriority") == "1-URGENT"
     return o.select(
         "o_orderkey",
@@ -131,7 +131,7 @@ select id, case when urgent then 'Alt ' || c_name else c_name end as "employerNa
 
 
 def q_update_rows(spark, d):
-    posts = read_table(spark, d, "orders").select(
+    posts = read_table(spark, d, "orders", spread=True).select(
         F.col("o_orderkey").cast("string").alias("id"), F.lit(0).alias("categoryId"), F.col("o_orderdate").cast("timestamp_ntz").alias("updatedAt")
     )
     updates = read_table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(
@@ -148,7 +148,7 @@ from orders left join u on o_orderkey = l_orderkey"""
 
 
 def q_ensure_columns(spark, d):
-    old = read_table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("employerName"))
+    old = read_table(spark, d, "customer", spread=True).select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("employerName"))
     wanted = StructType.fromDDL("id string, employerName string, categoryId int, requiredExperience string")
     new = read_table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_nationkey").alias("categoryId"))
     return shape.ensure_columns(old, wanted).unionByName(new, allowMissingColumns=True)

@@ -15,7 +15,7 @@ RUN_TS = datetime(2024, 6, 1, 12, 0, 0)
 
 
 def _documents(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", "text")
+    return read_table(spark, d, "documents", spread=True).select("doc_id", "text")
 
 
 def q_normalize_space(spark, d):
@@ -49,7 +49,7 @@ TAILS = ["", "\n```", "```  ", "\n``` x"]
 
 
 def q_code_fence(spark, d):
-    events = read_table(spark, d, "events")
+    events = read_table(spark, d, "events", spread=True)
     raw = F.concat(pick(FENCES, F.col("event_id")), F.col("props"), pick(TAILS, F.floor(F.col("event_id") / 4)))
     return events.select(
         "event_id",
@@ -72,7 +72,7 @@ select event_id, {_unfence("when starts_with(t, '```') then substr(t, 4)")} as a
 
 
 def q_first_int(spark, d):
-    events = read_table(spark, d, "events")
+    events = read_table(spark, d, "events", spread=True)
     texts = F.array(F.lit("none"), F.concat(F.col("user_id").cast("string"), F.lit("-9 years")), F.concat(F.lit("about "), F.col("props")), F.lit(""))
     years = F.get(texts, (F.col("event_id") % 4).cast("int"))
     return events.select("event_id", T.first_int(years).alias("years"))
@@ -86,7 +86,7 @@ LAYOUTS = [("yyyy-MM-dd", "%Y-%m-%d"), ("MMMM d, yyyy", "%B %-d, %Y"), ("MM/dd/y
 
 
 def q_deadline(spark, d):
-    orders = read_table(spark, d, "orders")
+    orders = read_table(spark, d, "orders", spread=True)
     stamp = F.col("o_orderdate")
     spelled = F.array(*[F.date_format(stamp, spark_layout) for spark_layout, _ in LAYOUTS], F.lit("open until filled"))
     text = F.get(spelled, (F.col("o_orderkey") % 5).cast("int"))
@@ -150,7 +150,7 @@ select doc_id, regexp_replace(replace(replace(t, chr(194) || chr(160), chr(160))
 
 
 def q_compact_map(spark, d):
-    customer = read_table(spark, d, "customer")
+    customer = read_table(spark, d, "customer", spread=True)
     fields = F.create_map(
         F.lit("name"), F.col("c_name"),
         F.lit("segment"), pick(["", " ", None, " ", "x"], F.col("c_custkey")),

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
-from gleaner.functions.text import blank_to_null, let, normalize_space, strip_space
+from gleaner.functions.text import blank_to_null, let, literal_map, normalize_space, strip_space
 
 
 def _null() -> Column:
@@ -14,7 +14,8 @@ def _null() -> Column:
 
 
 def extract_email(text: Column) -> Column:
-    return blank_to_null(F.regexp_extract(text, f"(?U){K.EMAIL_PATTERN}", 0))
+    found = blank_to_null(F.regexp_extract(text, f"(?U){K.EMAIL_PATTERN}", 0))
+    return F.when(F.contains(text, F.lit("@")), found)
 
 
 def looks_like_phone(text: Column) -> Column:
@@ -28,9 +29,8 @@ def has_contact_signal(text: Column) -> Column:
 def contact_label(text: Column) -> Column:
     """Contact field named by a table heading, NULL for other headings."""
     snake = F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
-    aliases = F.create_map(*[F.lit(item) for pair in K.CONTACT_LABEL_ALIASES.items() for item in pair])
     known = F.when(snake.isin(*K.CONTACT_FIELDS, "contact_person"), snake)
-    return F.coalesce(F.try_element_at(aliases, snake), known)
+    return F.coalesce(F.try_element_at(literal_map(K.CONTACT_LABEL_ALIASES), snake), known)
 
 
 def labeled_value(line: Column) -> Column:
@@ -40,7 +40,9 @@ def labeled_value(line: Column) -> Column:
         pattern = rf"(?iU)^(?:{names})\s*[:\-]?\s*(.+)$"
         found = F.struct(F.lit(key).alias("key"), strip_space(F.regexp_extract(line, pattern, 1)).alias("value"))
         chosen = F.when(line.rlike(pattern), found) if chosen is None else chosen.when(line.rlike(pattern), found)
-    return chosen
+    # One look at the start spares most lines the ten patterns.
+    any_label = "|".join(names for _, names in K.LABEL_PATTERNS)
+    return F.when(line.rlike(rf"(?iU)^(?:{any_label})"), chosen)
 
 
 def pair_label_lines(lines: Column) -> Column:
@@ -60,32 +62,31 @@ def is_canadian_post_code(line: Column) -> Column:
 
 def parse_city_state_post(line: Column) -> Column:
     """Struct(city, state, post_code) of "City ST A1A 1A1" or "City, ST 12345", else NULL."""
-    text = strip_space(line)
     canada, us = f"(?U){K.CITY_LINE_CANADA}", f"(?U){K.CITY_LINE_US}"
 
     def parts(city: Column, state: Column, post_code: Column) -> Column:
         return F.struct(city.alias("city"), F.upper(state).alias("state"), post_code.alias("post_code"))
 
-    return F.when(
-        text.rlike(canada),
-        parts(
-            F.btrim(F.regexp_extract(text, canada, 1), F.lit(", ")),
-            F.regexp_extract(text, canada, 2),
-            F.upper(F.regexp_extract(text, canada, 3)),
-        ),
-    ).when(
-        text.rlike(us),
-        parts(strip_space(F.regexp_extract(text, us, 1)), F.regexp_extract(text, us, 2), F.regexp_extract(text, us, 3)),
-    )
+    def group(pattern: str, number: int) -> Column:
+        return F.regexp_extract(strip_space(line), pattern, number)
+
+    found = F.when(
+        strip_space(line).rlike(canada),
+        parts(F.btrim(group(canada, 1), F.lit(", ")), group(canada, 2), F.upper(group(canada, 3))),
+    ).when(strip_space(line).rlike(us), parts(strip_space(group(us, 1)), group(us, 2), group(us, 3)))
+    # Both layouts end in a digit.
+    return F.when(line.rlike(r"(?U)\d\s*$"), found)
 
 
 def parse_city_state_country(line: Column) -> Column:
     """Struct(city, state, country) of a line with exactly three comma parts, else NULL."""
+
+    def three(parts: Column) -> Column:
+        named = F.struct(*[F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(("city", "state", "country"))])
+        return F.when(F.size(parts) == 3, named)
+
     parts = F.filter(F.transform(F.split(line, ","), strip_space), lambda part: part != "")
-    return F.when(
-        F.size(parts) == 3,
-        F.struct(F.get(parts, F.lit(0)).alias("city"), F.get(parts, F.lit(1)).alias("state"), F.get(parts, F.lit(2)).alias("country")),
-    )
+    return F.when(F.contains(line, F.lit(",")), let(parts, three))
 
 
 def heading_line(lines: Column) -> Column:
@@ -194,72 +195,10 @@ def last_per_label(labels: Column, values: Column, key: str) -> Column:
     return F.try_element_at(pairs, F.lit(-1))["value"]
 
 
-def _tidy(lines: Column) -> Column:
+def tidy_lines(lines: Column) -> Column:
     return F.filter(F.transform(lines, normalize_space), lambda line: line != "")
 
 
-def parse_contact(lines: Column) -> Column:
-    """Struct of the contact fields read from the lines of one block."""
-    return let(line_facts(pair_label_lines(_tidy(lines))), _contact_of_facts)
-
-
-def _contact_of_facts(facts: Column) -> Column:
-    plain = F.filter(
-        facts,
-        lambda f: ~f["skipped"] & f["labeled"].isNull() & ~F.endswith(f["line"], F.lit(":")),
-    )
-
-    def with_mail(free: Column) -> Column:
-        mail_label = first_labeled(facts, "mail")
-        first_email = F.get(F.filter(free, lambda f: f["email"].isNotNull()), F.lit(0))
-        email_wins = first_email.isNotNull() & (mail_label.isNull() | (first_email["i"] < mail_label["i"]))
-        mail = F.when(email_wins, first_email["email"]).otherwise(mail_label["value"])
-        taken = F.when(email_wins, first_email["i"])
-        rest = F.filter(
-            F.transform(
-                free,
-                lambda f: F.when(
-                    f["i"] == taken,
-                    F.btrim(F.replace(f["line"], f["email"], F.lit("")), F.lit(" :-")),
-                ).otherwise(f["line"]),
-            ),
-            lambda line: line != "",
-        )
-        return let(F.struct(mail.alias("mail"), rest.alias("rest")), with_name)
-
-    def with_name(found: Column) -> Column:
-        labeled = first_labeled(facts, "name")["value"]
-        heading = F.when(labeled.isNull(), heading_line(found["rest"]))
-        rest = F.when(heading.isNull(), found["rest"]).otherwise(F.filter(found["rest"], lambda line: line != heading))
-        head = F.struct(
-            found["mail"].alias("mail"), F.coalesce(labeled, heading).alias("name"), rest.alias("rest")
-        )
-        return let(head, with_address)
-
-    def with_address(found: Column) -> Column:
-        value = lambda key: first_labeled(facts, key)["value"]
-        place = address_fields(
-            found["rest"], found["name"], value("country"), value("post_code"), value("city"), value("state")
-        )
-        return let(
-            place,
-            lambda p: F.struct(
-                found["name"].alias("name"),
-                F.coalesce(value("address"), blank_to_null(F.array_join(p["address_lines"], ", "))).alias("address"),
-                p["city"].alias("city"),
-                p["post_code"].alias("post_code"),
-                p["state"].alias("state"),
-                p["country"].alias("country"),
-                value("telephone").alias("telephone"),
-                value("phone").alias("phone"),
-                value("fax").alias("fax"),
-                found["mail"].alias("mail"),
-            ),
-        )
-
-    return let(plain, with_mail)
-
-
 PERSON = "struct<name:string,email:string,phone:string,telephone:string,fax:string>"
 _PERSON_STATE = f"struct<person:{PERSON},first_free:string,skip:boolean>"
 _NAMED_LINE = r"(?iU)^(.+?)\s+(phone|telephone|tel|fax)\s*:\s*(.*)$"
@@ -270,7 +209,7 @@ def person_fields(lines: Column) -> Column:
 
     Whether a line is a value depends on the line before, so this is a fold over the positions.
     """
-    lines = pair_label_lines(F.filter(_tidy(lines), lambda line: ~_bare_label(line).isin("contacts", "contact")))
+    lines = pair_label_lines(F.filter(tidy_lines(lines), lambda line: ~_bare_label(line).isin("contacts", "contact")))
 
     def facts_of(all_lines: Column) -> Column:
         return F.transform(

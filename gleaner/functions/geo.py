@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
-from gleaner.functions.text import SPACE, blank_to_null
+from gleaner.functions.text import SPACE, blank_to_null, literal_map
 
 CANADA, UNITED_STATES = "Canada", "United States"
 
@@ -19,9 +19,8 @@ PROVINCES = _with_names(K.PROVINCE_CODES, K.PROVINCE_ALIASES)
 US_STATES = _with_names(K.US_STATE_CODES, K.US_STATE_ALIASES)
 
 
-def _lookup(table: dict, key: Column) -> Column:
-    pairs = [F.lit(item) for pair in table.items() for item in pair]
-    return F.try_element_at(F.create_map(*pairs), key)
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(literal_map(table), key)
 
 
 def clean_location_part(value: Column) -> Column:
@@ -69,14 +68,8 @@ def country_of_state(value: Column) -> Column:
 
 
 def city_hint(city: Column) -> Column:
-    """Struct(city, state, country) of a well-known city, else NULL."""
-    pairs = []
-    for name, (hint_city, state, country) in K.CITY_HINTS.items():
-        pairs += [
-            F.lit(name),
-            F.struct(F.lit(hint_city).alias("city"), F.lit(state).alias("state"), F.lit(country).alias("country")),
-        ]
-    return F.try_element_at(F.create_map(*pairs), F.lower(clean_location_part(city)))
+    """Array of city, state and country of a well-known city, else NULL."""
+    return F.try_element_at(literal_map(K.CITY_HINTS), F.lower(clean_location_part(city)))
 
 
 def location_key(value: Column) -> Column:
@@ -169,9 +162,9 @@ def standardize_location(
     gap = (F.col("_city") != "") & ((F.col("_state") == "") | (F.col("_country") == ""))
     hinted = named.withColumn("_hint", F.when(gap, city_hint(F.col("_city")))).withColumns(
         {
-            "_city": F.coalesce("_hint.city", "_city"),
-            "_state": F.coalesce(blank_to_null(F.col("_state")), F.col("_hint.state"), F.lit("")),
-            "_country": F.coalesce(blank_to_null(F.col("_country")), F.col("_hint.country"), F.lit("")),
+            "_city": F.coalesce(F.get("_hint", F.lit(0)), "_city"),
+            "_state": F.coalesce(blank_to_null(F.col("_state")), F.get("_hint", F.lit(1)), F.lit("")),
+            "_country": F.coalesce(blank_to_null(F.col("_country")), F.get("_hint", F.lit(2)), F.lit("")),
         }
     )
     final = hinted.withColumn("_country", fill_country(F.col("_state")))

@@ -119,7 +119,10 @@ def _escape(text: Column) -> Column:
 
 def render_html(nodes: Column) -> Column:
     """Markup of the live nodes."""
+    return let(nodes, _render)
 
+
+def _render(nodes: Column) -> Column:
     def attributes(node: Column) -> Column:
         entries = F.transform(
             F.map_entries(node["attrs"]),

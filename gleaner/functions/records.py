@@ -52,16 +52,19 @@ def extract_with_model(
 
 
 def _field(document: Column, name: str) -> Column:
-    """Text of one field: lists by lines, objects as JSON, booleans capitalised, null as ''."""
+    """Text of one field: lists by lines, objects as JSON, booleans capitalised, null as ''.
+
+    The kind of a value is asked only where its text looks like a list or a boolean.
+    """
     path = f"$.{name}"
-    items = F.try_variant_get(document, path, "array<string>")
-    flag = F.try_variant_get(document, path, "boolean")
+    text = F.try_variant_get(document, path, "string")
+    items = F.array_join(F.try_variant_get(document, path, "array<string>"), "\n", "None")
     is_flag = F.schema_of_variant(F.try_variant_get(document, path, "variant")) == "BOOLEAN"
-    return F.coalesce(
-        F.array_join(items, "\n", "None"),
-        F.when(is_flag, F.initcap(flag.cast("string"))),
-        F.try_variant_get(document, path, "string"),
-        F.lit(""),
+    return (
+        F.when(text.isNull(), F.lit(""))
+        .when(F.startswith(text, F.lit("[")), F.coalesce(items, text))
+        .when(text.isin("true", "false"), F.when(is_flag, F.initcap(text)).otherwise(text))
+        .otherwise(text)
     )
 
 

@@ -20,6 +20,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def literal_map(table: dict[str, str | tuple]) -> Column:
+    """Constant map; tuples become arrays. One expression text instead of a column per entry."""
+
+    def text(value: str | tuple) -> str:
+        if isinstance(value, tuple):
+            return f"array({', '.join(text(item) for item in value)})"
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return F.expr(f"map({', '.join(text(item) for pair in table.items() for item in pair)})")
+
+
 def blank_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
@@ -74,11 +85,17 @@ def first_int(value: Column) -> Column:
 
 
 def deadline_or_default(value: Column, run_ts: datetime, days: int = K.DEADLINE_DAYS) -> Column:
-    """The first layout that reads the text, else the run time plus some days."""
+    """The time the text spells in a known layout, else the run time plus some days.
+
+    The layout is picked by shape first: a failed parse costs far more than a pattern.
+    """
     text = strip_space(value)
-    parsed = [F.try_to_timestamp(text, F.lit(layout)) for layout in K.DEADLINE_FORMATS]
+    parsed = None
+    for shape, layout in K.DEADLINE_LAYOUTS.items():
+        moment = F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz")
+        parsed = F.when(text.rlike(shape), moment) if parsed is None else parsed.when(text.rlike(shape), moment)
     fallback = F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz") + F.make_interval(days=F.lit(days))
-    return F.coalesce(*[moment.cast("timestamp_ntz") for moment in parsed], fallback)
+    return F.coalesce(parsed, fallback)
 
 
 def fix_mojibake(value: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Company profiles: contact records of a page, and the profile of a company."""
+"""Company profiles: home, about and contact pages of a company in one nested row."""
 
 from __future__ import annotations
 
@@ -6,190 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
-from gleaner.functions.contacts import (
-    PERSON,
-    complete_contact,
-    contact_label,
-    has_contact_data,
-    has_contact_signal,
-    last_per_label,
-    parse_contact,
-    person_fields,
-)
-from gleaner.functions.nodes import (
-    attr,
-    clean_lines,
-    clean_text,
-    descendants,
-    find,
-    find_all,
-    has_class,
-    id_and_class,
-    is_element,
-    remove,
-)
+from gleaner.functions.contacts import complete_contact
+from gleaner.functions.markup import parse_nodes
 from gleaner.functions.records import verbatim_or_rule
-from gleaner.functions.text import blank_to_null, let, strip_code_fence, strip_space
-from gleaner.functions.urls import mailto_address
+from gleaner.functions.text import blank_to_null, strip_code_fence, strip_space
+from gleaner.operators.contacts import CONTACT, contacts_by_page
 from gleaner.operators.pages import (
-    SILENT_TAGS,
-    _middle,
     company_about_fields,
     company_home_fields,
     company_sections,
     company_tags,
-    lowest_matching,
     parse_pages,
 )
 
-CONTACT = "struct<" + ",".join(f"{name}:string" for name in K.CONTACT_FIELDS) + f",contact_person:{PERSON}>"
-
-
-def _no_person() -> Column:
-    return F.lit(None).cast(PERSON)
-
-
-def _box_contacts(page: Column) -> Column:
-    """Contacts of the marked contact boxes; a nested block describes the person."""
-
-    def of_box(box: Column) -> Column:
-        body = descendants(page, box)
-        person_node = find(body, lambda n: has_class(n, "locationcontact"))
-        person = let(
-            person_node, lambda n: F.when(n.isNotNull(), person_fields(clean_lines(descendants(page, n))))
-        )
-        rest = remove(body, lambda n: has_class(n, "locationcontact"))
-
-        def of_rest(kept: Column) -> Column:
-            strong = find(kept, lambda n: n["tag"] == "strong")
-            # The kept run starts right behind the box, so positions shift by its number.
-            strong_text = clean_text(
-                F.filter(kept, lambda n: (n["node"] > strong["node"]) & (n["node"] <= strong["last"]))
-            )
-            usable = (F.btrim(F.lower(strong_text), F.lit(":")) != "contacts") & ~F.endswith(strong_text, F.lit(":"))
-            heading = F.when(F.coalesce(usable, F.lit(False)), strong_text)
-            read = parse_contact(clean_lines(kept))
-            return let(
-                F.struct(read.alias("contact"), heading.alias("heading"), person.alias("person")),
-                lambda found: F.struct(
-                    found["contact"].withField("name", F.coalesce(found["heading"], found["contact"]["name"])).alias("contact"),
-                    found["person"].alias("person"),
-                ),
-            )
-
-        return let(rest, of_rest)
-
-    found = F.transform(find_all(page, lambda n: has_class(n, "contacts-box")), of_box)
-    kept = F.filter(
-        found,
-        lambda f: has_contact_data(f["contact"]) | f["contact"]["name"].isNotNull() | _person_filled(f["person"]),
-    )
-    return F.transform(kept, lambda f: complete_contact(f["contact"], f["person"]))
-
-
-def _person_filled(person: Column) -> Column:
-    return F.coalesce(*[blank_to_null(person[name]) for name in K.PERSON_FIELDS]).isNotNull()
-
-
-def _table_contacts(page: Column) -> Column:
-    """Contacts of tables whose rows pair a known heading with a value."""
-
-    def of_table(table: Column) -> Column:
-        body = descendants(page, table)
-        rows = find_all(body, lambda n: n["tag"] == "tr")
-
-        def of_row(row: Column) -> Column:
-            cells = find_all(
-                descendants(page, row), lambda n: n["tag"].isin("th", "td") & (n["parent"] == row["node"])
-            )
-            texts = F.filter(F.transform(cells, lambda c: clean_text(descendants(page, c))), lambda t: t.isNotNull())
-            return let(
-                texts,
-                lambda t: F.struct(
-                    F.when(F.size(t) >= 2, contact_label(F.get(t, F.lit(0)))).alias("label"),
-                    F.get(t, F.lit(1)).alias("value"),
-                ),
-            )
-
-        def of_pairs(pairs: Column) -> Column:
-            labels = F.transform(pairs, lambda p: p["label"])
-            values = F.transform(pairs, lambda p: p["value"])
-            fields = [last_per_label(labels, values, name).alias(name) for name in K.CONTACT_FIELDS]
-            named_person = last_per_label(labels, values, "contact_person").isNotNull()
-            return F.struct(F.struct(*fields).alias("contact"), named_person.alias("named_person"))
-
-        return let(F.transform(rows, of_row), of_pairs)
-
-    found = F.transform(find_all(page, lambda n: n["tag"] == "table"), of_table)
-    kept = F.filter(found, lambda f: has_contact_data(f["contact"]) | f["named_person"])
-    return F.transform(kept, lambda f: complete_contact(f["contact"], _no_person()))
-
-
-def _block_contacts(page: Column) -> Column:
-    """Contacts of blocks named like contacts, lowest level; the main block when there are none."""
-
-    def with_candidates(named: Column) -> Column:
-        main = F.coalesce(
-            _middle(page), find(page, lambda n: n["tag"] == "main"), find(page, lambda n: n["tag"] == "body")
-        )
-        fallback = F.when(main.isNotNull(), F.array(main)).otherwise(F.slice(page, F.lit(1), F.lit(0)))
-        return let(F.when(F.size(named) > 0, lowest_matching(named)).otherwise(fallback), of_blocks)
-
-    def of_block(block: Column) -> Column:
-        body = descendants(page, block)
-        link = find(body, lambda n: (n["tag"] == "a") & F.startswith(attr(n, "href"), F.lit("mailto:")))
-        mail = mailto_address(strip_space(attr(link, "href")))
-
-        def of_lines(lines: Column) -> Column:
-            contact = let(
-                parse_contact(lines),
-                lambda c: c.withField("mail", F.coalesce(blank_to_null(c["mail"]), blank_to_null(mail))),
-            )
-            return F.struct(
-                contact.alias("contact"), has_contact_signal(F.array_join(lines, "\n")).alias("signal")
-            )
-
-        return let(clean_lines(body), of_lines)
-
-    def of_blocks(blocks: Column) -> Column:
-        found = F.transform(blocks, of_block)
-        kept = F.filter(found, lambda f: f["signal"] & has_contact_data(f["contact"]))
-        return F.transform(kept, lambda f: complete_contact(f["contact"], _no_person()))
-
-    named = find_all(
-        page,
-        lambda n: is_element(n)
-        & id_and_class(n).rlike(K.CONTACT_BLOCK_NAMES)
-        & has_contact_signal(clean_text(descendants(page, n))),
-    )
-    return let(named, with_candidates)
-
-
-def contact_structs(nodes: Column) -> Column:
-    """Distinct contacts of a page: boxes, or else tables and blocks."""
-
-    def of_page(page: Column) -> Column:
-        return let(
-            _box_contacts(page),
-            lambda boxes: F.when(F.size(boxes) > 0, boxes).otherwise(
-                F.concat(_table_contacts(page), _block_contacts(page))
-            ),
-        )
-
-    quiet = remove(nodes, lambda n: n["tag"].isin(*SILENT_TAGS))
-    return F.filter(
-        F.array_distinct(let(quiet, of_page)),
-        lambda c: F.coalesce(*[c[name] for name in K.CONTACT_FIELDS]).isNotNull() | c["contact_person"].isNotNull(),
-    )
-
-
-def contact_records(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per contact of a page, in page order."""
-    rows = parse_pages(pages, use_base=True)
-    return rows.select(key, F.posexplode(contact_structs(F.col("nodes"))).alias("pos", "contact")).select(
-        key, "pos", "contact.*"
-    )
-
 
 def company_home(pages: DataFrame, key: str = "page_id") -> DataFrame:
     nodes = F.col("nodes")
@@ -226,47 +55,37 @@ def company_profile(companies: DataFrame) -> DataFrame:
     ``companies`` has one row per company: ``company_id`` and, for each of ``home``, ``about`` and
     ``contact``, the ``*_url`` and ``*_html`` of the fetched page. Optional ``about_response`` and
     ``contact_response`` hold model answers. Without a contact URL the home page gives the contacts.
-    One wide row per company keeps the assembly free of joins.
+    The html is read and dropped before the short results meet in one join on the company.
     """
     has_contact = strip_space(F.coalesce("contact_url", F.lit(""))) != ""
-    staged = companies.withColumns(
-        {
-            "_contact_url": F.when(has_contact, strip_space(F.col("contact_url"))).otherwise(F.col("home_url")),
-            "_contact_html": F.when(has_contact, F.col("contact_html")).otherwise(F.col("home_html")),
-        }
+    contact_pages = companies.select(
+        "company_id",
+        F.when(has_contact, strip_space(F.col("contact_url"))).otherwise(F.col("home_url")).alias("url"),
+        F.when(has_contact, F.col("contact_html")).otherwise(F.col("home_html")).alias("html"),
     )
-
-    def parsed(df: DataFrame, url: str, html: str, out: str) -> DataFrame:
-        from gleaner.functions.markup import parse_nodes
-
-        return df.withColumn(out, parse_nodes(F.col(html), F.col(url), use_base=True))
-
-    for page, out in (("home", "_home"), ("about", "_about"), ("_contact", "_contact")):
-        staged = parsed(staged, f"{page}_url", f"{page}_html", out)
-
-    about = company_about_fields(F.col("_about"))
-    contacts = contact_structs(F.col("_contact"))
-    read = staged.withColumns({"_about_fields": about, "_rule_contacts": contacts})
-    if "about_response" in companies.columns:
-        read = read.withColumn(
-            "_about_fields",
-            F.col("_about_fields").withField(
-                "description", verbatim_or_rule(F.col("about_response"), F.col("_about_fields.description"))
-            ),
-        )
-    if "contact_response" in companies.columns:
-        read = read.withColumn("_rule_contacts", regions_or_rule(F.col("contact_response"), F.col("_rule_contacts")))
-    home = company_home_fields(F.col("_home"))
-    return read.select(
+    answers = [name for name in ("about_response", "contact_response") if name in companies.columns]
+    nodes = companies.select(
         "company_id",
-        F.struct(
-            home["company_logo"].alias("company_logo"),
-            home["company_name"].alias("company_name"),
-            home["hero_image"].alias("hero_image"),
-            home["description"].alias("description"),
-            company_tags(F.col("_home")).alias("tags"),
-            company_sections(F.col("_home")).alias("sections"),
-        ).alias("home"),
-        F.col("_about_fields").alias("about"),
-        F.col("_rule_contacts").alias("regions"),
+        *answers,
+        parse_nodes(F.col("home_html"), F.col("home_url"), use_base=True).alias("_home"),
+        parse_nodes(F.col("about_html"), F.col("about_url"), use_base=True).alias("_about"),
+    )
+    read = nodes.select(
+        "company_id",
+        *answers,
+        company_home_fields(F.col("_home")).alias("home"),
+        company_tags(F.col("_home")).alias("tags"),
+        company_sections(F.col("_home")).alias("sections"),
+        company_about_fields(F.col("_about")).alias("about"),
+    )
+    joined = read.join(contacts_by_page(contact_pages, "company_id"), "company_id", "left")
+    about, regions = F.col("about"), F.coalesce("contacts", F.array().cast(f"array<{CONTACT}>"))
+    if "about_response" in answers:
+        text = verbatim_or_rule(F.col("about_response"), F.col("about.description"))
+        about = about.withField("description", text)
+    if "contact_response" in answers:
+        regions = regions_or_rule(F.col("contact_response"), regions)
+    home = [F.col(f"home.{name}").alias(name) for name in ("company_logo", "company_name", "hero_image", "description")]
+    return joined.select(
+        "company_id", F.struct(*home, "tags", "sections").alias("home"), about.alias("about"), regions.alias("regions")
     )

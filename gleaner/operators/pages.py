@@ -338,7 +338,7 @@ def detail_html(pages: DataFrame, plain: bool = False, out: str = "html_content"
 # --- company pages ---------------------------------------------------------------------------
 
 
-def _middle(nodes: Column) -> Column:
+def middle_block(nodes: Column) -> Column:
     """The content block of a company page."""
     by_id = lambda name: find(nodes, lambda n: attr(n, "id") == name)
     return F.coalesce(by_id("middle 2"), by_id("middle2"), by_id("middle"))
@@ -378,7 +378,7 @@ def company_home_fields(nodes: Column) -> Column:
             let(hero, lambda n: clean_text(descendants(page, n))).alias("description"),
         )
 
-    return let(nodes, lambda page: let(_middle(page), lambda main: of_main(page, main)))
+    return let(nodes, lambda page: let(middle_block(page), lambda main: of_main(page, main)))
 
 
 def company_tags(nodes: Column) -> Column:
@@ -455,7 +455,7 @@ def company_about_fields(nodes: Column) -> Column:
     def of_page(page: Column) -> Column:
         content = F.coalesce(
             find(page, lambda n: has_class(n, "n-anons")),
-            _middle(page),
+            middle_block(page),
             find(page, lambda n: n["tag"] == "article"),
             find(page, lambda n: n["tag"] == "main"),
             find(page, lambda n: n["tag"] == "body"),

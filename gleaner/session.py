@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture costs several JVM round trips per column expression; ours are many.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 _SHIPPED: set[tuple[str, str]] = set()
 
