@@ -9,6 +9,7 @@ from gleaner import constants as K
 from gleaner.functions import contacts as C
 from gleaner.functions.text import split_lines
 from gleaner.operators.contacts import read_contacts
+from gleaner.functions.staging import settled
 from gleaner.sources.tables import read_table
 
 LABELS = ["Phone:", "Fax:", "x", "Email", "mobile 5", "Tel", "y", ":mail:", "Telephone", "z", "w"]
@@ -20,8 +21,8 @@ PREFIXES = [
 
 def _text_lines(spark, d):
     """Non-empty lines of each document, as an array."""
-    docs = read_table(spark, d, "documents", spread=True).select("doc_id", split_lines(F.col("text")).alias("lines"))
-    return docs.filter(F.size("lines") > 0)
+    docs = read_table(spark, d, "documents", spread=True).select("doc_id", "text")
+    return settled(docs, {"lines": split_lines(F.col("text"))}).drop("text").filter(F.size("lines") > 0)
 
 
 _LINES_SQL = r"""

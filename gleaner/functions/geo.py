@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
+from gleaner.functions.staging import settled
 from gleaner.functions.text import SPACE, blank_to_null, literal_map
 
 CANADA, UNITED_STATES = "Canada", "United States"
@@ -169,13 +170,14 @@ def standardize_location(
     )
     final = hinted.withColumn("_country", fill_country(F.col("_state")))
     joined = F.concat_ws(", ", *[blank_to_null(F.col(name)) for name in ("_city", "_state", "_country")])
-    result = final.withColumns(
+    helpers = ["_raw", "_city", "_state", "_country", "_parts", "_takes", "_possible", "_single_state", "_hint"]
+    # Settled, since a filter on the result would otherwise be rewritten in terms of every step above.
+    return settled(
+        final,
         {
             city: F.col("_city"),
             state: F.col("_state"),
             country: F.col("_country"),
             location: F.coalesce(blank_to_null(joined), F.col("_raw")),
-        }
-    )
-    helpers = ["_raw", "_city", "_state", "_country", "_parts", "_takes", "_possible", "_single_state", "_hint"]
-    return result.drop(*helpers)
+        },
+    ).drop(*helpers)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
+from gleaner.functions.staging import settled
 from gleaner.functions.text import (
     collapse_blank_lines,
     deadline_or_default,
@@ -76,7 +77,7 @@ def parse_model_record(df: DataFrame, response: str = "response", page_text: str
     """
     text = strip_code_fence(F.col(response), any_fence=False)
     excerpt = truncate_text(F.coalesce(F.col(page_text), F.lit("")), K.EXCERPT_LIMIT)
-    staged = df.withColumn("_doc", F.try_parse_json(text)).withColumn(
+    staged = settled(df, {"_doc": F.try_parse_json(text)}).withColumn(
         "parsed", F.coalesce(F.startswith(F.schema_of_variant("_doc"), F.lit("OBJECT")), F.lit(False))
     )
     unreadable = F.col(response).isNotNull() & F.col("_doc").isNull()

@@ -36,7 +36,7 @@ from gleaner.functions.nodes import (
 from gleaner.functions.text import blank_to_null, let, strip_space
 from gleaner.functions.urls import mailto_address
 from gleaner.operators.pages import SILENT_TAGS, lowest_matching, middle_block, parse_pages
-from gleaner.operators.shape import settled, spread_struct
+from gleaner.functions.staging import settled, spread_struct
 
 CONTACT = "struct<" + ",".join(f"{name}:string" for name in K.CONTACT_FIELDS) + f",contact_person:{PERSON}>"
 

@@ -27,9 +27,9 @@ from gleaner.functions.nodes import (
     spans,
     text_pieces,
 )
+from gleaner.functions.staging import settled
 from gleaner.functions.text import blank_to_null, dedupe_ci, let, normalize_space, split_lines, strip_space
 from gleaner.functions.urls import detail_url_filter, detail_urls, is_job_url, numbered_page_urls, tag_from_href
-from gleaner.operators.shape import settled
 
 SILENT_TAGS = ("script", "style", "noscript")
 
@@ -329,10 +329,10 @@ def detail_html(pages: DataFrame, plain: bool = False, out: str = "html_content"
     """Cleaned html of a detail page; the uncleaned main part where cleaning leaves nothing."""
     main = parse_pages(pages).withColumn("_main", main_content(F.col("nodes"), plain)).drop("nodes")
     cleaned = strip_page_chrome(main.withColumn("_clean", F.col("_main")), "_clean")
-    shown = cleaned.withColumn("_html", render_html(drop_empty_paragraphs(F.col("_clean"))))
+    shown = settled(cleaned, {"_html": render_html(drop_empty_paragraphs(F.col("_clean")))}).drop("_clean")
     return shown.withColumn(
         out, F.when(strip_space(F.col("_html")) != "", F.col("_html")).otherwise(render_html(F.col("_main")))
-    ).drop("_main", "_clean", "_html")
+    ).drop("_main", "_html")
 
 
 # --- company pages ---------------------------------------------------------------------------

@@ -32,20 +32,6 @@ def ensure_columns(df: DataFrame, schema: StructType) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Set columns behind a one-row generator.
-
-    The optimizer merges projections and pushes filters through them, which would repeat a costly array
-    expression inside a lambda, a filter or a Python step's argument. It does neither across a generator.
-    """
-    return spread_struct(df, F.struct(*[column.alias(name) for name, column in columns.items()]), list(columns))
-
-
-def spread_struct(df: DataFrame, held: Column, names: list[str]) -> DataFrame:
-    """The fields of one struct expression as columns, worked out once."""
-    return df.select(*[F.col(name) for name in df.columns if name not in names], F.inline(F.array(held)))
-
-
 def category_table(df: DataFrame) -> DataFrame:
     """``id, name, parent_id, active`` from a category table under any of its spellings."""
     parents, flags = present(df, K.CATEGORY_PARENT_KEYS), present(df, K.CATEGORY_ACTIVE_KEYS)

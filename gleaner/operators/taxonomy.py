@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
+from gleaner.functions.staging import settled
 from gleaner.functions.taxonomy import is_low_information, job_prompt, job_text
 from gleaner.functions.text import blank_to_null, strip_space
 from gleaner.operators.ranking import global_position
@@ -134,6 +135,7 @@ def assign_category(jobs: DataFrame, categories: DataFrame | None) -> DataFrame:
         return jobs.withColumns({"category_id": F.lit(""), "category_name": F.lit("")})
     # The dimension is read in four places below; written once, its source is worked out once.
     selectable = cut_lineage(selectable_categories(categories))
+    kept = [name for name in jobs.columns if name not in ("category_id", "category_name")]
     place = category_place()
     fixed = selectable.agg(
         F.struct(
@@ -142,19 +144,17 @@ def assign_category(jobs: DataFrame, categories: DataFrame | None) -> DataFrame:
         )
     ).scalar()
     staged = match_category_exact(jobs, selectable, "_exact").withColumns({"_fixed": fixed, "_text": job_text(jobs.columns)})
-    held, mentioned, helpers = _with_mentions(staged, selectable, F.col("_text"))
+    held, mentioned, _ = _with_mentions(staged, selectable, F.col("_text"))
     for_tests = F.when(is_low_information(F.col("_text")), F.coalesce("_fixed.test", "_fixed.other"))
     chosen = F.coalesce(for_tests, "_exact", mentioned, "_fixed.other")
-    return (
-        held.withColumn("_chosen", chosen)
-        .withColumns(
-            {
-                "category_id": F.coalesce("_chosen.id", F.lit("")),
-                "category_name": F.coalesce("_chosen.name", F.lit("")),
-            }
-        )
-        .drop("_exact", "_fixed", "_text", "_chosen", *helpers)
-    )
+    # Settled, so a filter on the category does not repeat the search for mentions.
+    found = settled(held, {"_found": F.array(chosen["id"], chosen["name"])}).select(*kept, "_found")
+    return found.withColumns(
+        {
+            "category_id": F.coalesce(F.get("_found", F.lit(0)), F.lit("")),
+            "category_name": F.coalesce(F.get("_found", F.lit(1)), F.lit("")),
+        }
+    ).drop("_found")
 
 
 POST_TEXT_ALIASES = {

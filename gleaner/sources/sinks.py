@@ -15,6 +15,7 @@ from gleaner.functions.text import strip_space
 from gleaner.functions.urls import page_slug
 from gleaner.operators.ranking import global_position
 from gleaner.operators.shape import ensure_columns
+from gleaner.sources.tables import path_exists
 
 # Deeper pages are cut by position instead of being gathered from the top.
 SHALLOW_ROWS = 100_000
@@ -61,10 +62,10 @@ def save_state(urls: DataFrame, records: DataFrame, root: str, run_ts: datetime)
 
 def load_state(spark: SparkSession, root: str, version: str, record_schema: StructType) -> tuple[DataFrame, DataFrame] | None:
     """The frames of a saved version; None when it was never written."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/urls/version={version}")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    path = f"{root.rstrip('/')}/urls/version={version}"
+    if not path_exists(spark, path):
         return None
-    urls = spark.read.schema("source_url string, saved_at timestamp_ntz").parquet(hadoop.toString())
+    urls = spark.read.schema("source_url string, saved_at timestamp_ntz").parquet(path)
     schema = StructType([*record_schema.fields, *StructType.fromDDL("saved_at timestamp_ntz").fields])
     return urls, spark.read.schema(schema).parquet(f"{root.rstrip('/')}/records/version={version}")
 

@@ -21,6 +21,11 @@ def read_table(spark: SparkSession, source: str | dict, name: str, spread: bool
     return table
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def first_existing_table(spark: SparkSession, names: list[str], schema: StructType | str) -> DataFrame:
     """The first catalog table of that name; an empty frame when none exists."""
     for name in names:
