@@ -351,7 +351,7 @@ def q_new_records(spark, d):
     """Flagship: identity, known pages out, records with a title, first ten per host."""
     keyed = _candidates(spark, d).withColumn("url_key", U.url_key(F.col("url")))
     first = dedupe.first_per_key(keyed, "url_key", "page_id")
-    fresh = ingest.require_title(dedupe.anti_known(first, _english(spark, d)))
+    fresh = ingest.require_title(dedupe.anti_known(first, _english(spark, d), key="url_key"))
     capped = ingest.cap_per_group(fresh, "host", "page_id", rank="rank")
     return capped.select("page_id", "host", "url_key", "job_title", F.col("rank").cast("bigint").alias("rank"))
 

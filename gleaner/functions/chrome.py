@@ -175,6 +175,13 @@ def chrome_roots(nodes: Column) -> Column:
 
     @F.arrow_udf("array<struct<node:int,last:int>>")
     def find_chrome(pages: pa.Array) -> pa.Array:
-        return pa.array([None if page is None else mark_chrome(page) for page in pages.to_pylist()], type=_ROOTS)
-
-    return find_chrome(nodes)
+        # One page at a time becomes Python objects.
+        found = (None if not page.is_valid else mark_chrome(page.as_py()) for page in pages)
+        return pa.array(found, type=_ROOTS)
+
+    # Only what the walk reads crosses to Python.
+    slim = F.transform(
+        nodes,
+        lambda n: F.struct(*[n[name].alias(name) for name in ("node", "last", "parent", "tag", "attrs", "text", "live")]),
+    )
+    return find_chrome(slim)

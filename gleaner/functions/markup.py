@@ -139,12 +139,19 @@ def read_nodes(html: str | None, url: str | None, use_base: bool) -> list[dict]
     return nodes
 
 
+# Pages turned into Python nodes at a time; the rest of a batch waits as plain Arrow text.
+_PAGES_AT_ONCE = 32
+
+
 def parse_nodes(html: Column, url: Column, use_base: bool = False) -> Column:
     """Array of nodes of a page."""
 
     @F.arrow_udf(NODES)
     def parse(htmls: pa.Array, urls: pa.Array) -> pa.Array:
-        pages = zip(htmls.to_pylist(), urls.to_pylist())
-        return pa.array([read_nodes(page, address, use_base) for page, address in pages], type=_ARROW_NODES)
+        parts = [pa.array([], type=_ARROW_NODES)]
+        for start in range(0, len(htmls), _PAGES_AT_ONCE):
+            pages = zip(htmls[start : start + _PAGES_AT_ONCE].to_pylist(), urls[start : start + _PAGES_AT_ONCE].to_pylist())
+            parts.append(pa.array([read_nodes(page, address, use_base) for page, address in pages], type=_ARROW_NODES))
+        return pa.concat_arrays(parts)
 
     return parse(html, url)

@@ -76,10 +76,18 @@ def known_after_run(known: DataFrame, saved: DataFrame, column: str = "source_ur
     return known.select(column).union(saved.select(column)).distinct()
 
 
-def anti_known(df: DataFrame, known: DataFrame, url: str = "url", known_url: str = "source_url") -> DataFrame:
-    """Rows whose page identity is not stored yet."""
-    keys = known.select(url_key(F.col(known_url)).alias("_key")).filter(F.col("_key") != "").distinct()
-    return df.withColumn("_key", url_key(F.col(url))).join(keys, "_key", "left_anti").drop("_key")
+def anti_known(
+    df: DataFrame, known: DataFrame, url: str = "url", known_url: str = "source_url", key: str | None = None
+) -> DataFrame:
+    """Rows whose page identity is not stored yet.
+
+    ``key`` names a column that holds the identity already; a frame partitioned by it is not shuffled again.
+    """
+    column = key or "_key"
+    keys = known.select(url_key(F.col(known_url)).alias(column)).filter(F.col(column) != "").distinct()
+    keyed = df if key else df.withColumn(column, url_key(F.col(url)))
+    fresh = keyed.join(keys, column, "left_anti")
+    return fresh if key else fresh.drop(column)
 
 
 def anti_known_raw(df: DataFrame, known: DataFrame, url: str = "url", known_url: str = "source_url") -> DataFrame:

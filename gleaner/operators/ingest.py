@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
@@ -20,7 +20,7 @@ def explode_feeds(configs: DataFrame) -> DataFrame:
     parsed = configs.filter(F.col("micrositeId") != "").select(
         F.col("id").alias("config_id"),
         F.col("micrositeId").alias("site_id"),
-        F.posexplode(F.from_json("config", FEED_CONFIG)["feeds"]).alias("feed_pos", "feed"),
+        F.posexplode_outer(F.from_json("config", FEED_CONFIG)["feeds"]).alias("feed_pos", "feed"),
     )
     return parsed.filter(F.col("feed.url") != "").select(
         "config_id",
@@ -76,12 +76,9 @@ def buffer_links(links: DataFrame, max_jobs: int, chunk: str = "chunk_no", place
     capped = top_n(ordered_distinct(links, ["listing_id", chunk, "url"], place), ["listing_id", chunk], place, limit)
     placed = capped.select("listing_id", "url", F.struct(chunk, place).alias("place"))
     firsts = ordered_distinct(placed, ["listing_id", "url"], "place")
-    filled = top_n(firsts, "listing_id", "place", limit, "rank").filter(F.col("rank") == limit)
-    last_chunk = filled.select("listing_id", F.col(f"place.{chunk}").alias("last_chunk"))
-    kept = firsts.join(last_chunk, "listing_id", "left").filter(
-        F.col("last_chunk").isNull() | (F.col(f"place.{chunk}") <= F.col("last_chunk"))
-    )
-    return kept.select("listing_id", "url", "place")
+    # rank() counts the links of earlier chunks, so a chunk is read whole or not at all.
+    before = F.rank().over(Window.partitionBy("listing_id").orderBy(f"place.{chunk}"))
+    return firsts.withColumn("_rank", before).filter(F.col("_rank") <= limit).select("listing_id", "url", "place")
 
 
 def cap_with_spillover(

@@ -41,8 +41,9 @@ def parse_pages(pages: DataFrame, use_base: bool = False, out: str = "nodes") ->
 
 def html_nodes(pages: DataFrame) -> DataFrame:
     """One row per node, with its interval and its own text."""
-    rows = parse_pages(pages).select("page_id", F.inline("nodes"))
-    return rows.select(
+    # The outer form: for the plain one Spark adds a filter on the array, and parses every page twice.
+    rows = parse_pages(pages).select("page_id", F.inline_outer("nodes"))
+    return rows.filter(F.col("node").isNotNull()).select(
         "page_id", "node", "parent", F.col("node").alias("pre"), F.col("last").alias("post"), "depth", "tag", "attrs",
         F.col("text").alias("own_text"), F.col("href").alias("abs_href"), F.col("src").alias("abs_src"),
     )

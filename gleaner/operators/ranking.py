@@ -40,7 +40,9 @@ def global_position(df: DataFrame, order, name: str) -> DataFrame:
 
     Range partitions are sorted and written once; each learns how many rows lie before it.
     """
-    ordering = _columns(order)
+    # Equal order keys are spread by the row's hash, so one frequent key does not fill one partition.
+    hashable = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant", "struct", "array")]
+    ordering = [*_columns(order), *([F.xxhash64(*hashable)] if hashable else [])]
     placed = cut_lineage(
         df.repartitionByRange(*ordering).withColumn("_part", F.spark_partition_id())
     )

@@ -35,7 +35,7 @@ def scheduled_ingest(
     known = known_urls(posts, K.SOURCE_URL_ALIASES)
     listed = feeds.join(links, "feed_url").withColumn("url_key", url_key(F.col("url")))
     listed = listed.filter((F.col("url_key") != "") & (F.col("url_key") != url_key(F.col("feed_url"))))
-    fresh = anti_known(first_per_key(listed, [*FEED, "url_key"], "pos"), known)
+    fresh = anti_known(first_per_key(listed, [*FEED, "url_key"], "pos"), known, key="url_key")
 
     by_key = records.withColumn("url_key", url_key(F.col("source_url")))
     by_key = first_per_key(by_key, "url_key", "source_url")

@@ -35,7 +35,7 @@ def new_links(listings: DataFrame, known: DataFrame, max_jobs: int | None = None
     landing = listings.groupBy(F.col("page_id").alias("listing_id")).agg(F.min(url_key(F.col("url"))).alias("_landing"))
     keyed = placed.withColumn("url_key", url_key(F.col("url"))).join(landing, "listing_id")
     first = first_per_key(keyed.filter(F.col("url_key") != F.col("_landing")).drop("_landing"), ["listing_id", "url_key"], "place")
-    return anti_known(first, known)
+    return anti_known(first, known, key="url_key")
 
 
 def extraction_prompt(details: DataFrame, categories: DataFrame | None = None, out: str = "prompt") -> DataFrame:

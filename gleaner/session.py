@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Pages are large and their node lists larger, so few travel in one batch to Python.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     # Call-site capture costs several JVM round trips per column expression; ours are many.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -45,9 +47,9 @@ def ship_package(spark: SparkSession, *packages: str) -> None:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one only where the session names none."""
-    jvm_context = spark.sparkContext._jsc.sc()
-    if jvm_context.getCheckpointDir().isDefined():
-        return jvm_context.getCheckpointDir().get()
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         if not spark.sparkContext.master.startswith("local"):

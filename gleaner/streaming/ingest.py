@@ -49,10 +49,10 @@ def incremental_ingest(
     def append(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         keyed = batch.filter("source_url <> ''").withColumn("_page", url_key(F.col("source_url")))
-        fresh = first_per_key(keyed, "_page", [group, order]).drop("_page")
+        fresh = first_per_key(keyed, "_page", [group, order])
         if path_exists(spark, posts_path):
-            fresh = anti_known(fresh, spark.read.parquet(posts_path).select("source_url"), "source_url")
-        kept = keep_records(fresh, filter_location)
+            fresh = anti_known(fresh, spark.read.parquet(posts_path).select("source_url"), key="_page")
+        kept = keep_records(fresh.drop("_page"), filter_location)
         append_posts(cap_per_group(kept, group, order, n), posts_path, run_ts)
 
     return (
