@@ -51,8 +51,9 @@ def q_pair_labels(spark, d):
 
 
 # The check numbers the labels of every run of label lines: even ones take the next line, odd ones are taken.
-SQL_PAIR_LABELS = f"""
-with l as ({_LABELS_SQL}),
+def _pair_sql(lines: str) -> str:
+    return f"""
+with l as ({lines}),
 m as (select *, list_contains({sql_list(K.PAIRED_LABELS)}, trim(lower(line), ':')) as lab from l),
 g as (select *, sum(case when lab then 0 else 1 end) over (partition by doc_id order by pos) as grp from m),
 n as (select *, case when lab then row_number() over (partition by doc_id, grp, lab order by pos) - 1 end as nr from g),
@@ -62,6 +63,9 @@ k as (select doc_id, pos, case when nr % 2 = 0 and following is not null then li
 select doc_id, row_number() over (partition by doc_id order by pos) - 1 as pos, line from k"""
 
 
+SQL_PAIR_LABELS = _pair_sql(_LABELS_SQL)
+
+
 def _prefixed(spark, d):
     docs = _text_lines(spark, d)
     return docs.select("doc_id", F.transform("lines", lambda line, i: F.concat(pick(PREFIXES, F.col("doc_id") + i), line)).alias("lines"))
@@ -160,12 +164,18 @@ _PLACES_SQL = f"""
     from ({_LINES_SQL}) l, unnest([0, 1]) as u(k)) s where line <> ''"""
 _CA = r"'(?i)^(.+?)\s+([A-Z]{2})\s+([A-Z][0-9][A-Z][ -]?[0-9][A-Z][0-9])$'"
 _US = r"'(?i)^(.+?),\s*([A-Z]{2})\s+([0-9]{5}(?:-[0-9]{4})?)$'"
-_PLACE_SQL = f"""
+
+
+def _place_facts_sql(lines: str) -> str:
+    return f"""
   select doc_id, pos, line,
     case when regexp_matches(line, {_CA}) then trim(regexp_extract(line, {_CA}, 1), ', ') when regexp_matches(line, {_US}) then trim(regexp_extract(line, {_US}, 1)) end as city,
     case when regexp_matches(line, {_CA}) then upper(regexp_extract(line, {_CA}, 2)) when regexp_matches(line, {_US}) then upper(regexp_extract(line, {_US}, 2)) end as state,
     case when regexp_matches(line, {_CA}) then upper(regexp_extract(line, {_CA}, 3)) when regexp_matches(line, {_US}) then regexp_extract(line, {_US}, 3) end as post_code,
-    list_filter(list_transform(string_split(line, ','), lambda x: trim(x)), lambda x: x <> '') as parts from ({_PLACES_SQL}) p"""
+    list_filter(list_transform(string_split(line, ','), lambda x: trim(x)), lambda x: x <> '') as parts from ({lines}) p"""
+
+
+_PLACE_SQL = _place_facts_sql(_PLACES_SQL)
 
 
 def q_city_line(spark, d):
@@ -226,11 +236,75 @@ def q_contact_lines(spark, d):
     return held.select("doc_id", *[F.col(f"contact.{name}").alias(name) for name in K.CONTACT_FIELDS])
 
 
+_EMAIL_SQL = r"nullif(regexp_extract(line, '[\p{L}\p{M}\p{N}_.+-]+@[\p{L}\p{M}\p{N}_.-]+\.[A-Za-z]{2,}'), '')"
+_KEYS = [key for key, _ in K.LABEL_PATTERNS]
+# The check finds mail, name and leftover lines by groups, then walks the leftover lines.
+SQL_CONTACT_LINES = f"""
+with recursive a as materialized (select *, list_contains({sql_list(K.SKIPPED_LABELS)}, trim(lower(line), ':')) as skipped,
+  {_labeled_sql('key')} as key, {_labeled_sql('value')} as value, {_EMAIL_SQL} as email from ({_PREFIXED_SQL}) p),
+lab as (select doc_id, {", ".join(f"arg_min(value, pos) filter (key = '{k}' and value <> '' and not skipped) as l_{k}" for k in _KEYS)},
+  min(pos) filter (key = 'mail' and value <> '' and not skipped) as mail_pos,
+  min(pos) filter (key is null and not skipped and not ends_with(line, ':') and email is not null) as email_pos,
+  arg_min(email, pos) filter (key is null and not skipped and not ends_with(line, ':') and email is not null) as first_email from a group by doc_id),
+m as (select *, coalesce(email_pos < mail_pos, email_pos is not null) as email_wins from lab),
+r as (select * from (select a.doc_id, pos, case when email_wins and pos = email_pos then trim(replace(line, email, ''), ' :-') else line end as line
+  from a join m on m.doc_id = a.doc_id where key is null and not skipped and not ends_with(line, ':')) t where line <> ''),
+rf as materialized ({_place_facts_sql('select * from r')}),
+h as (select doc_id, arg_min(line, pos) filter ({_HEADING_OK}) as heading from rf group by doc_id),
+n as (select m.*, coalesce(l_name, heading) as name, case when l_name is null then heading end as used from m left join h on h.doc_id = m.doc_id),
+f as materialized (select rf.*, row_number() over (partition by rf.doc_id order by pos) - 1 as k, list_contains({sql_list(K.COUNTRY_LINES)}, lower(line)) as is_country,
+  regexp_matches(line, '(?i)^[A-Z][0-9][A-Z][ -]?[0-9][A-Z][0-9]$') as is_post, line is distinct from name as other
+  from rf join n on n.doc_id = rf.doc_id where used is null or line <> used),
+w(doc_id, k, c_city, c_state, c_post, c_country, rest) as (
+  select doc_id, cast(-1 as bigint), l_city, l_state, l_post_code, l_country, cast([] as varchar[]) from n
+  union all
+  select w.doc_id, f.k,
+    case when (is_country and c_country is null) or (is_post and c_post is null) then c_city when len(parts) = 3 then coalesce(c_city, parts[1]) else coalesce(c_city, city) end,
+    case when (is_country and c_country is null) or (is_post and c_post is null) then c_state when len(parts) = 3 then coalesce(c_state, parts[2]) else coalesce(c_state, state) end,
+    case when is_country and c_country is null then c_post when is_post and c_post is null then upper(line) when len(parts) = 3 then c_post else coalesce(c_post, post_code) end,
+    case when is_country and c_country is null then line when is_post and c_post is null then c_country when len(parts) = 3 then coalesce(c_country, parts[3]) else c_country end,
+    case when (is_country and c_country is null) or (is_post and c_post is null) or len(parts) = 3 or city is not null or not other then rest else list_append(rest, line) end
+  from w join f on f.doc_id = w.doc_id and f.k = w.k + 1),
+e as (select * from w qualify row_number() over (partition by doc_id order by k desc) = 1)
+select n.doc_id, name, coalesce(l_address, nullif(array_to_string(rest, ', '), '')) as address, c_city as city, c_post as post_code, c_state as state,
+  c_country as country, l_telephone as telephone, l_phone as phone, l_fax as fax, case when email_wins then first_email else l_mail end as mail
+from n join e on e.doc_id = n.doc_id"""
+
+
 def q_person_lines(spark, d):
     held = _labels_between(spark, d).withColumn("p", C.person_fields(F.col("lines")))
     return held.select("doc_id", "p.*")
 
 
+_NAMED = r"'(?i)^(.+?)\s+(phone|telephone|tel|fax)\s*:\s*(.*)$'"
+SQL_PERSON_LINES = f"""
+with recursive l as ({_pair_sql(f'select doc_id, pos, trim(line) as line from ({_LABELS_SQL}) t')}),
+a as (select *, lead(line) over (partition by doc_id order by pos) as following, regexp_matches(line, {_NAMED}) as named,
+  trim(regexp_extract(line, {_NAMED}, 1)) as n_name, lower(regexp_extract(line, {_NAMED}, 2)) as n_label, trim(regexp_extract(line, {_NAMED}, 3)) as n_value,
+  case when trim(lower(line), ':') in ('phone', 'mobile', 'cell') then 'phone' when trim(lower(line), ':') in ('telephone', 'tel') then 'telephone'
+    when trim(lower(line), ':') = 'fax' then 'fax' end as lone_key, {_labeled_sql('key')} as l_key, {_labeled_sql('value')} as l_value, {_EMAIL_SQL} as email from l),
+b as (select *, not named and following is not null and lone_key is not null as lone from a),
+f as materialized (select *, case when named then case n_label when 'fax' then 'fax' when 'phone' then 'phone' else 'telephone' end when lone then lone_key
+    when l_key = 'mail' then 'email' else l_key end as key,
+  case when named then coalesce(nullif(n_value, ''), following) when lone then following else l_value end as value,
+  not named and not lone and l_key is null as free, lone or (named and n_value = '' and following is not null) as takes,
+  case when email is not null then trim(replace(line, email, ''), ' :-') else line end as rest from b),
+w(doc_id, pos, name, email, phone, telephone, fax, first_free, skip) as (
+  select distinct doc_id, cast(-1 as bigint), cast(null as varchar), cast(null as varchar), cast(null as varchar), cast(null as varchar), cast(null as varchar), cast(null as varchar), false from f
+  union all
+  select w.doc_id, f.pos,
+    case when skip then name when named then coalesce(nullif(name, ''), nullif(n_name, '')) when key = 'name' then coalesce(value, name) else name end,
+    case when skip then w.email when free and f.email is not null then f.email when key = 'email' then coalesce(value, w.email) else w.email end,
+    case when not skip and key = 'phone' then coalesce(value, phone) else phone end,
+    case when not skip and key = 'telephone' then coalesce(value, telephone) else telephone end,
+    case when not skip and key = 'fax' then coalesce(value, fax) else fax end,
+    case when skip then first_free else coalesce(first_free, case when free and rest <> ''
+      and not (regexp_matches(rest, '^[0-9\\s().+xXetET-]+$') and regexp_matches(rest, '[0-9]')) then rest end) end,
+    case when skip then false else takes end
+  from w join f on f.doc_id = w.doc_id and f.pos = w.pos + 1)
+select doc_id, coalesce(nullif(name, ''), first_free) as name, email, phone, telephone, fax from w
+qualify row_number() over (partition by doc_id order by pos desc) = 1"""
+
 # --- single texts -------------------------------------------------------------------------------
 
 
@@ -275,7 +349,7 @@ from (select kind, id, turn, unnest([text, {pick_sql(PHONES, 'id + turn')}]) as
 
 _NAMES = [
     "pair_labels", "labeled_value", "pivot_first", "contact_label", "pivot_last", "city_line", "heading_line",
-    "address_fields", "email", "contact_signal", "phone",
+    "address_fields", "contact_lines", "person_lines", "email", "contact_signal", "phone",
 ]
-QUERIES = {f"q_{name}": globals()[f"q_{name}"] for name in [*_NAMES, "contact_lines", "person_lines"]}
+QUERIES = {f"q_{name}": globals()[f"q_{name}"] for name in _NAMES}
 ORACLES = {f"q_{name}": globals()[f"SQL_{name.upper()}"] for name in _NAMES}

@@ -161,6 +161,17 @@ def q_detail_html(spark, d):
     return P.detail_html(_with_chrome(spark, d)).select("page_id", "html_content")
 
 
+def q_detail_text(spark, d):
+    """The text inside the cleaned html: the main part without the chrome put in, nothing lost."""
+    text = F.regexp_replace("html_content", "<[^>]*>", "")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return P.detail_html(_with_chrome(spark, d)).select("page_id", F.regexp_replace(text, r"(?U)\s+", "").alias("letters"))
+
+
+SQL_DETAIL_TEXT = f"""
+select page_id, regexp_replace(array_to_string({_pieces_sql(_BODY_SQL)}, ''), '[\\s\\x0b\\x{{85}}\\p{{Z}}]+', '', 'g') as letters from pages"""
+
 # --- company pages ----------------------------------------------------------------------------
 
 
@@ -261,7 +272,7 @@ select page_id as company_id, 'Firm ' || page_id as company_name, case when page
   2 as sections from pages where contains(html, '<article>')"""
 
 _NAMES = [
-    "node_tags", "page_text", "main_content", "job_links", "abs_links", "links_outside_footer", "page_urls", "job_iframes", "job_text",
+    "node_tags", "page_text", "main_content", "job_links", "abs_links", "links_outside_footer", "page_urls", "job_iframes", "job_text", "detail_text",
     "company_home", "company_about", "contact_records", "company_profile",
 ]
 QUERIES = {f"q_{name}": globals()[f"q_{name}"] for name in [*_NAMES, "html_nodes", "detail_html"]}

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gleaner.session import cut_lineage
 
-# Up to here Spark cuts every group inside each map task, before the shuffle.
-GROUP_LIMIT = 1000
+# Up to here the cut Spark makes inside each map task leaves few enough rows of a hot group for one task.
+GROUP_LIMIT = 100
 SALTS = 64
 
 
