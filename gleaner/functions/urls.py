@@ -10,6 +10,7 @@ from gleaner.functions.text import blank_to_null, strip_space
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*:)"
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
+_HOST_BRACKET = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*[\[\]]"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 _IPV6_HOST = r"^([^\[\]]*@)?\[[0-9A-Fa-f:.]+\](:\d*)?$"
 
@@ -25,16 +26,18 @@ def url_host(url: Column) -> Column:
 
 def url_key(url: Column) -> Column:
     """Identity of a page: no query, no fragment, but the opportunity id where the path asks for one."""
-    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    text = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
     authority = F.regexp_extract(text, _AUTHORITY, 1)
-    broken = authority.rlike(r"[\[\]]") & ~authority.rlike(_IPV6_HOST)
+    broken = text.rlike(_HOST_BRACKET) & ~authority.rlike(_IPV6_HOST)
+    plain = F.regexp_replace(text, r"(?s)[?#].*$", "")
     scheme = F.regexp_extract(text, _SCHEME, 1)
-    page = F.regexp_replace(text, r"(?s)[?#].*$", "")
-    page = F.concat(F.lower(scheme), F.substring(page, F.length(scheme) + 1, F.length(page)))
+    lowered = F.concat(F.lower(scheme), F.substring(plain, F.length(scheme) + 1, F.length(plain)))
+    page = F.when(text.rlike(r"^[A-Za-z0-9+.\-]*[A-Z][A-Za-z0-9+.\-]*:"), lowered).otherwise(plain)
     query = F.regexp_extract(text, r"^[^?#]*\?([^#]*)", 1)
     opportunity = blank_to_null(F.regexp_extract(query, r"(?:^|&)opportunityId=([^&]+)", 1))
     decoded = F.coalesce(F.try_url_decode(opportunity), opportunity)
-    detail = F.contains(F.regexp_extract(text, _PATH, 1), F.lit("OpportunityDetail")) & decoded.isNotNull()
+    named = F.contains(text, F.lit("OpportunityDetail"))
+    detail = named & F.contains(F.regexp_extract(text, _PATH, 1), F.lit("OpportunityDetail")) & decoded.isNotNull()
     return (
         F.when(broken, F.regexp_replace(url, r"(?s)[?#].*$", ""))
         .when(detail, F.concat(page, F.lit("?opportunityId="), decoded))

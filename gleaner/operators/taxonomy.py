@@ -21,6 +21,10 @@ from gleaner.session import cut_lineage
 
 # Category names compared per expression; larger taxonomies use several, in rank order.
 MENTION_CHUNK = 1000
+# With more names than this, mentions are found by a join.
+MENTION_LIMIT = 20_000
+SEED_LETTERS = 4
+SEED_PARTS = 16
 
 
 def _named(name: Column, names: list[str]) -> Column:
@@ -98,14 +102,43 @@ def match_category_exact(jobs: DataFrame, selectable: DataFrame, out: str = "exa
     )
 
 
+def _mentions_by_seed(jobs: DataFrame, places: DataFrame, text: Column, out: str) -> DataFrame:
+    """Mentions for a taxonomy too large for the driver: names meet texts on the first letters of the name.
+
+    Every name a text contains starts with letters the text contains, so nothing is missed. Equal texts are
+    searched once, the names of a seed travel as arrays in several parts, and AQE splits frequent hashes.
+    """
+    hashed = jobs.withColumn("_hash", F.sha2(text, 256))
+    texts = hashed.select("_hash", text.alias("_searched")).dropDuplicates(["_hash"])
+    seeded = places.select(
+        "place", F.left("place.lname", F.lit(SEED_LETTERS)).alias("_seed"), F.pmod(F.xxhash64("place.id"), F.lit(SEED_PARTS)).alias("_part")
+    )
+    by_seed = seeded.groupBy("_seed", "_part").agg(F.collect_list("place").alias("_places"))
+
+    def pieces(length: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("_searched") - length + 1)
+        found = F.transform(starts, lambda at: F.substring("_searched", at, F.lit(length)))
+        return F.when(F.length("_searched") >= length, found).otherwise(F.array().cast("array<string>"))
+
+    letters = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, SEED_LETTERS + 1)])))
+    grams = texts.select("_hash", F.explode(letters).alias("_seed"))
+    near = grams.join(by_seed, "_seed").groupBy("_hash").agg(F.flatten(F.collect_list("_places")).alias("_near"))
+    named = F.filter("_near", lambda place: F.contains(F.col("_searched"), place["lname"]))
+    found = texts.join(near, "_hash").select("_hash", F.array_min(named).alias(out))
+    return hashed.join(found, "_hash", "left").drop("_hash")
+
+
 def _with_mentions(jobs: DataFrame, selectable: DataFrame, text: Column) -> tuple[DataFrame, Column, list[str]]:
     """The jobs with helper columns, the place of the first category named in the text, the helpers.
 
     The names travel as sorted scalar arrays of bounded length; later arrays are read only while
-    earlier ones matched nothing, so a taxonomy of any size gives the same answer.
+    earlier ones matched nothing. Beyond a number of names a join finds the mentions instead.
     """
     places = selectable.filter("name != ''").select(category_place().alias("place"))
-    chunks = max(1, -(-places.count() // MENTION_CHUNK))
+    size = places.count()
+    if size > MENTION_LIMIT:
+        return _mentions_by_seed(jobs, places, text, "_mentioned"), F.col("_mentioned"), ["_mentioned"]
+    chunks = max(1, -(-size // MENTION_CHUNK))
     if chunks == 1:
         groups = [places]
     else:

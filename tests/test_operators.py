@@ -117,6 +117,21 @@ def test_large_taxonomy_uses_several_name_arrays(spark, monkeypatch):
     assert {r.i: r.mentioned and r.mentioned.id for r in found.collect()} == {1: "2", 2: None, 3: "3"}
 
 
+def test_mentions_by_join_equal_a_plain_search(spark, monkeypatch):
+    draw = random.Random(3)
+    words = ["".join(draw.choices("ab c", k=draw.randint(1, 7))).strip() or "a" for _ in range(60)]
+    texts = ["".join(draw.choices("ab c", k=draw.randint(0, 12))) for _ in range(80)]
+    rows = [("p", "parent", None)] + [(str(i), word, "p") for i, word in enumerate(words)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    ordered = sorted((word, str(i)) for i, word in enumerate(words))
+    expected = {i: next((key for word, key in ordered if word in text), None) for i, text in enumerate(texts)}
+    selectable = taxonomy.selectable_categories(_categories(spark, rows))
+    for limit in (20_000, 0):
+        monkeypatch.setattr(taxonomy, "MENTION_LIMIT", limit)
+        found = taxonomy.match_category_mention(frame, selectable, F.col("t")).collect()
+        assert {r.i: r.mentioned and r.mentioned.id for r in found} == expected, limit
+
+
 def test_flat_category_table_falls_back_to_all_active_rows(spark):
     rows = spark.createDataFrame([("1", "A", "true"), ("2", "B", "No"), ("", "C", "true")], "uuid string, label string, enabled string")
     assert [r.name for r in taxonomy.selectable_categories(rows).collect()] == ["A"]
