@@ -33,6 +33,27 @@ def test_url_key(spark):
     assert evaluate(spark, U.url_key, keys)[0] == keys[0]
 
 
+def test_url_key_agrees_with_the_standard_library(spark):
+    import random
+    from urllib.parse import parse_qs, urlsplit, urlunsplit
+
+    def expected(url):
+        parts = urlsplit(url)
+        query = ""
+        if "OpportunityDetail" in parts.path:
+            chosen = parse_qs(parts.query).get("opportunityId")
+            query = f"opportunityId={chosen[0]}" if chosen else ""
+        return urlunsplit((parts.scheme, parts.netloc, parts.path, query, ""))
+
+    draw = random.Random(5)
+    heads = ["http://h.com", "HTTPS://H.com:80", "//h.com", "", "h.com", " http://u@h.com", "http://[::1]", "ht\ntp://h.com"]
+    paths = ["", "/", "/a/b/", "/OpportunityDetail", "/x/OpportunityDetail/y", "/a b", "/a;p=1"]
+    queries = ["", "?a=1", "?opportunityId=A%20b&c=1", "?x=1&opportunityId=&opportunityId=7", "?opportunityId=a+b", "?a#opportunityId=3"]
+    tails = ["", "#f", "#f?q=1"]
+    urls = ["".join(map(draw.choice, (heads, paths, queries, tails))) for _ in range(300)]
+    assert evaluate(spark, U.url_key, urls) == [expected(url) for url in urls]
+
+
 def test_absolute_url_agrees_with_the_standard_library(spark):
     from urllib.parse import urljoin
 
