@@ -35,13 +35,13 @@ def _labels_between(spark, d):
     """Every line is followed by a label or filler, so labels meet lines and each other."""
     docs = _text_lines(spark, d)
     spread = F.flatten(
-        F.transform("lines", lambda line, i: F.array(F.left(line, F.lit(20)), pick(LABELS, F.col("doc_id") + i), pick(LABELS, F.col("doc_id") * 3 + i)))
+        F.transform("lines", lambda line, i: F.array(line, pick(LABELS, F.col("doc_id") + i), pick(LABELS, F.col("doc_id") * 3 + i)))
     )
     return docs.select("doc_id", spread.alias("lines"))
 
 
 _LABELS_SQL = f"""
-  select doc_id, pos * 3 + k as pos, case k when 0 then left(line, 20) when 1 then {pick_sql(LABELS, 'doc_id + pos')} else {pick_sql(LABELS, 'doc_id * 3 + pos')} end as line
+  select doc_id, pos * 3 + k as pos, case k when 0 then line when 1 then {pick_sql(LABELS, 'doc_id + pos')} else {pick_sql(LABELS, 'doc_id * 3 + pos')} end as line
   from ({_LINES_SQL}) l, unnest([0, 1, 2]) as u(k)"""
 
 
@@ -111,7 +111,7 @@ HEADINGS = ["Postal-Code", "E-Mail", "TEL", " Mobile ", "Fax", "Province", "Name
 
 def q_contact_label(spark, d):
     rows = _text_lines(spark, d).select("doc_id", F.posexplode("lines").alias("pos", "line"))
-    heading = F.when(F.col("pos") % 3 == 2, F.left("line", F.lit(9))).otherwise(pick(HEADINGS, F.col("doc_id") + F.col("pos")))
+    heading = F.when(F.col("pos") % 3 == 2, F.split_part("line", F.lit(" "), F.lit(1))).otherwise(pick(HEADINGS, F.col("doc_id") + F.col("pos")))
     return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), C.contact_label(heading).alias("field"))
 
 
@@ -121,7 +121,7 @@ def _label_sql(heading: str) -> str:
     return f"coalesce({table}[{snake}], case when list_contains({sql_list([*K.CONTACT_FIELDS, 'contact_person'])}, {snake}) then {snake} end)"
 
 
-_HEADING_SQL = f"case when pos % 3 = 2 then left(line, 9) else {pick_sql(HEADINGS, 'doc_id + pos')} end"
+_HEADING_SQL = f"case when pos % 3 = 2 then split_part(line, ' ', 1) else {pick_sql(HEADINGS, 'doc_id + pos')} end"
 SQL_CONTACT_LABEL = f"select doc_id, pos, {_label_sql(_HEADING_SQL)} as field from ({_LINES_SQL}) l"
 
 
@@ -149,18 +149,18 @@ def _place_lines(spark, d):
             "lines",
             lambda line, i: F.array(
                 pick(PLACE_LINES, F.col("doc_id") + i * 3),
-                F.concat(F.replace(F.left(line, F.lit(12)), F.lit(","), F.lit(" ")), pick(PLACE_TAILS, F.col("doc_id") + i)),
+                F.concat(F.replace(line, F.lit(","), F.lit(" ")), pick(PLACE_TAILS, F.col("doc_id") + i)),
             ),
         )
     )
-    # Lines of a text are tidy, so cut ends are tidied again.
+    # Lines of a text are tidy, so put-together ones are tidied again.
     tidy = F.filter(F.transform(spread, lambda line: F.trim(line)), lambda line: line != "")
     return docs.select("doc_id", tidy.alias("lines"))
 
 
 _PLACES_SQL = f"""
   select doc_id, row_number() over (partition by doc_id order by pos, k) - 1 as pos, line from (
-    select doc_id, pos, k, trim(case k when 0 then {pick_sql(PLACE_LINES, 'doc_id + pos * 3')} else replace(left(line, 12), ',', ' ') || {pick_sql(PLACE_TAILS, 'doc_id + pos')} end) as line
+    select doc_id, pos, k, trim(case k when 0 then {pick_sql(PLACE_LINES, 'doc_id + pos * 3')} else replace(line, ',', ' ') || {pick_sql(PLACE_TAILS, 'doc_id + pos')} end) as line
     from ({_LINES_SQL}) l, unnest([0, 1]) as u(k)) s where line <> ''"""
 _CA = r"'(?i)^(.+?)\s+([A-Z]{2})\s+([A-Z][0-9][A-Z][ -]?[0-9][A-Z][0-9])$'"
 _US = r"'(?i)^(.+?),\s*([A-Z]{2})\s+([0-9]{5}(?:-[0-9]{4})?)$'"
@@ -198,9 +198,11 @@ def q_heading_line(spark, d):
     return _place_lines(spark, d).select("doc_id", C.heading_line(F.col("lines")).alias("heading"))
 
 
+# Word edges are spelled out, since RE2 knows only ASCII letters as word characters.
+_EDGE = r"[^\p{L}\p{M}\p{N}_]"
 _HEADING_OK = (
-    f"not (regexp_matches(line, '[\\w.+-]+@[\\w.-]+\\.[A-Za-z]{{2,}}') or city is not null or list_contains({sql_list(K.COUNTRY_LINES)}, lower(line)) "
-    "or (regexp_matches(line, '[0-9]') and regexp_matches(line, '(?i)\\b(st|street|road|rd|drive|dr|ave|avenue|blvd|suite)\\b')))"
+    rf"not (regexp_matches(line, '[\p{{L}}\p{{M}}\p{{N}}_.+-]+@[\p{{L}}\p{{M}}\p{{N}}_.-]+\.[A-Za-z]{{2,}}') or city is not null or list_contains({sql_list(K.COUNTRY_LINES)}, lower(line)) "
+    rf"or (regexp_matches(line, '[0-9]') and regexp_matches(line, '(?i)(?:^|{_EDGE})(?:st|street|road|rd|drive|dr|ave|avenue|blvd|suite)(?:$|{_EDGE})')))"
 )
 SQL_HEADING_LINE = f"select doc_id, arg_min(line, pos) filter ({_HEADING_OK}) as heading from ({_PLACE_SQL}) q group by doc_id"
 

@@ -112,14 +112,14 @@ select asked, count(*) as n, cast(greatest(1, least(coalesce(asked, 5), 5)) as i
 def q_dedupe_ci(spark, d):
     docs = _documents(spark, d)
     lines = F.split("text", "\n")
-    doubled = F.concat(lines, F.transform(lines, lambda x: F.lower(F.left(x, F.lit(12)))), F.transform(lines, lambda x: F.left(x, F.lit(12))))
+    doubled = F.concat(lines, F.transform(lines, lambda x: F.lower(x)), F.transform(lines, lambda x: F.concat(x, F.lit("!"))), lines)
     kept = T.dedupe_ci(doubled)
     return docs.select("doc_id", F.posexplode(kept).alias("pos", "line")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.sha2("line", 256).alias("line"))
 
 
 SQL_DEDUPE_CI = """
 with s as (select doc_id, string_split(text, chr(10)) as ls from documents),
-t as (select doc_id, list_concat(list_concat(ls, list_transform(ls, lambda x: lower(left(x, 12)))), list_transform(ls, lambda x: left(x, 12))) as vs from s),
+t as (select doc_id, list_concat(list_concat(list_concat(ls, list_transform(ls, lambda x: lower(x))), list_transform(ls, lambda x: x || '!')), ls) as vs from s),
 r as (select doc_id, i, vs[i] as line from t, unnest(range(1, len(vs) + 1)) as u(i)),
 f as (select doc_id, arg_min(line, i) as line, min(i) as i from r group by doc_id, lower(line))
 select doc_id, row_number() over (partition by doc_id order by i) - 1 as pos, sha256(line) as line from f"""
