@@ -19,7 +19,8 @@ def _pieces_sql(html: str) -> str:
     quiet = f"regexp_replace({html}, '(?s)<(script|style|noscript)[^>]*>.*?</(?:script|style|noscript)>', '<x>', 'g')"
     text = "p"
     for entity, char in _ENTITIES:
-        text = f"replace({text}, '{entity}', {char})"
+        # A title may be cut inside an entity; these names are read without their semicolon, too.
+        text = f"regexp_replace({text}, '{entity}?', {char}, 'g')"
     stripped = strip_sql(text)
     return f"list_filter(list_transform(string_split_regex({quiet}, '(?s)<!--.*?-->|<[^>]*>'), lambda p: {stripped}), lambda p: p <> '')"
 
