@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +49,25 @@ def width(spark: SparkSession) -> int:
 def part_of(*cols: str | Column, parts: int) -> Column:
     """A number from 0 to ``parts`` - 1 that depends on these columns alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(parts)).cast("int")
+
+
+def runs_by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key from batches that are sorted by it; a key's rows may lie in several batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), batch.num_rows]
+        if held and held[0].column(key)[0].as_py() != values[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            part = batch.slice(low, high - low)
+            if high < batch.num_rows:
+                yield pa.Table.from_batches([*held, part])
+                held = []
+            else:
+                held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -24,7 +24,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null texts count as empty, and all empty texts are one group. Repeated rows (same id, same text) count each in ``group_size``
     and all carry ``kept`` if their id is the smallest. Null ids never win over another id; a group of null ids alone has a null
-    ``keep_id`` and ``kept`` false. An empty table gives no rows. Other columns are not read.
+    ``keep_id`` and is kept. An empty table gives no rows. Other columns are not read.
     """
     rows = texts(docs, id_col, text_col).withColumn("text", normal_text(F.col("text")))
     keyed = rows.withColumn("hash128", F.md5("text"))
@@ -35,12 +35,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     narrow = keyed.select("doc_id", "hash128", F.sha2("text", 256).alias("text_sha256"))
     return narrow.join(groups, ["hash128", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, with all their columns; of rows repeated with one id and text, one."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("keep_id").alias(id_col), "text_sha256").distinct()
+    found = exact_duplicates(docs, id_col, text_col)
+    away = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
     digest = F.sha2(normal_text(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
-    return docs.withColumn("text_sha256", digest).join(kept, [id_col, "text_sha256"], "left_semi").drop("text_sha256").dropDuplicates([id_col])
+    marked = docs.withColumn("_digest", digest)
+    stay = marked.join(away, marked[id_col].eqNullSafe(away["_id"]) & (marked["_digest"] == away["_digest"]), "left_anti")
+    return stay.dropDuplicates([id_col, "_digest"]).drop("_digest")

@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm.decontaminate import find_leaks
 from gleaner.llm.exact_dups import exact_duplicates
+from gleaner.llm.licenses import scan_licenses
+from gleaner.llm.lm import score_documents
+from gleaner.llm.near_dups import near_duplicates
 from gleaner.llm.packing import pack_documents
+from gleaner.llm.quality import classify_quality
+from gleaner.llm.repeats import find_repeats
 from gleaner.llm.shards import shard_documents
 from gleaner.llm.url_rules import judge_urls
 
@@ -24,16 +30,46 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(_table(spark, folder, "documents"))
+
+
 def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     values = ", ".join(str(rule) for rule in URL_RULES)
     rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, verdict)")
     return judge_urls(_table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_table(spark, folder, "documents"), TOKENIZER)
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return classify_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents"), shingle=3, percent=85)
+
+
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_repeats(_table(spark, folder, "documents"), 35)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_licenses(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.start").alias("first_word"),
+        F.array_max("places.start").alias("last_word"), "base_labels", "labels", "score",
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_table(spark, folder, "documents"))
 
@@ -45,7 +81,8 @@ def op10_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        op2_url_rules, op4_best_fit_packing, op9_exact_dedup, op10_extendible_shards,
+        op1_lm_scoring, op2_url_rules, op3_decontamination, op4_best_fit_packing, op5_quality, op6_near_dedup, op7_substring_dedup,
+        op8_license_scan, op9_exact_dedup, op10_extendible_shards,
     )
 }
 
