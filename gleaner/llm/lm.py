@@ -17,7 +17,9 @@ from gleaner.llm.wordhash import Words, text_runs
 #: Outputs of the network: the end, the most frequent words, and groups of all other words.
 FREQUENT, GROUPS = 960, 64
 OUTPUTS = FREQUENT + GROUPS
-VECTOR, CONTEXT, NOISE, BATCH, RATE, ROUNDS = 32, 2, 64, 2048, 0.15, 2
+VECTOR, NOISE, BATCH, RATE, ROUNDS = 32, 128, 512, 0.1, 2
+#: Sum of squared slopes that a parameter starts with: its first steps are small, whatever the first slope.
+START = 1e-6
 END = np.uint64(0x5851F42D4C957F2D)
 BLOCK_BYTES, MOST_BLOCK_BYTES = 4 << 20, 64 << 20
 SCORED_TOKENS = 1_000_000
@@ -36,7 +38,7 @@ class Corpus:
     distinct: int
     frequent: np.ndarray  # sorted hashes of the frequent words; the end is output 0
     output: np.ndarray  # their outputs
-    group_sum: np.ndarray  # sum of count + 1 over the other words of each group, and the group's part of the mass for unseen words
+    group_sum: np.ndarray  # sum of count + 1 over the other words of each group, and one for unseen words
     noise: np.ndarray  # unigram distribution over the outputs
 
 
@@ -117,7 +119,7 @@ def _summary(counted: DataFrame) -> Corpus:
     per_group = {r["pos"]: r["s"] for r in sums.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("s")).collect()}
     candidates = counted.where("kind = 1").select("words", "counts", "groups").mapInArrow(_frequent, "word long, count long, `group` int")
     top = candidates.orderBy(F.desc("count"), "word").limit(FREQUENT - 1).collect()
-    group_sum = np.array([per_group.get(g, 0.0) for g in range(GROUPS)]) + 1 / GROUPS
+    group_sum = np.array([per_group.get(g, 0.0) for g in range(GROUPS)]) + 1.0
     noise = np.full(OUTPUTS, 1e-9)
     for k, row in enumerate(top):
         group_sum[row["group"]] -= row["count"] + 1
@@ -140,14 +142,14 @@ def _code(corpus: Corpus):
         for _, _, data, offsets in text_runs(table.column("text")):
             values, groups, begin = _tokens(data, offsets)
             c = count[np.searchsorted(known, values)]
-            out = (FREQUENT + groups).astype("<u2")
+            out = (FREQUENT + groups.astype(np.int64)).astype("<u2")
             out[values == END] = 0
             if len(corpus.frequent):
                 spot = np.minimum(np.searchsorted(corpus.frequent, values), len(corpus.frequent) - 1)
                 hit = corpus.frequent[spot] == values
                 out[hit] = corpus.output[spot[hit]]
             other = out >= FREQUENT
-            share = np.where(other, np.log10(np.where(c > 0, c + 1.0, 1 / GROUPS) / corpus.group_sum[groups]), 0.0)
+            share = np.where(other, np.log10((c + 1.0) / corpus.group_sum[groups]), 0.0)
             n_tokens += np.diff(begin).tolist()
             for target, column in ((n_known, c > 0), (logs, np.log10(c + 1.0)), (rest, share)):
                 target += np.add.reduceat(column.astype(np.float64), begin[:-1]).tolist()
@@ -165,6 +167,15 @@ def _code(corpus: Corpus):
 _CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rest double, ids binary"
 
 
+def _sums(index: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Rows of values added up by output."""
+    order = np.argsort(index)
+    begin = np.flatnonzero(np.diff(index[order], prepend=-1))
+    out = np.zeros((OUTPUTS, values.shape[1]), np.float32)
+    out[index[order[begin]]] = np.add.reduceat(values[order], begin, axis=0)
+    return out
+
+
 class LogBilinear:
     """Predicts a token's vector as a sum of the two previous tokens' vectors, each weighted element by element; an output's score is
     its product with the prediction, plus a bias."""
@@ -192,7 +203,7 @@ class LogBilinear:
         draw = np.random.default_rng(seed)
         level = (np.log(self.noise) + math.log(NOISE)).astype(np.float32)
         cdf = np.cumsum(self.noise)
-        past = [np.full(p.shape, 1e-8, np.float32) for p in (self.rows, self.out, self.bias, self.mix)]
+        past = [np.full(p.shape, START, np.float32) for p in (self.rows, self.out, self.bias, self.mix)]
         seen = 0
         for one, two, true in batches:
             n = len(true)
@@ -203,11 +214,8 @@ class LogBilinear:
             up = 1 / (1 + np.exp(np.clip((h * self.out[true]).sum(axis=1) + self.bias[true] - level[true], -30, 30)))
             down = 1 / (1 + np.exp(np.clip(level[fake] - self.bias[fake] - h @ self.out[fake].T, -30, 30)))
             dh = up[:, None] * self.out[true] - down @ self.out[fake]
-            d_rows, d_out = np.zeros_like(self.rows), np.zeros_like(self.out)
-            np.add.at(d_rows, one, dh * self.mix[0])
-            np.add.at(d_rows, two, dh * self.mix[1])
-            np.add.at(d_out, true, up[:, None] * h)
-            np.add.at(d_out, fake, -(down.T @ h))
+            d_rows = _sums(np.concatenate([one, two]), np.concatenate([dh * self.mix[0], dh * self.mix[1]]))
+            d_out = _sums(np.concatenate([true, fake]), np.concatenate([up[:, None] * h, -(down.T @ h)]))
             d_bias = np.bincount(true, up, OUTPUTS).astype(np.float32) - np.bincount(fake, down.sum(axis=0), OUTPUTS).astype(np.float32)
             d_mix = np.stack([(dh * a).sum(axis=0), (dh * b).sum(axis=0)])
             for value, slope, total in zip((self.rows, self.out, self.bias, self.mix), (d_rows, d_out, d_bias, d_mix), past):
@@ -252,6 +260,7 @@ def _train_round(coded: DataFrame, model: LogBilinear, number: int) -> None:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LogBilinear(shared.value.noise)
         own.load(shared.value.parts())
+        draw = np.random.default_rng(number)
 
         def steps() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for batch in batches:
@@ -259,8 +268,10 @@ def _train_round(coded: DataFrame, model: LogBilinear, number: int) -> None:
                 begin = np.concatenate([[0], np.cumsum([len(x) // 2 for x in blobs])]).astype(np.int64)
                 ids = np.frombuffer(b"".join(blobs), "<u2").astype(np.int64)
                 one, two = contexts(ids, begin)
+                order = draw.permutation(len(ids))
                 for at in range(0, len(ids), BATCH):
-                    yield one[at : at + BATCH], two[at : at + BATCH], ids[at : at + BATCH]
+                    pick = order[at : at + BATCH]
+                    yield one[pick], two[pick], ids[pick]
 
         seen = own.train(steps(), number)
         if seen:
@@ -289,8 +300,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are not ``held_out``) give ``base_score``, the add-one unigram log10 probability of the text, and ``n_known``, its tokens with a count.
     ``score`` is the log10 probability under a log-bilinear model with two words of context. Its outputs are the end, the 959 most
     frequent words and 64 groups of all other words (by their last two bytes); its probabilities over them are normalised exactly.
-    Inside a group a word has its add-one share of the group's count, and words never seen in training share one more count,
-    spread evenly over the groups, as they do in the base: both scores spread the same mass over the same events.
+    Inside a group a word has its add-one share of the group's count; to have never been seen in training is one more event of count one
+    in each group, as it is one in the base.
 
     Texts are dealt to blocks of 4 to 64 MB. A block sends each of its distinct words once, by hash bucket; a bucket adds up the counts and
     answers every block, so a word in every text costs one entry per block. Words are told apart by 64-bit hashes. Blocks are then coded
@@ -320,7 +331,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows and int(np.sum(b.column("n_tokens"))) for b in held) >= SCORED_TOKENS:
+            if sum(b.num_rows and int(b.column("n_tokens").to_numpy().sum()) for b in held) >= SCORED_TOKENS:
                 yield scored(held)
                 held = []
         if held:

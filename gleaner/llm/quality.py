@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import prepare, settle
 
 #: At most so many labelled documents are used to fit the text classifier, those with the smallest hash of their id.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 20_000
 #: At most so many words are features of a target: those that tell most between its classes in the sample.
-WORDS_PER_TARGET = 1500
+WORDS_PER_TARGET = 400
 FOLDS, HELD_OUT_FOLD = 5, 0
+#: A document stays below these probabilities. Toxic ones are rare and their words telling, so less is enough there.
+MOST_BAD, MOST_TOXIC = 0.5, 0.2
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[48:58] = 1
@@ -48,9 +50,11 @@ def shape(text: bytes, words: list[bytes]) -> list[float]:
 
 
 def _folded(text: bytes) -> tuple[list[bytes], set[bytes]]:
-    """Words as they stand, and the distinct ones in lower case without marks around them."""
+    """Words as they stand; and the distinct ones in lower case without marks around them, with their beginnings of four and five bytes."""
     words = text.split()
-    return words, {w.strip(b".,;:!?()\"'|*#$%&") for w in set(text.lower().split())} - {b""}
+    own = {w.strip(b".,;:!?()\"'|*#$%&") for w in set(text.lower().split())} - {b""}
+    long = [w for w in own if len(w) > 5]
+    return words, own.union([w[:5] + b"-" for w in long], [w[:4] + b"-" for w in long])
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, targets: tuple[str, ...]) -> DataFrame:
@@ -76,7 +80,7 @@ class TextModel:
         return out
 
 
-def _fit(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, n_words: int, y: np.ndarray, steps: int = 300, decay: float = 2e-4) -> np.ndarray:
+def _fit(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, n_words: int, y: np.ndarray, steps: int = 300, decay: float = 5e-5) -> np.ndarray:
     """Weights that minimise the log loss, by Adam on all rows at once. ``rows`` and ``cols``: which row has which word."""
     n, d = x.shape
     w, first, second = np.zeros(d + n_words), np.zeros(d + n_words), np.zeros(d + n_words)
@@ -184,7 +188,7 @@ def classify_quality(
     (``text_toxic``). Host and path rates of bad documents come from all labelled rows outside that fold, by grouped sums, each
     shrunk toward the level above (``shrunk_rates``); ``path_rate`` of a site without labels is its host's rate or the global one. The
     posterior odds are the path's rate as prior odds times the text's own odds over the global odds, for ``bad``; ``toxic`` is the
-    text's own probability. ``kept`` is true where both are below one half.
+    text's own probability. ``kept`` is true where ``bad`` is below 0.5 and ``toxic`` below 0.2.
 
     Null and empty texts have no words and are judged by that. Null hosts and paths are empty ones, sites like others. Repeated rows are
     judged each alike; null ids have no label but are judged. Without labels every rate is one half and the text says nothing: nothing
@@ -215,7 +219,7 @@ def classify_quality(
     odds = lambda p: p / (1 - p)
     posterior = odds(path_rate) * odds(F.col("text_bad")) / (overall / (1 - overall))
     scored = placed.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_bad", "text_toxic", host_rate.alias("host_rate"), path_rate.alias("path_rate"), (posterior / (1 + posterior)).alias("bad"), F.col("text_toxic").alias("toxic"))
-    return scored.withColumn("kept", (F.col("bad") < 0.5) & (F.col("toxic") < 0.5))
+    return scored.withColumn("kept", (F.col("bad") < MOST_BAD) & (F.col("toxic") < MOST_TOXIC))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
