@@ -57,9 +57,9 @@ def _folded(text: bytes) -> tuple[list[bytes], set[bytes]]:
     return words, own.union([w[:5] + b"-" for w in long], [w[:4] + b"-" for w in long])
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, targets: tuple[str, ...]) -> DataFrame:
+def labelled_rows(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...]) -> DataFrame:
     """``docs`` with one 0/1 label for each target; of repeated labels of an id, the largest. Rows without a label are left out."""
-    marks = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(*[F.max(F.col(t).cast("int")).alias(t) for t in targets])
+    marks = labels.groupBy("doc_id").agg(*[F.max(t).alias(t) for t in targets])
     return docs.join(marks.dropna(subset=list(targets)), "doc_id")
 
 
@@ -96,20 +96,21 @@ def _fit(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, n_words: int, y: np.
 
 
 def fit_text_model(rows: DataFrame, targets: tuple[str, ...]) -> TextModel:
-    """Fit on ``doc_id, text`` and one 0/1 column per target. Uses ``SAMPLE_ROWS`` rows at most; the driver sees their shape numbers and
-    the positions of chosen words, never a text."""
-    sample = settle(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select("doc_id", F.encode("text", "utf-8").alias("text"), *targets))
+    """Fit on ``doc_id, text`` and one 0/1 column per target, a bounded sample. The driver sees its shape numbers and the positions of
+    chosen words, never a text."""
+    sample = settle(rows.select("doc_id", F.encode("text", "utf-8").alias("text"), *targets))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [batch.column(t).to_pylist() for t in targets]
-            counts: dict[bytes, np.ndarray] = {}
+            marks = [[1] * batch.num_rows, *(batch.column(t).to_pylist() for t in targets)]
+            counts: list[Counter] = [Counter() for _ in marks]
             for k, text in enumerate(batch.column("text")):
-                add = np.array([1, *(m[k] for m in marks)])
-                for word in _folded(text.as_buffer().to_pybytes())[1]:
-                    counts[word] = counts[word] + add if word in counts else add
-            held = np.array(list(counts.values()), np.int64).reshape(-1, 1 + len(targets))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *(pa.array(c) for c in held.T)], ["word", "n", *targets])
+                distinct = _folded(text.as_buffer().to_pybytes())[1]
+                for count, mark in zip(counts, marks):
+                    if mark[k]:
+                        count.update(distinct)
+            columns = [pa.array([count[word] for word in counts[0]], pa.int64()) for count in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts[0]), pa.binary()), *columns], ["word", "n", *targets])
 
     sums = sample.mapInArrow(words_of, "word binary, n long, " + ", ".join(f"{t} long" for t in targets)).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *targets)])
     common = settle(sums.where("n >= 5"))
@@ -199,8 +200,10 @@ def classify_quality(
     site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((host_col, "host"), (path_col, "path"))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *site)
     bad = labels.select(F.col(id_col).cast("long").alias("doc_id"), (1 - F.col(quality_col).cast("int")).alias("bad"), F.col(toxic_col).cast("int").alias("toxic"))
-    marked = labelled_rows(rows, bad, "doc_id", ("bad", "toxic")).where(~held_out(F.col("doc_id")))
-    model = spark.sparkContext.broadcast(fit_text_model(marked.select("doc_id", "text", "bad", "toxic"), ("bad", "toxic")))
+    marked = settle(labelled_rows(rows.select("doc_id", "host", "path"), bad, ("bad", "toxic")).where(~held_out(F.col("doc_id"))))
+    sample = marked.select("doc_id", "bad", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    # At most SAMPLE_ROWS rows of three numbers.
+    model = spark.sparkContext.broadcast(fit_text_model(rows.join(F.broadcast(sample), "doc_id"), ("bad", "toxic")))
     rates = settle(shrunk_rates(marked.select("host", "path", "bad"), "bad"))
     overall = (rates.select("global_rate").first() or [0.5])[0]
 
