@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["links", "text", "places", "categories", "feeds", "records", "output", "contacts", "pages"]
+NAMES = ["links", "text", "places", "categories", "feeds", "records", "output", "contacts", "pages", "runs"]
 _MODULES = [importlib.import_module(f"catalog.{name}") for name in NAMES]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -6,6 +6,7 @@ Each removal changes the text its neighbours are measured by, so the page is wal
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -51,6 +52,7 @@ VENDOR_IDS = {"asbranding", "asbreadcrumbs"}
 NAMING_ATTRS = ("id", "class", "aria-label", "title", "data-testid", "data-automation", "data-test")
 ALL_ATTRS = ("id", "class", "href", "aria-label", "title", "data-testid", "data-automation", "data-test", "data-ht", "placeholder", "action")
 CONTENT_TAGS = {"h1", "h2", "h3", "h4", "p", "ul", "ol", "table", "article"}
+HEADING_CHARS = 1000
 APPLY_TEXT_LIMIT, RELATED_TEXT_LIMIT, BODY_TEXT_LIMIT, ACTION_TEXT_LIMIT = 1200, 1500, 800, 250
 
 
@@ -62,6 +64,8 @@ class _Page:
         self.gone = [not node["live"] for node in nodes]
         self.roots: list[dict] = []
         self.attrs = [dict(node["attrs"] or ()) for node in nodes]
+        self.pieces = {i: piece for i, node in enumerate(nodes) if node["tag"] == "#text" and (piece := node["text"].strip())}
+        self.places = list(self.pieces)
 
     def elements(self):
         for number, node in enumerate(self.nodes):
@@ -72,10 +76,23 @@ class _Page:
         attrs = self.attrs[number]
         return " ".join(attrs[name] for name in names if attrs.get(name))
 
-    def text(self, number: int) -> str:
-        run = range(number + 1, self.nodes[number]["last"] + 1)
-        pieces = (self.nodes[i]["text"].strip() for i in run if self.nodes[i]["tag"] == "#text" and not self.gone[i])
-        return " ".join(piece for piece in pieces if piece)
+    def text(self, number: int, enough: int | None = None) -> str:
+        """The text below a node; of a longer one, only its beginning of at least ``enough`` characters."""
+        last, found, size = self.nodes[number]["last"], [], 0
+        for k in range(bisect_left(self.places, number), len(self.places)):
+            place = self.places[k]
+            if place > last or (enough is not None and size > enough):
+                break
+            if not self.gone[place]:
+                found.append(self.pieces[place])
+                size += len(found[-1]) + 1
+        return " ".join(found)
+
+    def opens_with(self, number: int, *patterns: re.Pattern) -> bool:
+        """Whether the node's text matches a pattern; the whole of a long text is read only if its beginning does."""
+        text = self.text(number, HEADING_CHARS)
+        matched = [p for p in patterns if p.match(text)]
+        return bool(matched) and (len(text) <= HEADING_CHARS or any(p.match(self.text(number)) for p in matched))
 
     def holds(self, number: int, tags: set[str]) -> bool:
         run = range(number + 1, self.nodes[number]["last"] + 1)
@@ -98,7 +115,7 @@ def _apply_block(page: _Page, number: int) -> int:
     block = number
     for parent, tag in page.ancestors(number, ("body", "main", "article")):
         wrapper = APPLY_BLOCK_ATTRS.search(page.words(parent, NAMING_ATTRS))
-        small = tag in ("div", "section", "aside", "form", "ul", "li") and len(page.text(parent)) <= APPLY_TEXT_LIMIT
+        small = tag in ("div", "section", "aside", "form", "ul", "li") and len(page.text(parent, APPLY_TEXT_LIMIT)) <= APPLY_TEXT_LIMIT
         if not (wrapper or small):
             break
         block = parent
@@ -108,8 +125,8 @@ def _apply_block(page: _Page, number: int) -> int:
 def _related_block(page: _Page, number: int) -> int:
     block = number
     for parent, tag in page.ancestors(number, ("body", "main", "article")):
-        text = page.text(parent)
-        if len(text) > BODY_TEXT_LIMIT and JOB_BODY.search(text):
+        text = page.text(parent, RELATED_TEXT_LIMIT)
+        if len(text) > BODY_TEXT_LIMIT and JOB_BODY.search(page.text(parent)):
             break
         if tag in ("section", "aside", "nav") or RELATED_BLOCK_ATTRS.search(page.words(parent, NAMING_ATTRS)):
             return parent
@@ -124,7 +141,7 @@ def _action_block(page: _Page, number: int) -> int:
     for parent, tag in page.ancestors(number, ("body", "main")):
         if tag not in ("div", "section", "aside", "form", "p", "li"):
             continue
-        text = page.text(parent)
+        text = page.text(parent, ACTION_TEXT_LIMIT)
         if len(text) > ACTION_TEXT_LIMIT or page.holds(parent, CONTENT_TAGS) or not ACTION_ONLY.fullmatch(text):
             break
         block = parent
@@ -138,7 +155,7 @@ def _is_action(page: _Page, number: int) -> bool:
     if tag not in ("a", "button") and attrs.get("role") != "button":
         return False
     labels = " ".join(attrs.get(name, "") for name in ("aria-label", "title", "value"))
-    return bool(ACTION_TEXT.match(page.text(number)) or ACTION_TEXT.match(labels.strip()))
+    return bool(page.opens_with(number, ACTION_TEXT) or ACTION_TEXT.match(labels.strip()))
 
 
 def mark_chrome(nodes: list[dict]) -> list[dict]:
@@ -161,8 +178,7 @@ def mark_chrome(nodes: list[dict]) -> list[dict]:
         if _is_action(page, number):
             page.remove(_action_block(page, number))
     for number in page.elements():
-        text = page.text(number)
-        if RELATED_HEADING.match(text) or ALL_JOBS_HEADING.match(text):
+        if page.opens_with(number, RELATED_HEADING, ALL_JOBS_HEADING):
             page.remove(_related_block(page, number))
     return page.roots
 

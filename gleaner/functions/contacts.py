@@ -105,7 +105,7 @@ def heading_line(lines: Column) -> Column:
 
 
 ADDRESS_STATE = (
-    "struct<country:string,post_code:string,city:string,state:string,address_lines:array<string>>"
+    "struct<country:string,post_code:string,city:string,state:string,country_at:int,post_at:int>"
 )
 
 
@@ -120,7 +120,8 @@ def address_fields(
     """Read the lines in order: country, post code, place lines, and the rest as the address.
 
     What earlier lines filled decides how later lines are read, so this is a fold. The other
-    arguments are values already known. ``address_lines`` holds the leftover lines.
+    arguments are values already known. ``address_lines`` holds the leftover lines: the fold notes which two lines gave
+    country and post code, and the lines are filtered once.
     """
     known = lambda column: _null() if column is None else column
     start = F.struct(
@@ -128,11 +129,13 @@ def address_fields(
         known(post_code).alias("post_code"),
         known(city).alias("city"),
         known(state).alias("state"),
-        F.array().cast("array<string>").alias("address_lines"),
+        F.lit(-1).alias("country_at"),
+        F.lit(-1).alias("post_at"),
     ).cast(ADDRESS_STATE)
     facts = F.transform(
         lines,
-        lambda line: F.struct(
+        lambda line, i: F.struct(
+            i.alias("at"),
             line.alias("line"),
             F.lower(line).isin(K.COUNTRY_LINES).alias("is_country"),
             is_canadian_post_code(line).alias("is_post_code"),
@@ -147,7 +150,6 @@ def address_fields(
         takes_post = ~takes_country & done["post_code"].isNull() & fact["is_post_code"]
         free = ~takes_country & ~takes_post
         three, place = free & fact["three"].isNotNull(), free & fact["three"].isNull() & fact["place"].isNotNull()
-        left = free & fact["three"].isNull() & fact["place"].isNull() & fact["other"]
         from_line = lambda field: F.when(three, fact["three"][field]).when(place, fact["place"][field])
         return F.struct(
             F.coalesce(done["country"], F.when(takes_country, fact["line"]).when(three, fact["three"]["country"])).alias("country"),
@@ -156,10 +158,17 @@ def address_fields(
             ).alias("post_code"),
             F.coalesce(done["city"], from_line("city")).alias("city"),
             F.coalesce(done["state"], from_line("state")).alias("state"),
-            F.when(left, F.array_append(done["address_lines"], fact["line"])).otherwise(done["address_lines"]).alias("address_lines"),
+            F.when(takes_country, fact["at"]).otherwise(done["country_at"]).alias("country_at"),
+            F.when(takes_post, fact["at"]).otherwise(done["post_at"]).alias("post_at"),
         ).cast(ADDRESS_STATE)
 
-    return F.aggregate(facts, start, read)
+    def with_lines(held: Column, done: Column) -> Column:
+        taken = lambda fact: (fact["at"] == done["country_at"]) | (fact["at"] == done["post_at"])
+        left = F.filter(held, lambda fact: ~taken(fact) & fact["three"].isNull() & fact["place"].isNull() & fact["other"])
+        lines_left = F.transform(left, lambda fact: fact["line"])
+        return F.struct(*[done[name].alias(name) for name in ("country", "post_code", "city", "state")], lines_left.alias("address_lines"))
+
+    return let(facts, lambda held: let(F.aggregate(held, start, read), lambda done: with_lines(held, done)))
 
 
 def _bare_label(line: Column) -> Column:

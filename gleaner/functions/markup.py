@@ -1,8 +1,8 @@
 """Html text to an array of nodes. The only place where markup is parsed.
 
 Nodes stand in document order, so ``node`` is also the position in the array and the subtree of a
-node is the run ``node .. last``. Text pieces are nodes tagged ``#text``; script, style and template
-contents are ``#raw`` and never count as page text.
+node is the run ``node .. last``. Text pieces are nodes tagged ``#text``; what stands anywhere below
+script, style, template or ruby annotations is ``#raw`` and never counts as page text.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ _ARROW_NODES = pa.list_(
     )
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW_PARENTS = frozenset(("script", "style", "template"))
+_RAW_CONTAINERS = frozenset(("script", "style", "template", "rt", "rp"))
 
 
 class _NodeReader(HTMLParser):
@@ -40,6 +40,7 @@ class _NodeReader(HTMLParser):
         self.nodes: list[dict] = []
         self.stack: list[int] = []
         self.open_tags: dict[str, int] = {}
+        self.raw_depth = 0
         self.pieces: list[str] = []
 
     def _add(self, tag: str, attrs: list, text: str | None) -> int:
@@ -60,8 +61,7 @@ class _NodeReader(HTMLParser):
             return
         if not text.strip(" \t\n\r\f"):
             text = "\n" if "\n" in text else " "
-        raw = bool(self.stack) and self.nodes[self.stack[-1]]["tag"] in _RAW_PARENTS
-        number = self._add("#raw" if raw else "#text", [], text)
+        number = self._add("#raw" if self.raw_depth else "#text", [], text)
         self.nodes[number]["closes"] = []
 
     def _close(self, number: int) -> None:
@@ -77,6 +77,7 @@ class _NodeReader(HTMLParser):
         else:
             self.stack.append(number)
             self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
+            self.raw_depth += tag in _RAW_CONTAINERS
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -89,6 +90,7 @@ class _NodeReader(HTMLParser):
             number = self.stack.pop()
             name = self.nodes[number]["tag"]
             self.open_tags[name] -= 1
+            self.raw_depth -= name in _RAW_CONTAINERS
             self._close(number)
             if name == tag:
                 break
@@ -104,6 +106,9 @@ class _NodeReader(HTMLParser):
 
     def unknown_decl(self, data: str) -> None:
         self._flush()
+        if data.upper().startswith("CDATA["):
+            self.pieces.append(data[len("CDATA[") :])
+            self._flush()
 
     def finish(self) -> list[dict]:
         self.close()

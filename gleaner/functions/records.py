@@ -43,7 +43,8 @@ def ask_model(prompt: Column, open_model: Callable[[], Callable[[str], str]]) ->
             yield batch.map(answer, na_action="ignore").astype(object)
 
     answers.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(answers, "string")(prompt)
+    # A model may answer otherwise the next time, so the optimizer must not copy the call.
+    return F.pandas_udf(answers, "string").asNondeterministic()(prompt)
 
 
 def extract_with_model(
@@ -107,9 +108,12 @@ def verbatim_or_rule(response: Column, rule: Column, field: str = "description")
     )
 
 
-def post_id(site: Column, source_url: Column) -> Column:
-    """The same id for the same page of the same site, so a repeated load does not add rows."""
-    return F.sha2(F.concat_ws("|", site, url_key(source_url)), 256)
+def post_id(site: Column, source_url: Column, record: Column | None = None) -> Column:
+    """The same id for the same page of the same site; without a URL the ``record``'s content takes the page's place."""
+    page = url_key(source_url)
+    if record is not None:
+        page = F.when(strip_space(source_url) != "", page).otherwise(record)
+    return F.sha2(F.concat_ws("|", site, page), 256)
 
 
 def post_rows(records: DataFrame, run_ts: datetime, default_owner: str = K.DEFAULT_OWNER) -> DataFrame:
@@ -117,7 +121,8 @@ def post_rows(records: DataFrame, run_ts: datetime, default_owner: str = K.DEFAU
     texts = {out: F.coalesce(first_filled(records, names), F.lit("")) for out, names in K.POST_ALIASES.items()}
     owner = first_filled(records, ["postedById"])
     now = F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz")
-    key = post_id(texts["siteId"], texts["source_url"])
+    shown = [F.col(f.name) for f in records.schema.fields if f.dataType.typeName() not in ("variant", "map")]
+    key = post_id(texts["siteId"], texts["source_url"], F.to_json(F.struct(*shown)))
     columns = {
         "id": key,
         "employerName": texts["employerName"],

@@ -113,14 +113,15 @@ def drop_blank_fields(fields: Column) -> Column:
 def dedupe_ci(values: Column) -> Column:
     """Case-insensitive distinct of an array; the first spelling stays, in order."""
 
-    def with_keys(pair: Column) -> Column:
-        return F.transform(
-            F.array_distinct(pair["keys"]),
-            lambda key: F.get(pair["spellings"], (F.array_position(pair["keys"], key) - 1).cast("int")),
-        )
-
-    spellings = F.struct(values.alias("spellings"), F.transform(values, F.lower).alias("keys"))
-    return let(spellings, with_keys)
+    # Sorted by key and place, so equal keys stand side by side and the first spelling leads them.
+    marked = F.transform(values, lambda value, i: F.struct(F.lower(value).alias("key"), i.alias("at"), value.alias("spelling")))
+
+    def leading(rows: Column) -> Column:
+        first = F.filter(rows, lambda row, i: (i == 0) | ~row["key"].eqNullSafe(F.get(rows, i - 1)["key"]))
+        ordered = F.array_sort(F.transform(first, lambda row: F.struct(row["at"].alias("at"), row["spelling"].alias("spelling"))))
+        return F.transform(ordered, lambda row: row["spelling"])
+
+    return let(F.array_sort(marked), leading)
 
 
 def clamp(value: Column, low: int, high: int) -> Column:

@@ -28,7 +28,7 @@ from gleaner.functions.nodes import (
     text_pieces,
 )
 from gleaner.functions.staging import settled
-from gleaner.functions.text import blank_to_null, dedupe_ci, let, normalize_space, split_lines, strip_space
+from gleaner.functions.text import blank_to_null, dedupe_ci, fix_mojibake, let, normalize_space, split_lines, strip_space
 from gleaner.functions.urls import detail_url_filter, detail_urls, is_job_url, numbered_page_urls, tag_from_href
 
 SILENT_TAGS = ("script", "style", "noscript")
@@ -201,11 +201,9 @@ def job_links(pages: DataFrame, listing: str = "page_id") -> DataFrame:
 
 
 def job_iframes(pages: DataFrame, listing: str = "page_id") -> DataFrame:
-    """Sources of iframes that hold listings, each once per page."""
+    """Sources of iframes that hold listings, each once per page; the full address tells, not the source as written."""
     words = "|".join(K.JOB_IFRAME_WORDS)
-    frames = find_all(
-        F.col("nodes"), lambda n: (n["tag"] == "iframe") & F.lower(strip_space(attr(n, "src"))).rlike(words)
-    )
+    frames = find_all(F.col("nodes"), lambda n: (n["tag"] == "iframe") & (strip_space(attr(n, "src")) != "") & F.lower(n["src"]).rlike(words))
     urls = F.array_distinct(F.transform(frames, lambda n: n["src"]))
     return parse_pages(pages).select(F.col(listing).alias("listing_id"), F.posexplode(urls).alias("pos", "url"))
 
@@ -327,8 +325,8 @@ def main_content(nodes: Column, plain: bool = False) -> Column:
 
 
 def detail_html(pages: DataFrame, plain: bool = False, out: str = "html_content") -> DataFrame:
-    """Cleaned html of a detail page; the uncleaned main part where cleaning leaves nothing."""
-    main = parse_pages(pages).withColumn("_main", main_content(F.col("nodes"), plain)).drop("nodes")
+    """Cleaned html of a detail page; the uncleaned main part where cleaning leaves nothing. Stray bytes of double encoding go first."""
+    main = parse_pages(pages.withColumn("html", fix_mojibake(F.col("html")))).withColumn("_main", main_content(F.col("nodes"), plain)).drop("nodes")
     cleaned = strip_page_chrome(main.withColumn("_clean", F.col("_main")), "_clean")
     shown = settled(cleaned, {"_html": render_html(drop_empty_paragraphs(F.col("_clean")))}).drop("_clean")
     return shown.withColumn(

@@ -14,7 +14,8 @@ from gleaner.operators.dedupe import anti_known, anti_known_raw, first_per_key,
 from gleaner.operators.ingest import cap_with_spillover, explode_feeds, ingest_summary, keep_records, owner_for_site
 from gleaner.session import cut_lineage
 
-FEED = ["config_id", "feed_pos"]
+# Configs with other ids by their text, then those whose ids are numbers by these.
+FEED = ["config_no", "config_id", "feed_pos"]
 
 
 def scheduled_ingest(
@@ -29,9 +30,10 @@ def scheduled_ingest(
     """Posts to append and the counts per feed, config and run.
 
     ``links``: ``feed_url, url, pos`` found on each feed. ``records``: extracted records by ``source_url``.
-    ``posts``: the stored posts. Stored pages go out first, the cap comes last.
+    ``posts``: the stored posts. Stored pages go out first, the cap comes last. A page that an earlier feed saved is not scraped
+    again, so it counts for that feed alone.
     """
-    feeds = owner_for_site(explode_feeds(configs), sites)
+    feeds = owner_for_site(explode_feeds(configs), sites).withColumn("config_no", F.coalesce(F.col("config_id").try_cast("long"), F.lit(-1).cast("long")))
     known = known_urls(posts, K.SOURCE_URL_ALIASES)
     listed = feeds.join(links, "feed_url").withColumn("url_key", url_key(F.col("url")))
     listed = listed.filter((F.col("url_key") != "") & (F.col("url_key") != url_key(F.col("feed_url"))))
@@ -46,7 +48,11 @@ def scheduled_ingest(
     rows = new.join(saved, [*FEED, "url_key"], "left_semi").withColumns(
         {"micrositeId": F.col("site_id"), "siteId": F.col("site_id"), "postedById": F.col("owner_id")}
     )
-    marked = scraped.join(saved.withColumn("_saved", F.lit(True)), [*FEED, "url_key"], "left").withColumns(
-        {"is_saved": F.coalesce("_saved", F.lit(False)), "is_new": F.col("source_url") != ""}
+    feed = F.struct(*FEED)
+    taken = saved.select("url_key", feed.alias("_taker"))
+    stored = known.select(F.col("source_url").alias("_stored")).distinct()
+    met = scraped.join(taken, "url_key", "left").filter(F.col("_taker").isNull() | (F.col("_taker") >= feed))
+    marked = met.join(stored, F.col("source_url") == F.col("_stored"), "left").withColumns(
+        {"is_saved": F.coalesce(F.col("_taker") == feed, F.lit(False)), "is_new": (F.col("source_url") != "") & F.col("_stored").isNull()}
     )
     return post_rows(rows, run_ts), ingest_summary(marked)

@@ -12,11 +12,12 @@ from gleaner.functions.geo import standardize_location
 from gleaner.functions.records import extract_with_model, parse_model_record
 from gleaner.functions.text import clamp, truncate_text
 from gleaner.functions.urls import url_key
-from gleaner.operators.dedupe import anti_known, first_per_key
+from gleaner.operators.dedupe import anti_known, drop_landing, first_per_key
 from gleaner.operators.geo import match_country_state_ids
 from gleaner.operators.ingest import buffer_links, keep_records, take_first
 from gleaner.operators.pages import job_links, job_text
 from gleaner.operators.taxonomy import assign_category, category_prompt
+from gleaner.session import cut_lineage
 
 PROMPT_HEAD = "Read the job page below and answer with one JSON object holding these keys, null where unknown: "
 
@@ -32,9 +33,11 @@ def new_links(listings: DataFrame, known: DataFrame, max_jobs: int | None = None
         placed = links.select("listing_id", "url", F.struct("chunk_no", "place").alias("place"))
     else:
         placed = buffer_links(links, max_jobs)
-    landing = listings.groupBy(F.col("page_id").alias("listing_id")).agg(F.min(url_key(F.col("url"))).alias("_landing"))
+    # The listing's own address is that of its first document; frames of other addresses may follow.
+    chunk = F.col("chunk_no") if "chunk_no" in listings.columns else F.lit(0)
+    landing = listings.groupBy(F.col("page_id").alias("listing_id")).agg(F.min_by("url", F.struct(chunk, "url")).alias("_landing"))
     keyed = placed.withColumn("url_key", url_key(F.col("url"))).join(landing, "listing_id")
-    first = first_per_key(keyed.filter(F.col("url_key") != F.col("_landing")).drop("_landing"), ["listing_id", "url_key"], "place")
+    first = first_per_key(drop_landing(keyed, F.col("_landing")).drop("_landing"), ["listing_id", "url_key"], "place")
     return anti_known(first, known, key="url_key")
 
 
@@ -50,16 +53,17 @@ def extraction_prompt(details: DataFrame, categories: DataFrame | None = None, o
     )
 
 
+PLACED = ["category_id", "category_name", "location", "city", "state", "country", "state_id", "country_id"]
+
+
 def standard_records(parsed: DataFrame, categories: DataFrame | None = None, tree: DataFrame | None = None) -> DataFrame:
-    """Categories and places of the records that came from readable answers; the others stay as they are."""
-    read = parsed.filter("parsed")
-    unread = parsed.filter("not parsed").withColumns({"state_id": F.lit(None).cast("string"), "country_id": F.lit(None).cast("string")})
-    placed = standardize_location(assign_category(read, categories))
-    if tree is None:
-        placed = placed.withColumns({"state_id": F.lit(None).cast("string"), "country_id": F.lit(None).cast("string")})
-    else:
-        placed = match_country_state_ids(placed, tree)
-    return placed.unionByName(unread)
+    """Categories and places of the records that came from readable answers; the others stay as they are. One row per row."""
+    none = {name: F.lit(None).cast("string") for name in PLACED if name not in parsed.columns}
+    raw = F.struct(*[none.get(name, F.col(name)).alias(name) for name in PLACED])
+    placed = standardize_location(assign_category(parsed.withColumn("raw_places", raw), categories))
+    placed = placed.withColumns({"state_id": none["state_id"], "country_id": none["country_id"]}) if tree is None else match_country_state_ids(placed, tree)
+    chosen = {name: F.when(F.col("parsed"), F.col(name)).otherwise(F.col("raw_places")[name]).alias(name) for name in PLACED}
+    return placed.withColumns(chosen).drop("raw_places")
 
 
 def detail_records(
@@ -68,9 +72,13 @@ def detail_records(
     categories: DataFrame | None = None,
     tree: DataFrame | None = None,
 ) -> DataFrame:
-    """Job records of fetched detail pages (``page_id, url, html`` and any columns to keep)."""
+    """Job records of fetched detail pages (``page_id, url, html`` and any columns to keep).
+
+    The answers are written to the checkpoint folder before anything reads them, so each page is parsed and asked about once, however
+    often the records are read.
+    """
     text = job_text(details, "page_text").drop("html")
-    asked = extract_with_model(extraction_prompt(text, categories), open_model).drop("prompt")
+    asked = cut_lineage(extract_with_model(extraction_prompt(text, categories), open_model).drop("prompt"))
     parsed = parse_model_record(asked).withColumn("source_url", F.col("url"))
     return standard_records(parsed, categories, tree)
 

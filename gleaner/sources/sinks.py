@@ -17,12 +17,14 @@ from gleaner.operators.ranking import global_position
 from gleaner.operators.shape import ensure_columns
 from gleaner.sources.tables import path_exists
 
-# Deeper pages are cut by position instead of being gathered from the top.
-SHALLOW_ROWS = 100_000
-
 
 def append_posts(records: DataFrame, path: str, run_ts: datetime, default_owner: str = K.DEFAULT_OWNER) -> None:
-    post_rows(records, run_ts, default_owner).write.mode("append").parquet(path)
+    """Append the records' posts; those whose id is stored already add nothing, so a load can be repeated."""
+    rows = post_rows(records, run_ts, default_owner).dropDuplicates(["id"])
+    spark = records.sparkSession
+    if path_exists(spark, path):
+        rows = rows.join(spark.read.parquet(path).select("id"), "id", "left_anti").select(*rows.columns)
+    rows.write.mode("append").parquet(path)
 
 
 def apply_category_updates(posts: DataFrame, updates: DataFrame, run_ts: datetime) -> DataFrame:
@@ -109,21 +111,25 @@ def sort_key(field: str) -> Column:
     return F.collate(F.coalesce(F.col(field).cast("string"), F.lit("")), "UNICODE")
 
 
-def sort_by_field(df: DataFrame, field: str, descending: bool = False, tie: str = "id") -> DataFrame:
+def _sorting(field: str, descending: bool, tie: str) -> list[Column]:
     key = sort_key(field)
-    return df.orderBy(key.desc() if descending else key.asc(), F.col(tie))
+    return [key.desc() if descending else key.asc(), F.col(tie)]
+
+
+def sort_by_field(df: DataFrame, field: str | None, descending: bool = False, tie: str = "id") -> DataFrame:
+    """Rows sorted by a field; in the order they came in where no field is named."""
+    return df if field is None else df.orderBy(*_sorting(field, descending, tie))
 
 
 def page_of(
     df: DataFrame, page: int, field: str, descending: bool = False, tie: str = "id", size: int = 10
 ) -> DataFrame:
-    """One page of the sorted frame, with ``total_pages``."""
+    """One page of the sorted frame, with ``total_pages``.
+
+    Rows are numbered through range partitions and the page is cut by number, the first one like the last. Rows that agree in field
+    and ``tie`` are ordered by a hash of the row, so pages neither share nor lose rows.
+    """
     pages = df.agg(F.ceil(F.count(F.lit(1)) / size)).scalar()
-    first, last = (page - 1) * size, page * size
-    if last <= SHALLOW_ROWS:
-        rows = sort_by_field(df, field, descending, tie).offset(first).limit(size)
-    else:
-        key = sort_key(field)
-        placed = global_position(df, [key.desc() if descending else key.asc(), F.col(tie)], "_n")
-        rows = placed.filter((F.col("_n") > first) & (F.col("_n") <= last)).drop("_n")
+    placed = global_position(df, _sorting(field, descending, tie), "_n")
+    rows = placed.filter((F.col("_n") > (page - 1) * size) & (F.col("_n") <= page * size)).orderBy("_n").drop("_n")
     return rows.withColumn("total_pages", pages)

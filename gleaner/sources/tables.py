@@ -26,6 +26,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders right below a folder, in any file system; none where it does not exist."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in system.listStatus(target) if s.isDirectory()) if system.exists(target) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def first_existing_table(spark: SparkSession, names: list[str], schema: StructType | str) -> DataFrame:
     """The first catalog table of that name; an empty frame when none exists."""
     for name in names:

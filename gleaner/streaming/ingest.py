@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +14,10 @@ from pyspark.sql.types import StructType
 from gleaner import constants as K
 from gleaner.functions.urls import url_key
 from gleaner.operators.dedupe import anti_known, first_per_key
-from gleaner.operators.ingest import cap_per_group, keep_records
+from gleaner.operators.ingest import cap_with_spillover, keep_records
+from gleaner.session import cut_lineage
 from gleaner.sources.sinks import append_posts
-from gleaner.sources.tables import path_exists
+from gleaner.sources.tables import delete_folder, list_folders, path_exists
 
 
 def read_arrivals(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int | None = None) -> DataFrame:
@@ -30,6 +33,17 @@ def stream_first_per_key(stream: DataFrame, url: str = "url") -> DataFrame:
     return stream.withColumn("url_key", url_key(F.col(url))).dropDuplicates(["url_key"])
 
 
+class IngestRun:
+    """A run in progress: first arrivals go to the backlog, then, once per run, the backlog is offered to the caps."""
+
+    def __init__(self, query: StreamingQuery, store: Callable[[], None]):
+        self.query, self._store = query, store
+
+    def awaitTermination(self) -> None:  # noqa: N802 - named as in the streaming query it stands for
+        self.query.awaitTermination()
+        self._store()
+
+
 def incremental_ingest(
     stream: DataFrame,
     posts_path: str,
@@ -39,25 +53,43 @@ def incremental_ingest(
     order: str = "pos",
     n: int = K.FEED_CAP,
     filter_location: bool | str = False,
-) -> StreamingQuery:
-    """Append the new records of every arriving batch to the posts, then stop when none are left.
+    backlog: str | None = None,
+    default_owner: str = K.DEFAULT_OWNER,
+) -> IngestRun:
+    """Take in all arrived records, then append to the posts what the caps of this run let through. Await the returned run.
 
-    ``stream`` carries records with ``source_url``, the group and the order column. A batch repeated
-    after a failure finds its own rows among the stored ones and adds nothing.
+    ``stream`` carries records with ``source_url``, the group and the order column. Records with a title (and place, where asked) wait
+    in the ``backlog`` folder until they are stored: those behind the cap of ``n`` per group are offered again by the next run.
+    The cap counts per run, however many batches the arrivals came in; a page that several groups list and whose first group is full
+    goes to the next one. A batch writes one folder named by its number, so a repeated batch replaces its own; a run that fails
+    later finds stored pages among the posts and adds nothing twice.
     """
+    folder = (backlog or checkpoint.rstrip("/") + "-backlog").rstrip("/")
+
+    def take_in(batch: DataFrame, number: int) -> None:
+        usable = keep_records(batch.filter("source_url <> ''"), filter_location)
+        usable.write.mode("overwrite").parquet(f"{folder}/arrived-{number}")
 
-    def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        keyed = batch.filter("source_url <> ''").withColumn("_page", url_key(F.col("source_url")))
-        fresh = first_per_key(keyed, "_page", [group, order])
+    def store() -> None:
+        spark = stream.sparkSession
+        parts = list_folders(spark, folder)
+        if not parts:
+            return
+        waiting = spark.read.schema(stream.schema).parquet(*parts).withColumn("_page", url_key(F.col("source_url")))
         if path_exists(spark, posts_path):
-            fresh = anti_known(fresh, spark.read.parquet(posts_path).select("source_url"), key="_page")
-        kept = keep_records(fresh.drop("_page"), filter_location)
-        append_posts(cap_per_group(kept, group, order, n), posts_path, run_ts)
+            waiting = anti_known(waiting, spark.read.parquet(posts_path).select("source_url"), key="_page")
+        waiting = cut_lineage(first_per_key(waiting, [group, "_page"], order))
+        saved = cut_lineage(cap_with_spillover(waiting, [group], "_page", order, n).select(group, "_page"))
+        append_posts(waiting.join(saved, [group, "_page"], "left_semi").drop("_page"), posts_path, run_ts, default_owner)
+        left = waiting.join(saved.select("_page"), "_page", "left_anti").select(*stream.columns)
+        left.write.mode("overwrite").parquet(f"{folder}/waiting-{uuid.uuid4().hex}")
+        for part in parts:
+            delete_folder(spark, part)
 
-    return (
-        stream.writeStream.foreachBatch(append)
+    query = (
+        stream.writeStream.foreachBatch(take_in)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    return IngestRun(query, store)

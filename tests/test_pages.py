@@ -144,3 +144,34 @@ def test_contact_tables_and_lowest_blocks(spark):
 
 def test_page_without_contacts(spark):
     assert found_contacts(spark, '<body><div class="contact"></div>nothing</body>') == []
+
+
+def test_frames_are_told_by_their_full_address(spark):
+    html = '<iframe src="frame.html"></iframe><iframe src="https://ads.com/x"></iframe><iframe src=""></iframe>'
+    rows = spark.createDataFrame([(1, "https://x.com/careers/", html)], "page_id bigint, url string, html string")
+    assert [r.url for r in pages.job_iframes(rows).collect()] == ["https://x.com/careers/frame.html"]
+
+
+def test_hidden_containers_and_cdata(spark):
+    html = "<p><ruby>K<rt>ka<b>deep</b></rt><rp>(</rp></ruby></p><template><p>hid</p></template><div><![CDATA[seen]]></div><p>end</p>"
+    rows = spark.createDataFrame([(1, "https://x.com/", html)], "page_id bigint, url string, html string")
+    assert pages.page_text(rows).first().page_text.split("\n") == ["K", "seen", "end"]
+
+
+def test_cleaned_html_drops_stray_bytes(spark):
+    rows = spark.createDataFrame([(1, "https://x.com/", "<main><p>PayÂ 10 Â nowÂ</p></main>")], "page_id bigint, url string, html string")
+    assert "Â" not in pages.detail_html(rows).first().html_content
+
+
+def test_deep_pages_take_linear_work():
+    import time
+
+    from gleaner.functions.chrome import mark_chrome
+
+    took = []
+    for depth in (1000, 4000):
+        nodes = read_nodes("<div>" * depth + "<p>About the job</p>" * depth + "</div>" * depth, "https://h.com/", False)
+        start = time.perf_counter()
+        assert mark_chrome(nodes) == []
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * max(took[0], 0.02)

@@ -59,12 +59,16 @@ def test_response_json(spark):
     assert json.loads(sinks.to_response_json(rows, include_html=True).first().json) == {"job_title": "A", "city": " ", "html_content": "<p>"}
 
 
-def test_deep_page_equals_shallow_page(spark, monkeypatch):
-    rows = spark.range(100).select(F.col("id").cast("string").alias("id"), (F.col("id") % 7).cast("string").alias("t"))
-    shallow = sinks.page_of(rows, 4, "t").collect()
-    monkeypatch.setattr(sinks, "SHALLOW_ROWS", 0)
-    deep = sinks.page_of(rows, 4, "t").collect()
-    assert sorted(map(tuple, shallow)) == sorted(map(tuple, deep)) and shallow[0].total_pages == 10
+def test_pages_hold_every_row_once(spark):
+    rows = spark.range(100).select(F.col("id").cast("string").alias("id"), (F.col("id") % 7).cast("string").alias("t"), F.lit("x").alias("tie"))
+    for tie in ("id", "tie"):  # the second tells no rows apart
+        pages = [sinks.page_of(rows, page, "t", tie=tie).collect() for page in range(1, 11)]
+        assert all(len(p) == 10 and p[0].total_pages == 10 for p in pages)
+        assert [r.t for p in pages for r in p] == sorted(str(i % 7) for i in range(100))
+        assert len({r.id for p in pages for r in p}) == 100
+    ordered = sinks.sort_by_field(rows, "t").limit(40).collect()[30:]
+    assert [r.id for r in ordered] == [r.id for r in sinks.page_of(rows, 4, "t").collect()]
+    assert [r.id for r in sinks.sort_by_field(rows, None).collect()] == [r.id for r in rows.collect()]
 
 
 def stub_model():
@@ -121,7 +125,64 @@ def test_scheduled_run(spark):
         ("https://h.com/2?a=1", "owner", "m1"), ("https://h.com/3?a=1", "owner", "m1"),
     ]
     totals = [(r.scraped, r.new, r.saved) for r in summary.collect() if r.level == 3]
-    assert totals == [(6, 6, 2)]
+    # The second feed does not scrape page 2 again, which the first one saved.
+    assert totals == [(5, 5, 2)]
+
+
+def test_counts_of_a_page_in_two_feeds(spark):
+    configs = spark.createDataFrame([("10", "m", '{"feeds":[{"url":"https://f2"}]}'), ("9", "m", '{"feeds":[{"url":"https://f1"}]}')], "id string, micrositeId string, config string")
+    sites = spark.createDataFrame([("m", "o")], "id string, userId string")
+    links = [("https://f1", "https://h.com/a", 0), ("https://f2", "https://h.com/a", 0), ("https://f2", "https://h.com/b", 1)]
+    records = [("https://h.com/a", "T", ""), ("https://h.com/b", "T", "")]
+    rows, summary = scheduled_ingest(
+        configs, sites, spark.createDataFrame(links, "feed_url string, url string, pos int"),
+        spark.createDataFrame(records, "source_url string, job_title string, location string"), spark.createDataFrame([], "source_url string"), RUN,
+    )
+    assert rows.count() == 2
+    assert sorted((r.feed_url, r.scraped, r.new, r.saved) for r in summary.collect() if r.level == 0) == [("https://f1", 1, 1, 1), ("https://f2", 1, 1, 1)]
+
+
+def test_posts_without_url_have_ids_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    rows = spark.createDataFrame([("", "A", "m"), ("", "B", "m"), ("https://h.com/1", "C", "m")], "source_url string, job_title string, siteId string")
+    for _ in range(2):  # a repeated load adds nothing
+        sinks.append_posts(rows, path, RUN)
+    posts = spark.read.parquet(path)
+    assert posts.count() == 3 and posts.select("id").distinct().count() == 3
+
+
+def test_listing_with_frames_drops_its_own_address(spark):
+    rows = [(1, 0, "https://x.com/careers", '<a href="/careers#jobs">self</a><a href="/jobs/1">j</a>'), (1, 1, "https://a.io/jobs/list", '<a href="/jobs/list">list</a><a href="/jobs/2">j</a>')]
+    links = listing.new_links(spark.createDataFrame(rows, "page_id bigint, chunk_no int, url string, html string"), spark.createDataFrame([], "source_url string"))
+    found = {r.url for r in links.collect()}
+    assert "https://a.io/jobs/list" in found and "https://x.com/jobs/1" in found and not any(u.startswith("https://x.com/careers") for u in found)
+
+
+def test_each_page_is_asked_once(spark, tmp_path):
+    """A model that fails at random gives one row for each page, and is called once for each."""
+    calls = str(tmp_path)
+
+    def open_model():
+        import os
+        import uuid
+
+        def answer(prompt):
+            name = uuid.uuid4().hex
+            open(os.path.join(calls, name), "w").close()
+            if int(name, 16) % 2:
+                raise RuntimeError("no answer")
+            return '{"job_title": "Welder", "location": "Reno, NV"}'
+
+        return answer
+
+    details = spark.createDataFrame([(i, f"https://h.com/jobs/{i}", f"<p>page {i}</p>") for i in range(12)], "page_id bigint, url string, html string")
+    categories = spark.createDataFrame([("1", "Trades", None), ("2", "Welder", "1")], "id string, name string, parent_id string")
+    records = listing.detail_records(details, open_model, categories)
+    assert sorted(r.page_id for r in records.collect()) == list(range(12)) and records.count() == 12
+    assert all((r.category_name, r.state) == (("Welder", "Nevada") if r.parsed else ("", "")) for r in records.collect())
+    import os
+
+    assert len(os.listdir(calls)) == 12
 
 
 def test_stream_adds_nothing_twice(spark, tmp_path):
@@ -144,6 +205,32 @@ def test_stream_adds_nothing_twice(spark, tmp_path):
     assert run() == sorted([*first, "https://h.com/4"])
 
 
+@pytest.mark.parametrize("files", [1, 5])
+def test_stream_keeps_what_the_cap_holds_back(spark, tmp_path, files):
+    schema = "source_url string, job_title string, location string, feed_url string, pos int, site string"
+    arrivals, posts = str(tmp_path / "in"), str(tmp_path / "posts")
+    for k in range(files):
+        rows = [(f"https://h.com/{i}", "T", "", "f", i, "m") for i in range(25) if i % files == k]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(arrivals)
+    sizes = []
+    for _ in range(4):
+        stream = streaming.read_arrivals(spark, arrivals, schema, files_per_batch=1)
+        streaming.incremental_ingest(stream, posts, str(tmp_path / "check"), RUN).awaitTermination()
+        sizes.append(spark.read.parquet(posts).count())
+    assert sizes == [10, 20, 25, 25]
+    assert {r.source_url for r in spark.read.parquet(posts).collect()} == {f"https://h.com/{i}" for i in range(25)}
+
+
+def test_stream_spills_to_the_next_feed(spark, tmp_path):
+    schema = "source_url string, job_title string, location string, feed_url string, pos int, site string"
+    arrivals, posts = str(tmp_path / "in"), str(tmp_path / "posts")
+    rows = [(f"https://h.com/{i}", "T", "", "f1", i, "m") for i in range(12)] + [(f"https://h.com/{i}", "T", "", "f2", i, "m") for i in (10, 11)]
+    rows += [("https://h.com/20?a", " ", "", "f0", 0, "m"), ("https://h.com/20?b", "T", "", "f0", 1, "m")]  # the untitled row hides nothing
+    spark.createDataFrame(rows, schema).write.parquet(arrivals)
+    streaming.incremental_ingest(streaming.read_arrivals(spark, arrivals, schema), posts, str(tmp_path / "check"), RUN).awaitTermination()
+    assert sorted(r.source_url for r in spark.read.parquet(posts).collect()) == sorted([f"https://h.com/{i}" for i in range(12)] + ["https://h.com/20?b"])
+
+
 def test_stream_first_per_key(spark, tmp_path):
     arrivals = str(tmp_path / "in")
     for i in range(2):
