@@ -122,19 +122,24 @@ union all
 select page_id, k - 2, url || '?page=' || k from h, unnest(range(2, 11)) as t(k) where len(hs) > 0 and not german"""
 
 
+def _put_in(html, blocks):
+    """Blocks before the article of a page, or at the end of a page without one."""
+    return F.when(F.contains(html, F.lit("<article>")), F.replace(html, F.lit("<article>"), blocks)).otherwise(F.concat(html, blocks))
+
+
 def q_job_iframes(spark, d):
     number = F.col("page_id").cast("string")
     frames = F.concat(
         F.lit('<iframe src="/careers/'), number, F.lit('"></iframe><iframe src="https://ads.example.com"></iframe><iframe src=" /careers/'), number,
         F.lit('"></iframe><iframe src="x?Embedded=TRUE"></iframe><article>'),
     )
-    marked = pages(spark, d, spread=True).withColumn("html", F.replace("html", F.lit("<article>"), frames))
+    marked = pages(spark, d, spread=True).withColumn("html", _put_in(F.col("html"), frames))
     return P.job_iframes(marked).select("listing_id", F.col("pos").cast("bigint").alias("pos"), F.regexp_replace("url", "[^/]*$", "").alias("folder"))
 
 
 SQL_JOB_IFRAMES = f"""
-select page_id as listing_id, 0 as pos, {SITE_SQL} || '/careers/' as folder from pages where contains(html, '<article>')
-union all select page_id, 1, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') from pages where contains(html, '<article>')"""
+select page_id as listing_id, 0 as pos, {SITE_SQL} || '/careers/' as folder from pages
+union all select page_id, 1, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') from pages"""
 
 # --- detail pages -----------------------------------------------------------------------------
 
@@ -192,12 +197,11 @@ def _company_html():
         F.lit("<article>"),
     )
     html = F.replace("html", F.lit("<nav>"), F.lit('<nav class="tags">'))
-    return F.replace(html, F.lit("<article>"), blocks)
+    return _put_in(html, blocks)
 
 
 def _companies(spark, d):
-    # Pages without an article have no place for the blocks.
-    return pages(spark, d, spread=True).filter(F.contains("html", F.lit("<article>"))).withColumn("html", _company_html())
+    return pages(spark, d, spread=True).withColumn("html", _company_html())
 
 
 _FOLDER_SQL = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '')"
@@ -213,7 +217,7 @@ def q_company_home(spark, d):
 
 
 SQL_COMPANY_HOME = f"""
-with a as (select *, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) as ts from pages where contains(html, '<article>')),
+with a as (select *, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) as ts from pages),
 t as (select page_id, i, replace(trim(ts[i]), '&amp;', '&') as tag from a, unnest(range(1, len(ts) + 1)) as u(i)),
 f as (select page_id, arg_min(tag, i) as tag, min(i) as i from t where tag <> '' and lower(tag) <> 'tags' group by page_id, lower(tag)),
 g as (select page_id, string_agg(tag, '|' order by i) as tags from f group by page_id)
@@ -229,7 +233,7 @@ def q_company_about(spark, d):
 
 
 SQL_COMPANY_ABOUT = f"""
-select page_id, {_FOLDER_SQL} || 'hero.png' as images, 'Maker of ' || page_id as description from pages where contains(html, '<article>')"""
+select page_id, {_FOLDER_SQL} || 'hero.png' as images, 'Maker of ' || page_id as description from pages"""
 
 
 def q_contact_records(spark, d):
@@ -249,7 +253,7 @@ select page_id, case page_id % 3 when 0 then 'North ' || page_id when 2 then 'Pl
   cast(null as varchar) as country, case page_id % 3 when 1 then '123' when 2 then '555-1' end as phone, cast(null as varchar) as telephone,
   case page_id % 3 when 0 then '555-2' end as fax, case page_id % 3 when 2 then 'o@x.com' end as mail,
   case page_id % 3 when 0 then 'Ann Lee' end as person_name, case page_id % 3 when 0 then '555-9' end as person_telephone,
-  case page_id % 3 when 0 then 'ann@x.com' end as person_email from pages where contains(html, '<article>')"""
+  case page_id % 3 when 0 then 'ann@x.com' end as person_email from pages"""
 
 
 def q_company_profile(spark, d):
@@ -270,7 +274,7 @@ def q_company_profile(spark, d):
 SQL_COMPANY_PROFILE = """
 select page_id as company_id, 'Firm ' || page_id as company_name, case when page_id % 2 = 0 then 'From model' else 'Maker of ' || page_id end as about,
   1 as contacts, case when page_id % 5 = 0 then 'HQ' when page_id % 3 = 0 then 'North ' || page_id when page_id % 3 = 2 then 'Plant ' || page_id end as first_contact,
-  2 as sections from pages where contains(html, '<article>')"""
+  2 as sections from pages"""
 
 _NAMES = [
     "node_tags", "page_text", "main_content", "job_links", "abs_links", "links_outside_footer", "page_urls", "job_iframes", "job_text", "detail_text",

@@ -180,13 +180,10 @@ def assign_category(jobs: DataFrame, categories: DataFrame | None) -> DataFrame:
     held, mentioned, _ = _with_mentions(staged, selectable, F.col("_text"))
     for_tests = F.when(is_low_information(F.col("_text")), F.coalesce("_fixed.test", "_fixed.other"))
     chosen = F.coalesce(for_tests, "_exact", mentioned, "_fixed.other")
-    # Settled, so a filter on the category does not repeat the search for mentions.
-    found = settled(held, {"_found": F.array(chosen["id"], chosen["name"])}).select(*kept, "_found")
+    # Settled as one value, so neither its two fields nor a filter on them repeat the search for mentions.
+    found = settled(held, {"_found": chosen}).select(*kept, "_found")
     return found.withColumns(
-        {
-            "category_id": F.coalesce(F.get("_found", F.lit(0)), F.lit("")),
-            "category_name": F.coalesce(F.get("_found", F.lit(1)), F.lit("")),
-        }
+        {"category_id": F.coalesce("_found.id", F.lit("")), "category_name": F.coalesce("_found.name", F.lit(""))}
     ).drop("_found")
 
 
