@@ -8,6 +8,7 @@ from catalog.common import pick, pick_sql, sql_list
 from gleaner import constants as K
 from gleaner.functions import taxonomy as X
 from gleaner.operators import taxonomy as T
+from gleaner.plans.classify import classify_with_model
 from gleaner.sources.tables import read_table
 
 
@@ -175,12 +176,15 @@ SQL_ASSIGN_CATEGORY = f"""
 select a.p_partkey, a.category_id, s.name as category_name from ({_ASSIGN_SQL}) a join ({_SELECTABLE_SQL}) s on s.id = a.category_id"""
 
 
-def q_classify_posts(spark, d):
-    posts = _jobs(spark, d).select(
+def _posts(spark, d):
+    return _jobs(spark, d).select(
         F.concat(F.lit("post-"), F.col("p_partkey").cast("string")).alias("id"), F.col("job_title").alias("jobTitle"),
         F.col("job_description").alias("description"), F.col("required_experience").alias("requiredExperience"),
     )
-    return T.classify_posts(posts, _taxonomy(spark, d))
+
+
+def q_classify_posts(spark, d):
+    return T.classify_posts(_posts(spark, d), _taxonomy(spark, d))
 
 
 SQL_CLASSIFY_POSTS = f"""
@@ -188,8 +192,35 @@ select 'post-' || l.p_partkey as id, s.id as category_id, s.name as category_nam
 from ({_LOW_SQL}) l join ({_MENTION_SQL}) m on l.p_partkey = m.p_partkey
 join ({_SELECTABLE_SQL}) s on s.id = case when low then 'c-test' else coalesce(mentioned_id, 'c-other') end"""
 
+def _word_model():
+    """A stand-in for a model: it names the second word of the description, or fails where that has an odd number of letters."""
+    import json
+    import re
+
+    def answer(prompt: str) -> str:
+        word = re.search(r"Description: \S+ (\S+)", prompt).group(1)
+        if len(word) % 2:
+            raise RuntimeError("no answer")
+        return "```json\n" + json.dumps({"category_id": None, "category_name": word.upper()}) + "\n```"
+
+    return answer
+
+
+def q_classify_model(spark, d):
+    return classify_with_model(_posts(spark, d), _taxonomy(spark, d), _word_model)
+
+
+SQL_CLASSIFY_MODEL = f"""
+with named as (
+  select p_partkey, arg_min(s.id, s.rk) as model_id from ({_JOBS_SQL}) j left join ({_SELECTABLE_SQL}) s
+    on job_description <> '' and length(split_part(job_description, ' ', 2)) % 2 = 0 and lower(split_part(job_description, ' ', 2)) = lower(s.name)
+  group by p_partkey)
+select 'post-' || l.p_partkey as id, s.id as category_id, s.name as category_name
+from ({_LOW_SQL}) l join ({_MENTION_SQL}) m on l.p_partkey = m.p_partkey join named n on n.p_partkey = l.p_partkey
+join ({_SELECTABLE_SQL}) s on s.id = case when low then 'c-test' else coalesce(model_id, mentioned_id, 'c-other') end"""
+
 _NAMES = [
-    "category_parent", "selectable_categories", "rank_categories", "category_prompt", "low_info", "job_prompt",
+    "classify_model", "category_parent", "selectable_categories", "rank_categories", "category_prompt", "low_info", "job_prompt",
     "category_exact", "category_mention", "assign_category", "classify_posts",
 ]
 QUERIES = {f"q_{name}": globals()[f"q_{name}"] for name in _NAMES}

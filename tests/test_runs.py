@@ -142,6 +142,26 @@ def test_counts_of_a_page_in_two_feeds(spark):
     assert sorted((r.feed_url, r.scraped, r.new, r.saved) for r in summary.collect() if r.level == 0) == [("https://f1", 1, 1, 1), ("https://f2", 1, 1, 1)]
 
 
+def test_classify_and_update(spark):
+    from gleaner.plans.classify import classify_and_update
+
+    def open_model():
+        def answer(prompt):
+            assert "- id: 2; name: Welding" in prompt
+            if "Cook" in prompt:
+                return '{"category_id": 3}'
+            if "Baker" in prompt:
+                return "none of them"
+            raise RuntimeError("no answer")
+
+        return answer
+
+    posts = spark.createDataFrame([("a", "Cook", "", None), ("b", "Baker", "", 3), ("c", "Smith", "does welding", None)], "id string, jobTitle string, description string, categoryId int")
+    names = [("1", "Trades", None), ("2", "Welding", "1"), ("3", "Food", "1"), ("4", "Other", "1")]
+    found = classify_and_update(posts, spark.createDataFrame(names, "id string, name string, parent_id string"), open_model, RUN)
+    assert {r.id: r.categoryId for r in found.collect()} == {"a": 3, "b": 4, "c": 2}
+
+
 def test_posts_without_url_have_ids_of_their_own(spark, tmp_path):
     path = str(tmp_path / "posts")
     rows = spark.createDataFrame([("", "A", "m"), ("", "B", "m"), ("https://h.com/1", "C", "m")], "source_url string, job_title string, siteId string")
