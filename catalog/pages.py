@@ -9,6 +9,7 @@ from gleaner.operators import company as M
 from gleaner.operators import contacts as C
 from gleaner.operators import pages as P
 from gleaner.operators.dedupe import ordered_distinct
+from gleaner.plans.company import profiles_with_model
 
 SITE_SQL = "regexp_extract(url, '^[a-z]+://[^/?#]+')"
 # Text pieces of markup: scripts and styles out, tags as cuts, entities read.
@@ -276,8 +277,43 @@ select page_id as company_id, 'Firm ' || page_id as company_name, case when page
   1 as contacts, case when page_id % 5 = 0 then 'HQ' when page_id % 3 = 0 then 'North ' || page_id when page_id % 3 = 2 then 'Plant ' || page_id end as first_contact,
   2 as sections from pages"""
 
+def _company_model():
+    """A stand-in for a model: the number in the page's address decides what it says about the company and its offices."""
+    import json
+    import re
+
+    def answer(prompt: str) -> str:
+        number = int(re.search(r"Page: \S*?/(\d+)", prompt).group(1))
+        if "regions" in prompt.split("Page: ")[0]:
+            return json.dumps({"regions": [{"name": f" HQ {number}, ", "phone": "1"}, {"name": ""}]}) if number % 2 else "no offices"
+        if number % 3 == 0:
+            raise RuntimeError("no answer")
+        return json.dumps({"description": None if number % 3 == 1 else f"Text  {number}"})
+
+    return answer
+
+
+def q_company_model(spark, d):
+    companies = _companies(spark, d).select(
+        F.col("page_id").alias("company_id"), F.col("url").alias("home_url"), F.col("html").alias("home_html"), F.col("url").alias("about_url"),
+        F.col("html").alias("about_html"), F.lit("").alias("contact_url"), F.lit(None).cast("string").alias("contact_html"),
+    )
+    profile = profiles_with_model(companies, _company_model)
+    return profile.select(
+        "company_id", "home.company_name", F.col("about.description").alias("about"), F.size("regions").cast("bigint").alias("contacts"),
+        F.get("regions", F.lit(0))["name"].alias("first_contact"), F.get("regions", F.lit(0))["phone"].alias("first_phone"),
+    )
+
+
+SQL_COMPANY_MODEL = r"""
+with n as (select page_id, cast(regexp_extract(url, '/(\d+)', 1) as bigint) as k from pages)
+select page_id as company_id, 'Firm ' || page_id as company_name,
+  case k % 3 when 0 then 'Maker of ' || page_id when 2 then 'Text ' || k end as about, 1 as contacts,
+  case when k % 2 = 1 then 'HQ ' || k when page_id % 3 = 0 then 'North ' || page_id when page_id % 3 = 2 then 'Plant ' || page_id end as first_contact,
+  case when k % 2 = 1 then '1' when page_id % 3 = 1 then '123' when page_id % 3 = 2 then '555-1' end as first_phone from n"""
+
 _NAMES = [
-    "node_tags", "page_text", "main_content", "job_links", "abs_links", "links_outside_footer", "page_urls", "job_iframes", "job_text", "detail_text",
+    "company_model", "node_tags", "page_text", "main_content", "job_links", "abs_links", "links_outside_footer", "page_urls", "job_iframes", "job_text", "detail_text",
     "company_home", "company_about", "contact_records", "company_profile",
 ]
 QUERIES = {f"q_{name}": globals()[f"q_{name}"] for name in [*_NAMES, "html_nodes", "detail_html"]}
