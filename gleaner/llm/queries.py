@@ -101,6 +101,28 @@ ORACLES = {
             FROM urls u JOIN {_RULES_SQL} ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY u.row_no
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN fit USING (row_no)""",
+    "op6_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS shingle FROM w, unnest(range(1, greatest(len(ws) - 1, 2))) t(i) WHERE len(ws) > 0
+        ), n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.size + y.size - shared)),
+        either AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN either e ON e.a = r.b)
+        SELECT d.doc_id, coalesce(size, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id""",
+    "op7_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS words FROM w, unnest(range(1, len(ws) - 33)) t(i)),
+        twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY words) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM twice, unnest(range(0, 35)) t(k)),
+        kept AS (
+            SELECT doc_id, string_agg(ws[i], ' ' ORDER BY i) AS text, count(*) AS n FROM (SELECT doc_id, ws, i FROM w, unnest(range(1, len(ws) + 1)) t(i)) x
+            ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
     "op9_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
