@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Keys a stream has seen grow with its life, so they are kept on disk and in its checkpoint, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Pages are large and their node lists larger, so few travel in one batch to Python.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     # Call-site capture costs several JVM round trips per column expression; ours are many.
