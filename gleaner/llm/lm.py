@@ -167,13 +167,19 @@ def _code(corpus: Corpus):
 _CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rest double, ids binary"
 
 
-def _sums(index: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Rows of values added up by output."""
+def _sums(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The outputs that occur, and the rows of values added up for each."""
     order = np.argsort(index)
     begin = np.flatnonzero(np.diff(index[order], prepend=-1))
-    out = np.zeros((OUTPUTS, values.shape[1]), np.float32)
-    out[index[order[begin]]] = np.add.reduceat(values[order], begin, axis=0)
-    return out
+    return index[order[begin]], np.add.reduceat(values[order], begin, axis=0)
+
+
+def _chance(score: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
+    np.negative(score, out=score)
+    np.exp(score, out=score)
+    score += 1
+    return np.reciprocal(score, out=score)
 
 
 class LogBilinear:
@@ -211,17 +217,24 @@ class LogBilinear:
             fake = np.minimum(np.searchsorted(cdf, draw.random(NOISE)), OUTPUTS - 1)
             a, b = self.rows[one], self.rows[two]
             h = a * self.mix[0] + b * self.mix[1]
-            up = 1 / (1 + np.exp(np.clip((h * self.out[true]).sum(axis=1) + self.bias[true] - level[true], -30, 30)))
-            down = 1 / (1 + np.exp(np.clip(level[fake] - self.bias[fake] - h @ self.out[fake].T, -30, 30)))
-            dh = up[:, None] * self.out[true] - down @ self.out[fake]
-            d_rows = _sums(np.concatenate([one, two]), np.concatenate([dh * self.mix[0], dh * self.mix[1]]))
-            d_out = _sums(np.concatenate([true, fake]), np.concatenate([up[:, None] * h, -(down.T @ h)]))
-            d_bias = np.bincount(true, up, OUTPUTS).astype(np.float32) - np.bincount(fake, down.sum(axis=0), OUTPUTS).astype(np.float32)
+            right, wrong, shift = self.out[true], self.out[fake], self.bias - level
+            with np.errstate(over="ignore"):
+                up = _chance(-(np.einsum("ij,ij->i", h, right) + shift[true]))
+                noise = h @ wrong.T
+                noise += shift[fake]
+                down = _chance(noise)
+            dh = up[:, None] * right - down @ wrong
+            at_rows, d_rows = _sums(np.concatenate([one, two]), np.concatenate([dh * self.mix[0], dh * self.mix[1]]))
+            pull = np.concatenate([np.concatenate([up[:, None] * h, up[:, None]], axis=1), -np.concatenate([down.T @ h, down.sum(axis=0)[:, None]], axis=1)])
+            at_out, d_out = _sums(np.concatenate([true, fake]), pull)
             d_mix = np.stack([(dh * a).sum(axis=0), (dh * b).sum(axis=0)])
-            for value, slope, total in zip((self.rows, self.out, self.bias, self.mix), (d_rows, d_out, d_bias, d_mix), past):
-                slope /= n
-                total += slope * slope
-                value += RATE * slope / np.sqrt(total)
+            # Outputs that the batch does not touch keep their values.
+            steps = ((self.rows, at_rows, d_rows, past[0]), (self.out, at_out, d_out[:, :-1], past[1]), (self.bias, at_out, d_out[:, -1], past[2]), (self.mix, [0, 1], d_mix, past[3]))
+            for value, at, slope, total in steps:
+                slope = slope / n
+                squares = total[at] + slope * slope
+                total[at] = squares
+                value[at] += RATE * slope / np.sqrt(squares)
         return seen
 
     def log10(self, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -234,7 +247,11 @@ class LogBilinear:
             scores = h[at : at + 4096] @ self.out.T + self.bias
             top = scores.max(axis=1)
             norm[at : at + 4096] = np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top
-        return (np.einsum("ij,ij->i", h[inverse], self.out[ids]) + self.bias[ids] - norm[inverse]).astype(np.float64) / math.log(10)
+        found = np.empty(len(ids))
+        for at in range(0, len(ids), 65_536):
+            part = slice(at, at + 65_536)
+            found[part] = np.einsum("ij,ij->i", h[inverse[part]], self.out[ids[part]]) + self.bias[ids[part]] - norm[inverse[part]]
+        return found / math.log(10)
 
 
 def contexts(ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
