@@ -28,7 +28,7 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
 )
-INDEXED_LENGTH, RAREST = 5, 3
+INDEXED_LENGTH = 5
 
 
 def _words(text: str) -> list[str]:
@@ -91,13 +91,14 @@ def scan_licenses(
     where a base phrase stands, with its label. The index keeps, for each text, the positions of the licence words: those of key phrases
     and the templates' words of five letters and more. Document frequencies of these words over all texts give their IDF.
 
-    A text is looked up by the three licence words of a template with the highest IDF that it has: their positions, each less the
-    word's offset in the template, are intersected, so what remains are starts at which all of them stand in place. Then the
-    template's mandatory phrase must stand in place, too. ``labels`` are the labels of matched templates and base phrases, both sorted
-    and comma-joined; ``score`` is the largest IDF share, over matched templates, of index words in place.
+    A template's candidate starts are those of its mandatory phrase: the positions of the phrase's words, each less the word's offset in
+    the template, are intersected. Every index word of the template then votes with its IDF for the candidates at which it stands in
+    place; where it stands elsewhere, or nowhere, it only does not vote. ``labels`` are the labels of matched templates and base phrases,
+    both sorted and comma-joined; ``score`` is the largest IDF share, over the starts of matched templates, of index words in place.
 
     Everything about one text is in one row, so no group can be hot; the only shuffle counts, map-side first, as many
-    words as the templates have. Position lists are intersected by hashing, so a text of nothing but licence words is linear work. Null
+    words as the templates have. Position lists are intersected by hashing and votes are sorted, so a text of nothing but licence words is
+    no quadratic work. Null
     and empty texts have no words, no place, empty labels, score 0. Repeated rows and null ids are rows like others. An empty table gives no
     rows. Extra columns are not read.
     """
@@ -124,16 +125,10 @@ def scan_licenses(
         begin = next(i for i in range(len(words)) if words[i : i + len(key_words)] == key_words)
         indexed = {w: i for i, w in reversed(list(enumerate(words))) if w in places}
         ranked = sorted(indexed, key=lambda w: (-idf[w], w))
-        # The file's rarest words of the template: a word takes part while fewer than RAREST rarer ones are there.
-        rarer = [sum(((F.size(places[v]) > 0).cast("int") for v in ranked[:i]), F.lit(0)) for i in range(len(ranked))]
-        lists = [F.when((n < RAREST) & (F.size(places[w]) > 0), _all_starts(places, words, w)) for w, n in zip(ranked, rarer)]
-        both = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.array_intersect(a, b))
-        starts = F.aggregate(F.array(*lists), F.lit(None).cast("array<long>"), both)
-        keyed = _shifted(_phrase(places, key_words), begin)
-        steps[f"_start{k}"] = F.array_intersect(F.coalesce(starts, F.array().cast("array<long>")), keyed)
+        steps[f"_start{k}"] = _shifted(_phrase(places, key_words), begin)
         weight = sum(idf[w] for w in ranked)
-        in_place = [F.when(F.arrays_overlap(_all_starts(places, words, w), F.col(f"_start{k}")), idf[w] / weight).otherwise(0.0) for w in ranked]
-        shares.append(F.when(F.size(f"_start{k}") > 0, reduce(lambda a, b: a + b, in_place)).otherwise(0.0))
+        votes = F.concat(*[_votes(F.array_intersect(_all_starts(places, words, w), F.col(f"_start{k}")), idf[w] / weight) for w in ranked])
+        shares.append(F.when(F.size(f"_start{k}") > 0, _most(votes)).otherwise(0.0))
         names.append(F.when(F.size(f"_start{k}") > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")))
     base = F.concat(*[F.col(f"_base{k}") for k in range(len(phrases))])
     join = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
@@ -151,3 +146,18 @@ def _all_starts(places: dict[str, str], words: list[str], word: str) -> Column:
     """Possible starts of a template by one of its words, which may stand at several offsets."""
     offsets = [i for i, w in enumerate(words) if w == word]
     return F.array_distinct(F.concat(*[_starts(places, word, i) for i in offsets]))
+
+
+def _votes(starts: Column, share: float) -> Column:
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(share).alias("share")))
+
+
+def _most(votes: Column) -> Column:
+    """The largest sum of shares that one start has."""
+    zero = F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("most"))
+
+    def add(held: Column, vote: Column) -> Column:
+        own = vote["share"] + F.when(held["start"].eqNullSafe(vote["start"]), held["sum"]).otherwise(0.0)
+        return F.struct(vote["start"].alias("start"), own.alias("sum"), F.greatest(held["most"], own).alias("most"))
+
+    return F.aggregate(F.array_sort(votes), zero, add, lambda held: held["most"])

@@ -48,6 +48,21 @@ def test_notices(spark):
     assert rows[1].score > 0.9 and rows[7].score == 0
 
 
+def test_words_elsewhere_do_not_veto(spark):
+    """A notice keeps its label where its other words stand in the prose around it, out of place; words count for one start only."""
+    prose = "Under these terms the version at hand is subject to change, with software and permission under its own version. " * 20
+    notices = {
+        "mit": "MIT License", "mpl": "Mozilla Public License, v. 2.0", "lgpl": "GNU Lesser General Public License v3", "bsd": "in binary forms, changed or not",
+        "cc-by": "Creative Commons Attribution 4.0", "cc-by-nc": "CC BY-NC 4.0", "apache": "Apache License, Version 2.0",
+    }
+    docs = [(k, f"{prose}{notice}. {prose}") for k, notice in enumerate(notices.values())] + [(50, "MIT License under"), (51, prose), (52, "released under the x license; mit license"), (53, "mit license")]
+    rows = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k, label in enumerate(notices):
+        assert label in rows[k].labels.split(",") and 0 < rows[k].score < 1, label
+    assert rows[50].labels == "mit" and rows[50].score > 0 and rows[51].labels == "" and rows[51].score == 0
+    assert rows[52].labels == "mit" and rows[52].score == rows[53].score
+
+
 def test_odd_rows(odd_docs, no_docs):
     found = scan_licenses(odd_docs).collect()
     agree(odd_docs, [(r.doc_id, r.n_words, 0, None, None, "") for r in found])
