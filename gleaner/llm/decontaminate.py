@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -16,11 +17,27 @@ from gleaner.llm.common import part_of, prepare, texts
 BLOCK_CHARS = 8 << 20
 # ASCII letters lower-cased, digits and bytes beyond ASCII as they are, all else a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, Balinese, Javanese; kana, Bopomofo and Han. A character of them is a word.
+_DENSE = (
+    "[\u0e00-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u1b00-\u1b7f\ua980-\ua9ff\uaa60-\uaadf"
+    "\u3005-\u3007\u3041-\u30fa\u30fc-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]"
+)
+_CHARACTER = re.compile(_DENSE)
+#: Ideographic and full-width marks break words anywhere, general punctuation beside such a character.
+_MARKS = re.compile(
+    "[\u3000-\u3004\u3008-\u3020\u3030\u303d-\u303f\u30fb\ufe10-\ufe1f\ufe30-\ufe6f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]"
+    f"|[\u2010-\u205e]+(?={_DENSE})|(?<={_DENSE})[\u2010-\u205e]+"
+)
+# First bytes of their UTF-8 forms, and of some other characters'.
+_WIDE = re.compile(rb"[\xe0\xe1\xe3-\xf4]")
 _SEARCHERS: dict[str, Searcher] = {}
 
 
 def fold(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
+    line = text.translate(_FOLD)
+    if _WIDE.search(line):
+        line = _CHARACTER.sub(r" \g<0> ", _MARKS.sub(" ", line.decode("utf-8", "surrogateescape"))).encode("utf-8", "surrogateescape")
+    return line.split()
 
 
 def closest(pattern: list[bytes], text: list[bytes]) -> tuple[int, int]:
@@ -50,12 +67,13 @@ def closest(pattern: list[bytes], text: list[bytes]) -> tuple[int, int]:
 
 
 class Searcher:
-    """Pieces of many items in one automaton; with an error budget of ``e`` an item has ``e + 1`` pieces, so one of them is unharmed."""
+    """Pieces of many items in one automaton; with an error budget of ``e`` an item has ``e + 1`` pieces, so one of them is unharmed.
+    Items under ``min_words`` words have no budget."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], errors: float):
+    def __init__(self, items: list[tuple[int, list[bytes]]], errors: float, min_words: int):
         import ahocorasick
 
-        self.items, self.budget = items, [math.floor(len(words) * errors) for _, words in items]
+        self.items, self.budget = items, [math.floor(len(words) * errors) if len(words) >= min_words else 0 for _, words in items]
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list] = defaultdict(list)
         for k, (_, words) in enumerate(items):
@@ -112,15 +130,16 @@ def find_leaks(
 ) -> DataFrame:
     """Documents that hold a benchmark item: ``doc_id, item_id, distance, first_word, last_word, places``, one row per document and item.
 
-    Words are ASCII-lowered runs of digits, letters and anything beyond ASCII. An item of ``n`` words has a budget of ``errors * n`` (rounded
+    Words are ASCII-lowered runs of digits, letters and anything beyond ASCII; in scripts without spaces (Chinese, Japanese, Thai and others) each
+    character is a word, and their marks and full-width ones break words like ASCII marks. An item of ``n`` words has a budget of ``errors * n`` (rounded
     down) inserted, dropped or replaced words. It is cut into one more piece than that: where the document holds it within the budget, one
     piece at least stands there word for word. The pieces of all items are one automaton; each hit is verified on the words around it
     by Myers' bit-parallel edit distance over words. ``distance``, ``first_word`` and ``last_word`` are those of the closest place (the first
     of equals), ``places`` counts places that do not overlap.
 
     The items are the query set. They go to the tasks in blocks of about 8 million characters, each one pass over the documents; documents
-    are never shuffled or copied, and texts are searched whole. Items under ``min_words`` words are too short to tell from ordinary prose and
-    are not searched. Null and empty texts and items match nothing; a null id stays null; repeated rows of documents are rows of the
+    are never shuffled or copied, and texts are searched whole. Items under ``min_words`` words have no error budget: only where
+    they stand word for word, they are found. Null and empty texts and items, and items of marks alone, match nothing; a null id stays null; repeated rows of documents are rows of the
     result each, items that repeat in id and text count once. Empty tables give no rows. Extra columns are not read.
     """
     spark = docs.sparkSession
@@ -133,14 +152,14 @@ def find_leaks(
     out = None
     for block in range(blocks):
         chosen = queries.where(part_of("item_id", "text", parts=blocks) == block).orderBy("item_id", "text").collect()
-        query_set = [(row["item_id"], words) for row in chosen if len(words := fold(row["text"].encode())) >= max(1, min_words)]
+        query_set = [(row["item_id"], words) for row in chosen if (words := fold(row["text"].encode()))]
         shared = spark.sparkContext.broadcast((query_set, f"{spark.sparkContext.applicationId}-{id(query_set)}-{block}"))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             query_set, name = shared.value
             if name not in _SEARCHERS:
                 _SEARCHERS.clear()
-                _SEARCHERS[name] = Searcher(query_set, errors)
+                _SEARCHERS[name] = Searcher(query_set, errors, min_words)
             searcher = _SEARCHERS[name]
             for batch in batches:
                 found = []

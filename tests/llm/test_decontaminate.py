@@ -80,3 +80,17 @@ def test_whole_items_in_documents(spark):
     wanted = {(d, r.item_id) for r in items.collect() for d, line in lines.items() if b" " + b" ".join(fold(r.text.encode())) + b" " in line}
     found = {(r.doc_id, r.item_id): r.distance for r in find_leaks(docs, items).collect()}
     assert wanted and wanted == {k for k, d in found.items() if d == 0}
+
+
+def test_scripts_without_spaces_and_short_items(spark):
+    """Characters are the words of such scripts, with an error budget like others; short items are found word for word only."""
+    items = spark.createDataFrame(
+        [(1, "水の都の古い橋を渡る人々は夜明けに歌う"), (2, "北京的秋天是一年中最美的季节"), (3, "แมวดำนั่งอยู่บนหลังคา"), (4, "Alpha Beta"), (5, "水"), (6, "。、！")], "item_id long, text string"
+    )
+    docs = [
+        (1, "昨日、水の都の古い橋を渡る人々は夜明けに歌う。と書いた"), (2, "x水の都の青い橋を渡る人々は、夜に歌う！"), (3, "他说：“北京的秋天，是一年中最美的季节。”"), (4, "เมื่อวานแมวดำนั่งอยู่บนหลังคาบ้าน"),
+        (5, "see alpha, BETA there"), (6, "alpha then beta"), (7, "北京"), (8, "雨。、！"),
+    ]
+    found = {(r.doc_id, r.item_id): (r.distance, r.first_word) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert found == {(1, 1): (0, 2), (2, 1): (3, 1), (1, 5): (0, 2), (2, 5): (0, 1), (3, 2): (0, 2), (4, 3): (0, 8), (5, 4): (0, 1)}
+    assert fold("Grüße “an” alle — 1,5 한국어".encode()) == "Grüße “an” alle — 1 5 한국어".replace("G", "g").encode().split()
