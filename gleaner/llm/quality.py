@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,9 @@ from gleaner.llm.common import prepare, settle
 
 #: At most so many labelled documents are used to fit the text classifier, those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
-#: At most so many words are features of a target: those that tell most between its classes in the sample.
-WORDS_PER_TARGET = 400
+#: At most so many words of each target are features, those that tell most between its classes in the sample: the number that loses least
+#: on a fold of the sample.
+WORDS_PER_TARGET = (400, 1500)
 FOLDS, HELD_OUT_FOLD = 5, 0
 #: A document stays below these probabilities. Toxic ones are rare and their words telling, so less is enough there.
 MOST_BAD, MOST_TOXIC = 0.5, 0.2
@@ -95,7 +97,25 @@ def _fit(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, n_words: int, y: np.
     return w
 
 
-def fit_text_model(rows: DataFrame, targets: tuple[str, ...]) -> TextModel:
+def _choose(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, sets: list[np.ndarray], y: np.ndarray, fold: np.ndarray, most: float) -> int:
+    """Which set of words loses least on the fold when fitted on the other rows: share of hits missed and of others rejected at ``most``;
+    of equals, the first."""
+    if not (0 < y[fold].sum() < fold.sum() < len(y)):
+        return 0
+    d, place, lost = x.shape[1], np.cumsum(~fold) - 1, []
+    for own in sets:
+        at = own[cols]
+        r, c = rows[at], cols[at]
+        fit = ~fold[r]
+        w = _fit(x[~fold], place[r[fit]], c[fit], len(own), y[~fold])
+        z = x @ w[:d] + np.bincount(r, w[d + c], len(y))
+        gone = z[fold] >= np.log(most / (1 - most))
+        hit = y[fold] > 0
+        lost.append((~gone[hit]).mean() + gone[~hit].mean())
+    return int(np.argmin(lost))
+
+
+def fit_text_model(rows: DataFrame, targets: tuple[str, ...], mosts: tuple[float, ...]) -> TextModel:
     """Fit on ``doc_id, text`` and one 0/1 column per target, a bounded sample. The driver sees its shape numbers and the positions of
     chosen words, never a text."""
     sample = settle(rows.select("doc_id", F.encode("text", "utf-8").alias("text"), *targets))
@@ -115,15 +135,15 @@ def fit_text_model(rows: DataFrame, targets: tuple[str, ...]) -> TextModel:
     sums = sample.mapInArrow(words_of, "word binary, n long, " + ", ".join(f"{t} long" for t in targets)).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *targets)])
     common = settle(sums.where("n >= 5"))
     whole = sample.agg(F.count(F.lit(1)), *[F.sum(t) for t in targets]).first()
-    words: list[bytes] = []
+    ranked: list[list[bytes]] = []
     for k, target in enumerate(targets):
         n, hits = max(1, whole[0]), whole[k + 1] or 0
         inside, outside = F.col(target) / max(1, hits), (F.col("n") - F.col(target)) / max(1, n - hits)
         share = F.col("n") / n
         strength = F.abs(inside - outside) / F.sqrt(share * (1 - share) * (1 / max(1, hits) + 1 / max(1, n - hits)) + 1e-12)
-        best = common.select("word", strength.alias("s")).orderBy(F.desc("s"), "word").limit(WORDS_PER_TARGET).collect()
-        words += [bytes(row["word"]) for row in best]
-    words = sorted(set(words))
+        best = common.select("word", strength.alias("s")).orderBy(F.desc("s"), "word").limit(max(WORDS_PER_TARGET)).collect()
+        ranked.append([bytes(row["word"]) for row in best])
+    words = sorted(set().union(*ranked))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: k for k, w in enumerate(words)}
@@ -143,10 +163,17 @@ def fit_text_model(rows: DataFrame, targets: tuple[str, ...]) -> TextModel:
     scale = np.maximum(shapes.std(axis=0), 1e-3) if n else np.ones(shapes.shape[1])
     x = np.clip((shapes - mean) / scale, -5, 5)
     x = np.concatenate([np.ones((n, 1)), x, x * x - 1], axis=1)
-    hits = table.column("hits").to_pylist()
-    rows_ = np.repeat(np.arange(n), [len(h) for h in hits])
-    cols = np.array([c for h in hits for c in h], np.int64)
-    weights = [_fit(x, rows_, cols, len(words), table.column(t).to_numpy().astype(float)) if n else np.zeros(x.shape[1] + len(words)) for t in targets]
+    hits = table.column("hits").combine_chunks()
+    cols = hits.flatten().to_numpy()
+    rows_ = np.repeat(np.arange(n), hits.value_lengths().to_numpy()) if n else np.zeros(0, np.int64)
+    fold = pc.fill_null(table.column("doc_id"), 0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    own = [np.isin(words, sorted(set().union(*(r[:size] for r in ranked)))) if words else np.zeros(0, bool) for size in WORDS_PER_TARGET]
+    weights = []
+    for target, most in zip(targets, mosts):
+        y = table.column(target).to_numpy().astype(float)
+        best = _choose(x, rows_, cols, own, y, fold % np.uint64(FOLDS) == 0, most)
+        at = own[best][cols]
+        weights.append(_fit(x, rows_[at], cols[at], len(words), y) if n else np.zeros(x.shape[1] + len(words)))
     return TextModel(words, mean, scale, np.array(weights))
 
 
@@ -186,10 +213,10 @@ def classify_quality(
 
     ``labels`` gives some ids a quality (1 good, 0 bad) and a toxicity (1 or 0). A logistic model over shape numbers and telling words, fitted on
     a bounded sample of labelled rows outside the held-out fold, gives each text its own probability to be bad (``text_bad``) and toxic
-    (``text_toxic``). Host and path rates of bad documents come from all labelled rows outside that fold, by grouped sums, each
-    shrunk toward the level above (``shrunk_rates``); ``path_rate`` of a site without labels is its host's rate or the global one. The
-    posterior odds are the path's rate as prior odds times the text's own odds over the global odds, for ``bad``; ``toxic`` is the
-    text's own probability. ``kept`` is true where ``bad`` is below 0.5 and ``toxic`` below 0.2.
+    (``text_toxic``). Host and path rates of bad and of toxic documents come from all labelled rows outside that fold, by grouped sums, each
+    shrunk toward the level above (``shrunk_rates``); the rates of a site without labels are its host's or the global ones. The
+    posterior odds of ``bad`` and of ``toxic`` are the path's rate as prior odds times the text's own odds over the global odds.
+    ``host_rate`` and ``path_rate`` are those of bad documents. ``kept`` is true where ``bad`` is below 0.5 and ``toxic`` below 0.2.
 
     Null and empty texts have no words and are judged by that. Null hosts and paths are empty ones, sites like others. Repeated rows are
     judged each alike; null ids have no label but are judged. Without labels every rate is one half and the text says nothing: nothing
@@ -203,9 +230,8 @@ def classify_quality(
     marked = settle(labelled_rows(rows.select("doc_id", "host", "path"), bad, ("bad", "toxic")).where(~held_out(F.col("doc_id"))))
     sample = marked.select("doc_id", "bad", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     # At most SAMPLE_ROWS rows of three numbers.
-    model = spark.sparkContext.broadcast(fit_text_model(rows.join(F.broadcast(sample), "doc_id"), ("bad", "toxic")))
-    rates = settle(shrunk_rates(marked.select("host", "path", "bad"), "bad"))
-    overall = (rates.select("global_rate").first() or [0.5])[0]
+    model = spark.sparkContext.broadcast(fit_text_model(rows.join(F.broadcast(sample), "doc_id"), ("bad", "toxic"), (MOST_BAD, MOST_TOXIC)))
+    rates = {t: settle(shrunk_rates(marked.select("host", "path", t), t)) for t in ("bad", "toxic")}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,14 +240,19 @@ def classify_quality(
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "path")), pa.array(p[:, 0]), pa.array(p[:, 1])], ["doc_id", "host", "path", "text_bad", "text_toxic"])
 
     judged = rows.select("doc_id", "host", "path", F.encode("text", "utf-8").alias("text")).mapInArrow(judge, "doc_id long, host string, path string, text_bad double, text_toxic double")
-    by_path = rates.select("host", "path", "path_rate")
-    by_host = rates.groupBy("host").agg(F.min("host_rate").alias("host_rate"))
-    placed = judged.join(by_path, ["host", "path"], "left").join(by_host, "host", "left")
-    host_rate = F.coalesce("host_rate", F.lit(overall))
-    path_rate = F.coalesce("path_rate", host_rate)
     odds = lambda p: p / (1 - p)
-    posterior = odds(path_rate) * odds(F.col("text_bad")) / (overall / (1 - overall))
-    scored = placed.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_bad", "text_toxic", host_rate.alias("host_rate"), path_rate.alias("path_rate"), (posterior / (1 + posterior)).alias("bad"), F.col("text_toxic").alias("toxic"))
+    placed, rate, posterior = judged, {}, {}
+    for t, found in rates.items():
+        overall = (found.select("global_rate").first() or [0.5])[0]
+        by_path = found.select("host", "path", F.col("path_rate").alias(f"{t}_path"))
+        by_host = found.groupBy("host").agg(F.min("host_rate").alias(f"{t}_host"))
+        placed = placed.join(by_path, ["host", "path"], "left").join(by_host, "host", "left")
+        rate[t] = F.coalesce(f"{t}_host", F.lit(overall)), F.coalesce(f"{t}_path", f"{t}_host", F.lit(overall))
+        raised = odds(rate[t][1]) * odds(F.col(f"text_{t}")) / (overall / (1 - overall))
+        posterior[t] = (raised / (1 + raised)).alias(t)
+    scored = placed.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_bad", "text_toxic", rate["bad"][0].alias("host_rate"), rate["bad"][1].alias("path_rate"), posterior["bad"], posterior["toxic"]
+    )
     return scored.withColumn("kept", (F.col("bad") < MOST_BAD) & (F.col("toxic") < MOST_TOXIC))
 
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from gleaner.llm.quality import classify_quality, keep_good, shrunk_rates
+import numpy as np
+
+from gleaner.llm.quality import _choose, classify_quality, keep_good, shrunk_rates
 
 
 def test_held_out_accuracy(spark):
@@ -11,8 +13,7 @@ def test_held_out_accuracy(spark):
     clean = [r for r in judged if r.quality == 1 and r.is_toxic == 0]
     assert min(len(bad), len(toxic), len(clean)) > 50
     assert sum(not r.kept for r in bad) >= 0.95 * len(bad)
-    # Some 350 toxic documents are few to learn the words of four languages from; ten times as many give over 0.99.
-    assert sum(not r.kept for r in toxic) >= 0.85 * len(toxic)
+    assert sum(not r.kept for r in toxic) >= 0.95 * len(toxic)
     assert sum(r.kept for r in clean) >= 0.99 * len(clean)
 
 
@@ -31,3 +32,24 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert classify_quality(odd_docs, labels.limit(0)).count() == odd_docs.count()
     assert classify_quality(no_docs, labels).count() == 0
     assert keep_good(odd_docs, labels).columns == odd_docs.columns
+
+
+def test_toxic_sites_are_evidence(spark):
+    """The same text is more likely toxic where most labelled texts are, less so where none are; sites are told apart by path, too."""
+    words = ["plain", "mild", "harsh", "crude"]
+    rows = [(k, f"{words[k % 4]} words number{k % 7} stand here", "dirty" if k % 2 else "tidy", "x") for k in range(400)]
+    rows += [(1000, "plain words stand here", "dirty", "x"), (1001, "plain words stand here", "tidy", "x"), (1002, "plain words stand here", "new", "x")]
+    labels = [(k, 1, int(k % 2 == 1 and k % 10 != 1)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    judged = {r.doc_id: r for r in classify_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert judged[1000].text_toxic == judged[1001].text_toxic
+    assert judged[1001].toxic < judged[1002].toxic < judged[1000].toxic
+
+
+def test_number_of_words_is_chosen_on_a_fold():
+    """Where the hits show only in the second set's words, it is chosen; where both tell the same, the first is."""
+    y = (np.arange(200) % 4 == 0).astype(float)
+    fold, x, rows = np.arange(200) % 5 == 0, np.ones((200, 1)), np.flatnonzero(y)
+    few, many = np.array([True, False]), np.array([True, True])
+    assert _choose(x, rows, np.full(len(rows), 1), [few, many], y, fold, 0.5) == 1
+    assert _choose(x, rows, np.full(len(rows), 0), [few, many], y, fold, 0.5) == 0
