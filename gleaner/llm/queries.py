@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.decontaminate import find_leaks
 from gleaner.llm.exact_dups import exact_duplicates
+from gleaner.llm.filter_audit import audit_filters
 from gleaner.llm.licenses import scan_licenses
 from gleaner.llm.lm import score_documents
 from gleaner.llm.near_dups import near_duplicates
@@ -78,11 +79,15 @@ def op10_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(_table(spark, folder, "documents"), SHARD_BYTES)
 
 
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_filters(_table(spark, folder, "documents"), _table(spark, folder, "labels"), part_col="source")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_lm_scoring, op2_url_rules, op3_decontamination, op4_best_fit_packing, op5_quality, op6_near_dedup, op7_substring_dedup,
-        op8_license_scan, op9_exact_dedup, op10_extendible_shards,
+        op8_license_scan, op9_exact_dedup, op10_extendible_shards, op12_filter_audit,
     )
 }
 
@@ -136,4 +141,30 @@ ORACLES = {
         ), leaf AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM level WHERE shard_bytes <= {SHARD_BYTES} OR depth = 60)
         SELECT doc_id, n_bytes, 0 AS directory, depth::INT AS depth, shard, 0::BIGINT AS part, shard_bytes::BIGINT AS shard_bytes, shard_rows, shard_bytes > {SHARD_BYTES} AS oversized
         FROM leaf JOIN sized USING (doc_id) WHERE k = 1""",
+    "op12_filter_audit": r"""
+        WITH RECURSIVE letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+        grown AS (SELECT '' AS o UNION ALL SELECT o || letter FROM grown JOIN letters ON NOT contains(o, letter)),
+        steps AS (SELECT o AS filter_order, i::INT AS step, substr(o, 1, i - 1) AS before, substr(o, i, 1) AS own FROM grown, range(1, 6) t(i) WHERE length(o) = 5),
+        docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+        counted AS (
+            SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) < doc_id AS copied,
+                   length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals FROM docs
+        ), failing AS (
+            SELECT doc_id, part, CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+                || CASE WHEN 100 * capitals > 2 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                || CASE WHEN copied THEN 'E' ELSE '' END AS fails FROM counted
+        ), judged AS (
+            SELECT part, fails, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM failing
+        ), sets AS (
+            SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM judged GROUP BY ALL
+        ), seen AS (
+            SELECT part, filter_order, step, own, n, n_good, n_toxic, fails, contains(fails, own) AS hit,
+                   length(before) = length(translate(before, fails, '')) AS here FROM sets, steps
+        ), counts AS (
+            SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (here AND NOT hit), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND hit), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (NOT here AND hit), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(n_good) FILTER (here AND hit), 0)::BIGINT AS good_lost, coalesce(sum(n_toxic) FILTER (here AND hit), 0)::BIGINT AS toxic_lost
+            FROM seen GROUP BY ALL
+        )
+        SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counts""",
 }
