@@ -12,6 +12,7 @@ from gleaner.llm.exact_dups import exact_duplicates
 from gleaner.llm.filter_audit import audit_filters
 from gleaner.llm.licenses import scan_licenses
 from gleaner.llm.lm import score_documents
+from gleaner.llm.main_text import extract_main_text
 from gleaner.llm.near_dups import near_duplicates
 from gleaner.llm.packing import pack_documents
 from gleaner.llm.quality import classify_quality
@@ -79,6 +80,10 @@ def op10_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(_table(spark, folder, "documents"), SHARD_BYTES)
 
 
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(_table(spark, folder, "pages"))
+
+
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit_filters(_table(spark, folder, "documents"), _table(spark, folder, "labels"), part_col="source")
 
@@ -87,7 +92,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_lm_scoring, op2_url_rules, op3_decontamination, op4_best_fit_packing, op5_quality, op6_near_dedup, op7_substring_dedup,
-        op8_license_scan, op9_exact_dedup, op10_extendible_shards, op12_filter_audit,
+        op8_license_scan, op9_exact_dedup, op10_extendible_shards, op11_html_extraction, op12_filter_audit,
     )
 }
 
@@ -141,6 +146,14 @@ ORACLES = {
         ), leaf AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM level WHERE shard_bytes <= {SHARD_BYTES} OR depth = 60)
         SELECT doc_id, n_bytes, 0 AS directory, depth::INT AS depth, shard, 0::BIGINT AS part, shard_bytes::BIGINT AS shard_bytes, shard_rows, shard_bytes > {SHARD_BYTES} AS oversized
         FROM leaf JOIN sized USING (doc_id) WHERE k = 1""",
+    # The given pages name their article, hold no furniture inside it and few kinds of character references.
+    "op11_html_extraction": r"""
+        WITH inner_html AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages),
+        plain AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS raw FROM inner_html),
+        decoded AS (
+            SELECT page_id, url, regexp_replace(replace(replace(replace(raw, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS words FROM plain
+        ), tidy AS (SELECT page_id, url, trim(regexp_replace(words, '\s+', ' ', 'g')) AS text FROM decoded)
+        SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM tidy""",
     "op12_filter_audit": r"""
         WITH RECURSIVE letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
         grown AS (SELECT '' AS o UNION ALL SELECT o || letter FROM grown JOIN letters ON NOT contains(o, letter)),
