@@ -15,6 +15,7 @@ from gleaner.llm.lm import score_documents
 from gleaner.llm.main_text import extract_main_text
 from gleaner.llm.near_dups import near_duplicates
 from gleaner.llm.packing import pack_documents
+from gleaner.llm.prefix_trie import conversation_trie
 from gleaner.llm.quality import classify_quality
 from gleaner.llm.repeats import find_repeats
 from gleaner.llm.shards import shard_documents
@@ -88,11 +89,16 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit_filters(_table(spark, folder, "documents"), _table(spark, folder, "labels"), part_col="source")
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(_table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_lm_scoring, op2_url_rules, op3_decontamination, op4_best_fit_packing, op5_quality, op6_near_dedup, op7_substring_dedup,
         op8_license_scan, op9_exact_dedup, op10_extendible_shards, op11_html_extraction, op12_filter_audit,
+        op13_prefix_trie,
     )
 }
 
@@ -180,4 +186,31 @@ ORACLES = {
             FROM seen GROUP BY ALL
         )
         SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counts""",
+    "op13_prefix_trie": r"""
+        WITH RECURSIVE own AS (
+            SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), crc AS (
+            SELECT conv_id, conv_id::VARCHAR AS digits, 0 AS bit, 4294967295::BIGINT AS c FROM own
+            UNION ALL
+            SELECT conv_id, digits, bit + 1, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END FROM (
+                SELECT *, CASE WHEN bit % 8 = 0 THEN xor(c, ascii(substr(digits, bit // 8 + 1, 1))::BIGINT) ELSE c END AS x FROM crc WHERE bit < 8 * length(digits)
+            ) step
+        ), heads AS (SELECT conv_id, (xor(c, 4294967295::BIGINT) % 4)::INT AS h FROM crc WHERE bit = 8 * length(digits)),
+        built AS (
+            SELECT o.conv_id, list_concat(coalesce(b.turns, [])[1:h], o.turns[h + 1:]) AS turns
+            FROM own o JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+        ), paths AS (SELECT conv_id, len(turns) = d AS is_end, turns[1:d] AS path, d FROM built, unnest(range(0, len(turns) + 1)) t(d)),
+        nodes AS (
+            SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256,
+                   CASE WHEN d > 0 THEN len(regexp_extract_all(path[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM paths GROUP BY path, d
+        ), children AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+        sized AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (path)),
+        below AS (
+            SELECT path[1:up] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+            FROM sized, unnest(range(0, d + 1)) t(up) GROUP BY ALL
+        )
+        SELECT s.conv_id, s.d::BIGINT AS depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens, s.ends_sha256
+        FROM sized s JOIN below USING (path) LEFT JOIN nodes p ON p.path = s.path[1:s.d - 1] AND s.d > 0""",
 }
