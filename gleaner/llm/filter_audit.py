@@ -11,6 +11,8 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import settle
+
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OTHER_SPACES = "\t\n\x0b\x0c\r"
 #: The filter of texts that a smaller id has, too.
@@ -35,11 +37,11 @@ def repeated_texts(rows: DataFrame) -> DataFrame:
 
     ``rows`` holds ``doc_id, text, hash128`` and comes back with all its columns. The other side of the join is reduced first: of
     the rows of one text only the smallest id matters, and only where a larger one exists. Copies meet map-side, so a text that is a
-    third of the corpus is one row there; the join is a plain shuffle join whose hot left side Spark can split. A null id is neither
-    smaller nor larger than another.
+    third of the corpus is one row there. That table is written, so the join has an exchange of its own on both sides, and Spark can
+    split a hot left side or send a small right side to all tasks. A null id is neither smaller nor larger than another.
     """
     firsts = rows.groupBy("hash128", "text").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    firsts = firsts.select(F.col("hash128").alias("_hash"), F.col("text").alias("_text"), "low")
+    firsts = settle(firsts.select(F.col("hash128").alias("_hash"), F.col("text").alias("_text"), "low"))
     same = (F.col("hash128") == F.col("_hash")) & (F.col("text") == F.col("_text")) & (F.col("low") < F.col("doc_id"))
     return rows.join(firsts, same, "left_semi")
 
