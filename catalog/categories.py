@@ -165,6 +165,24 @@ _MENTION_SQL = f"""
 SQL_CATEGORY_MENTION = _MENTION_SQL
 
 
+def q_mention_many_names(spark, d):
+    """Part and supplier numbers of all order lines are names, tens of thousands of them; orders name a pair, which holds others."""
+    names = read_table(spark, d, "lineitem").select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("name")).distinct()
+    selectable = T.selectable_categories(names.select(F.concat(F.lit("c"), "name").alias("id"), "name", F.lit("lines").alias("parent_id"), F.lit("1").alias("active")))
+    orders = read_table(spark, d, "orders", spread=True)
+    jobs = orders.select("o_orderkey", F.format_string("Fits part %d-%d of the list", "o_custkey", F.col("o_orderkey") % 97).alias("job_title"))
+    found = T.match_category_mention(jobs, selectable, X.job_text(jobs.columns))
+    return found.select("o_orderkey", F.col("mentioned.name").alias("named"))
+
+
+# Every pair that an order's pair contains: an end of its first number with a beginning of its second.
+SQL_MENTION_MANY_NAMES = """
+with names as (select distinct l_partkey || '-' || l_suppkey as name from lineitem),
+t as (select o_orderkey, cast(o_custkey as varchar) as a, cast(o_orderkey % 97 as varchar) as b from orders),
+inside as (select o_orderkey, substr(a, i) || '-' || substr(b, 1, j) as name from t, unnest(range(1, length(a) + 1)) x(i), unnest(range(1, length(b) + 1)) y(j))
+select t.o_orderkey, min(n.name) as named from t left join (select * from inside join names using (name)) n on n.o_orderkey = t.o_orderkey group by t.o_orderkey"""
+
+
 def q_assign_category(spark, d):
     return T.assign_category(_jobs(spark, d), _taxonomy(spark, d)).select("p_partkey", "category_id", "category_name")
 
@@ -221,7 +239,7 @@ join ({_SELECTABLE_SQL}) s on s.id = case when low then 'c-test' else coalesce(m
 
 _NAMES = [
     "classify_model", "category_parent", "selectable_categories", "rank_categories", "category_prompt", "low_info", "job_prompt",
-    "category_exact", "category_mention", "assign_category", "classify_posts",
+    "category_exact", "category_mention", "mention_many_names", "assign_category", "classify_posts",
 ]
 QUERIES = {f"q_{name}": globals()[f"q_{name}"] for name in _NAMES}
 ORACLES = {f"q_{name}": globals()[f"SQL_{name.upper()}"] for name in _NAMES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
-from gleaner.operators import dedupe, ingest
+from gleaner.operators import dedupe, ingest, spillover
 from gleaner.sources.tables import read_table
 
 FEED_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -72,7 +72,7 @@ def q_cap_spillover(spark, d):
     rows = read_table(spark, d, "events", spread=True).select(
         F.col("event_type").alias("feed"), F.get_json_object("props", "$.k").alias("url"), "event_id"
     )
-    saved = ingest.cap_with_spillover(rows.filter("url is not null"), ["feed"], "url", "event_id")
+    saved = spillover.cap_with_spillover(rows.filter("url is not null"), ["feed"], "url", "event_id")
     return saved.select("feed", "url", "event_id")
 
 
@@ -92,6 +92,26 @@ def _spillover_sql() -> str:
 SQL_CAP_SPILLOVER = _spillover_sql()
 
 
+def q_cap_many_feeds(spark, d):
+    """Every user is a feed, in order of the user's number; four events in a row offer the same address."""
+    rows = read_table(spark, d, "events", spread=True).select("user_id", F.floor(F.col("event_id") / 4).alias("page"), "event_id")
+    saved = spillover.cap_with_spillover(rows.withColumn("url", F.concat(F.lit("https://jobs.example.com/"), F.col("page").cast("string"))), ["user_id"], "url", "event_id")
+    return saved.select("user_id", "url", "event_id")
+
+
+# One feed after the other; what was saved so far travels as a list.
+SQL_CAP_MANY_FEEDS = """
+with recursive e as (
+  select user_id, event_id // 4 as page, min(event_id) as event_id, dense_rank() over (order by user_id) as feed from events group by user_id, event_id // 4),
+s as (
+  select 0::bigint as feed, []::bigint[] as taken, []::bigint[] as fresh
+  union all
+  select feed, list_concat(taken, fresh) as taken, fresh from (
+    select s.feed + 1 as feed, any_value(taken) as taken, coalesce((list(page order by event_id) filter (not list_contains(taken, page)))[1:10], []) as fresh
+    from s join e on e.feed = s.feed + 1 group by s.feed) t)
+select user_id, 'https://jobs.example.com/' || e.page as url, event_id from (select feed, unnest(fresh) as page from s) f join e on e.feed = f.feed and e.page = f.page"""
+
+
 def q_prefer_run(spark, d):
     lines = read_table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linestatus") == "F", 1).otherwise(2).cast("bigint").alias("run")
@@ -146,7 +166,7 @@ select * from b union all
 select o_custkey, o_orderkey, o_orderstatus, o_totalprice from orders where o_orderstatus = 'O' and o_custkey not in (select o_custkey from b)"""
 
 _NAMES = [
-    "explode_feeds", "owner_lookup", "ingest_summary", "cap_spillover", "prefer_run", "dedupe_composite", "dedupe_record",
+    "explode_feeds", "owner_lookup", "ingest_summary", "cap_spillover", "cap_many_feeds", "prefer_run", "dedupe_composite", "dedupe_record",
     "union_if_empty",
 ]
 QUERIES = {f"q_{name}": globals()[f"q_{name}"] for name in _NAMES}

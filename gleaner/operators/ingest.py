@@ -10,7 +10,6 @@ from gleaner.functions.geo import is_canada_us
 from gleaner.functions.text import strip_space
 from gleaner.operators.dedupe import ordered_distinct
 from gleaner.operators.ranking import top_n
-from gleaner.session import cut_lineage
 
 FEED_CONFIG = "struct<feeds:array<struct<url:string,fields:struct<location:boolean>>>>"
 
@@ -81,33 +80,6 @@ def buffer_links(links: DataFrame, max_jobs: int, chunk: str = "chunk_no", place
     return firsts.withColumn("_rank", before).filter(F.col("_rank") <= limit).select("listing_id", "url", "place")
 
 
-def cap_with_spillover(
-    candidates: DataFrame, feed_order: list[str], key: str, position: str, n: int = K.FEED_CAP
-) -> DataFrame:
-    """Feeds in order each save their first ``n`` candidates that no earlier feed saved.
-
-    Every key asks its earliest open feed. A feed asked by more than ``n`` keys closes behind its
-    n-th asker, for good, since later rounds can only improve its list. Keys behind the cut ask their
-    next feed in the next round; when no round drops a candidate, the askers are the saved rows.
-    """
-    place = F.struct(F.col(position).alias("pos"), F.col(key).alias("key"))
-    feed = F.struct(*feed_order)
-    usable = candidates.filter(F.col(key) != "")
-    live = cut_lineage(usable.groupBy(feed.alias("feed"), F.col(key).alias("key")).agg(F.min(place).alias("place")))
-    size = live.count()
-    while True:
-        asking = live.groupBy("key").agg(F.min(F.struct("feed", "place")).alias("ask")).select("ask.feed", "ask.place")
-        cuts = top_n(asking, "feed", "place", n, "rank").filter(F.col("rank") == n)
-        cuts = cuts.select("feed", F.col("place").alias("cut"))
-        joined = live.join(cuts, "feed", "left").filter(F.col("cut").isNull() | (F.col("place") <= F.col("cut")))
-        kept = cut_lineage(joined.drop("cut"))
-        kept_size = kept.count()
-        if kept_size == size:
-            saved = asking.select(F.col("feed.*"), F.col("place.key").alias(key), F.col("place.pos").alias(position))
-            return saved
-        live, size = kept, kept_size
-
-
 def prefer_larger_run(df: DataFrame, listing: str, run: str) -> DataFrame:
     """Rows of the larger run per listing; the earlier run wins a tie."""
     sizes = df.groupBy(listing, run).agg(F.count(F.lit(1)).alias("_n"))

@@ -15,17 +15,11 @@ from gleaner import constants as K
 from gleaner.functions.staging import settled
 from gleaner.functions.taxonomy import is_low_information, job_prompt, job_text
 from gleaner.functions.text import blank_to_null, strip_space
+from gleaner.operators.mentions import first_mention
 from gleaner.operators.ranking import global_position
 from gleaner.operators.shape import alias_coalesce, category_table
 from gleaner.session import cut_lineage
 
-# Category names compared per expression; larger taxonomies use several, in rank order.
-MENTION_CHUNK = 1000
-# With more names than this, mentions are found by a join.
-MENTION_LIMIT = 20_000
-SEED_LETTERS = 4
-SEED_PARTS = 16
-
 
 def _named(name: Column, names: list[str]) -> Column:
     return F.lower(strip_space(name)).isin(names)
@@ -102,64 +96,17 @@ def match_category_exact(jobs: DataFrame, selectable: DataFrame, out: str = "exa
     )
 
 
-def _mentions_by_seed(jobs: DataFrame, places: DataFrame, text: Column, out: str) -> DataFrame:
-    """Mentions for a taxonomy too large for the driver: names meet texts on the first letters of the name.
-
-    Every name a text contains starts with letters the text contains, so nothing is missed. Equal texts are
-    searched once, the names of a seed travel as arrays in several parts, and AQE splits frequent hashes.
-    """
-    hashed = jobs.withColumn("_hash", F.sha2(text, 256))
-    texts = hashed.select("_hash", text.alias("_searched")).dropDuplicates(["_hash"])
-    seeded = places.select(
-        "place", F.left("place.lname", F.lit(SEED_LETTERS)).alias("_seed"), F.pmod(F.xxhash64("place.id"), F.lit(SEED_PARTS)).alias("_part")
-    )
-    by_seed = seeded.groupBy("_seed", "_part").agg(F.collect_list("place").alias("_places"))
-
-    def pieces(length: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length("_searched") - length + 1)
-        found = F.transform(starts, lambda at: F.substring("_searched", at, F.lit(length)))
-        return F.when(F.length("_searched") >= length, found).otherwise(F.array().cast("array<string>"))
-
-    letters = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, SEED_LETTERS + 1)])))
-    grams = texts.select("_hash", F.explode(letters).alias("_seed"))
-    near = grams.join(by_seed, "_seed").groupBy("_hash").agg(F.flatten(F.collect_list("_places")).alias("_near"))
-    named = F.filter("_near", lambda place: F.contains(F.col("_searched"), place["lname"]))
-    found = texts.join(near, "_hash").select("_hash", F.array_min(named).alias(out))
-    return hashed.join(found, "_hash", "left").drop("_hash")
-
-
-def _with_mentions(jobs: DataFrame, selectable: DataFrame, text: Column) -> tuple[DataFrame, Column, list[str]]:
-    """The jobs with helper columns, the place of the first category named in the text, the helpers.
+def match_category_mention(jobs: DataFrame, selectable: DataFrame, text: Column, out: str = "mentioned", where: Column | None = None) -> DataFrame:
+    """First category in order whose name occurs in the text, NULL where none does or ``where`` does not hold.
 
-    The names travel as sorted scalar arrays of bounded length; later arrays are read only while
-    earlier ones matched nothing. Beyond a number of names a join finds the mentions instead.
+    Equal texts are searched once, whatever number of jobs has them.
     """
+    hashed = jobs.withColumn("_text_hash", F.sha2(text if where is None else F.when(where, text), 256))
+    texts = hashed.filter(F.col("_text_hash").isNotNull()).select(F.col("_text_hash").alias("key"), text.alias("text")).dropDuplicates(["key"])
     places = selectable.filter("name != ''").select(category_place().alias("place"))
-    size = places.count()
-    if size > MENTION_LIMIT:
-        return _mentions_by_seed(jobs, places, text, "_mentioned"), F.col("_mentioned"), ["_mentioned"]
-    chunks = max(1, -(-size // MENTION_CHUNK))
-    if chunks == 1:
-        groups = [places]
-    else:
-        numbered = global_position(places, "place", "_n")
-        groups = [
-            numbered.filter((F.col("_n") > i * MENTION_CHUNK) & (F.col("_n") <= (i + 1) * MENTION_CHUNK))
-            for i in range(chunks)
-        ]
-    helpers = [f"_names_{i}" for i in range(chunks)]
-    arrays = [group.agg(F.sort_array(F.collect_list("place")).alias("places")).scalar() for group in groups]
-    held = jobs.withColumns(dict(zip(helpers, arrays)))
-    firsts = [
-        F.get(F.filter(F.col(name), lambda place: F.contains(text, place["lname"])), F.lit(0)) for name in helpers
-    ]
-    return held, F.coalesce(*firsts), helpers
-
-
-def match_category_mention(jobs: DataFrame, selectable: DataFrame, text: Column, out: str = "mentioned") -> DataFrame:
-    """First category in order whose name occurs in the text."""
-    held, place, helpers = _with_mentions(jobs.withColumn("_text", text), selectable, F.col("_text"))
-    return held.withColumn(out, place).drop("_text", *helpers)
+    found = first_mention(texts, places.select("place.lname", "place")).select(F.col("key").alias("_found_hash"), F.col("place").alias(out))
+    joined = hashed.drop(out).join(found, F.col("_text_hash") == F.col("_found_hash"), "left")
+    return joined.drop("_text_hash", "_found_hash")
 
 
 def assign_category(jobs: DataFrame, categories: DataFrame | None) -> DataFrame:
@@ -177,11 +124,11 @@ def assign_category(jobs: DataFrame, categories: DataFrame | None) -> DataFrame:
         )
     ).scalar()
     staged = match_category_exact(jobs, selectable, "_exact").withColumns({"_fixed": fixed, "_text": job_text(jobs.columns)})
-    held, mentioned, _ = _with_mentions(staged, selectable, F.col("_text"))
     for_tests = F.when(is_low_information(F.col("_text")), F.coalesce("_fixed.test", "_fixed.other"))
-    chosen = F.coalesce(for_tests, "_exact", mentioned, "_fixed.other")
-    # Settled as one value, so neither its two fields nor a filter on them repeat the search for mentions.
-    found = settled(held, {"_found": chosen}).select(*kept, "_found")
+    # Settled, so that what follows reads these values and does not work them out again.
+    staged = settled(staged, {"_sure": F.coalesce(for_tests, "_exact")})
+    held = match_category_mention(staged, selectable, F.col("_text"), "_mentioned", F.col("_sure").isNull())
+    found = held.withColumn("_found", F.coalesce("_sure", "_mentioned", "_fixed.other")).select(*kept, "_found")
     return found.withColumns(
         {"category_id": F.coalesce("_found.id", F.lit("")), "category_name": F.coalesce("_found.name", F.lit(""))}
     ).drop("_found")

@@ -11,7 +11,8 @@ from gleaner import constants as K
 from gleaner.functions.records import post_rows
 from gleaner.functions.urls import url_key
 from gleaner.operators.dedupe import anti_known, anti_known_raw, first_per_key, known_urls
-from gleaner.operators.ingest import cap_with_spillover, explode_feeds, ingest_summary, keep_records, owner_for_site
+from gleaner.operators.ingest import explode_feeds, ingest_summary, keep_records, owner_for_site
+from gleaner.operators.spillover import cap_with_spillover
 from gleaner.session import cut_lineage
 
 # Configs with other ids by their text, then those whose ids are numbers by these.

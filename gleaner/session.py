@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,3 +67,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the checkpoint folder and continue from the files."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame) -> DataFrame:
+    """Write the frame as Parquet below the checkpoint folder and continue from the files.
+
+    Unlike a checkpoint, later reads take only the columns and row groups they need, and ``drop_table`` can delete it.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete the files of a table that ``write_table`` gave; frames that still read it can't be used any more."""
+    spark = table.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        if not folder.rsplit("/", 1)[-1].startswith("table-"):
+            raise ValueError(f"{folder} was not written by write_table")
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -14,7 +14,8 @@ from pyspark.sql.types import StructType
 from gleaner import constants as K
 from gleaner.functions.urls import url_key
 from gleaner.operators.dedupe import anti_known, first_per_key
-from gleaner.operators.ingest import cap_with_spillover, keep_records
+from gleaner.operators.ingest import keep_records
+from gleaner.operators.spillover import cap_with_spillover
 from gleaner.session import cut_lineage
 from gleaner.sources.sinks import append_posts
 from gleaner.sources.tables import delete_folder, list_folders, path_exists

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from gleaner import constants
-from gleaner.operators import dedupe, ingest, taxonomy
+from gleaner.operators import dedupe, ingest, spillover, taxonomy
 from gleaner.operators.geo import match_country_state_ids
 from gleaner.operators.ranking import global_position, top_n
 
@@ -45,7 +45,7 @@ def test_cap_with_spillover_equals_the_sequential_run(spark):
         pairs = {(f, f"u{k}") for f in range(feeds) for k in range(keys) if draw.random() < 0.6}
         candidates = [(f, k, p) for p, (f, k) in enumerate(draw.sample(sorted(pairs), len(pairs)))]
         frame = spark.createDataFrame(candidates or [(0, "u0", 0)], "feed int, key string, pos int")
-        found = ingest.cap_with_spillover(frame, ["feed"], "key", "pos", n).select("feed", "key", "pos").collect()
+        found = spillover.cap_with_spillover(frame, ["feed"], "key", "pos", n).select("feed", "key", "pos").collect()
         assert sorted(map(tuple, found)) == _spill(candidates or [(0, "u0", 0)], n), case
 
 
@@ -53,10 +53,32 @@ def test_cap_with_spillover_example(spark):
     first = [(1, f"u{i}", i) for i in range(1, 13)]
     second = [(2, "u11", 1), (2, "u12", 2), (2, "u13", 3), (2, "u1", 4)]
     frame = spark.createDataFrame(first + second, "feed int, key string, pos int")
-    found = sorted(tuple(r) for r in ingest.cap_with_spillover(frame, ["feed"], "key", "pos", 10).select("feed", "key").collect())
+    found = sorted(tuple(r) for r in spillover.cap_with_spillover(frame, ["feed"], "key", "pos", 10).select("feed", "key").collect())
     assert found == sorted([(1, f"u{i}") for i in range(1, 11)] + [(2, "u11"), (2, "u12"), (2, "u13")])
 
 
+def test_cap_with_spillover_carries_only_what_was_turned_away(spark):
+    """Sixty feeds, keys that up to forty of them list, and one key that all list."""
+    draw = random.Random(11)
+    pairs = {(f, f"u{k}") for k in range(700) for f in draw.sample(range(60), draw.choice([1, 2, 3, 40]))} | {(f, "u-all") for f in range(60)}
+    candidates = [(f, k, p) for p, (f, k) in enumerate(draw.sample(sorted(pairs), len(pairs)))]
+    rounds = []
+    found = spillover.cap_with_spillover(spark.createDataFrame(candidates, "feed int, key string, pos int"), ["feed"], "key", "pos", 7, rounds)
+    assert sorted(map(tuple, found.select("feed", "key", "pos").collect())) == _spill(candidates, 7)
+    asked, written = [a for a, _ in rounds], [w for _, w in rounds]
+    assert len(rounds) > spillover.PARTS and asked == sorted(asked, reverse=True) and asked[0] == 701
+    # A key that was let in and is pushed out is written once more; nothing else is.
+    assert all(w <= a + (rounds[i - 1][1] if i else 0) for i, (a, w) in enumerate(rounds)) and sum(written) < 2 * sum(asked)
+
+
+def test_cap_with_spillover_of_odd_rows(spark):
+    rows = [(None, "a", 1), (None, "b", 2), (1, "b", 0), (1, "", 0), (1, None, 0), (2, "b", 9), (2, "b", 3), (2, "c", None)]
+    frame = spark.createDataFrame(rows, "feed int, key string, pos int")
+    found = spillover.cap_with_spillover(frame, ["feed"], "key", "pos", 1)
+    assert sorted(map(str, map(tuple, found.select("feed", "key", "pos").collect()))) == ["(1, 'b', 0)", "(2, 'c', None)", "(None, 'a', 1)"]
+    assert spillover.cap_with_spillover(frame.limit(0), ["feed"], "key", "pos").columns == ["feed", "key", "pos"]
+
+
 def test_buffer_links_stops_between_chunks(spark):
     rows = [(1, chunk, pos, f"u{chunk}-{pos}") for chunk in range(4) for pos in range(9)]
     rows += [(2, 0, 0, "a"), (2, 1, 0, "a"), (2, 1, 1, "b")]
@@ -111,26 +133,31 @@ def test_assign_category(spark):
     assert [r.category_id for r in nothing] == [""]
 
 
-def test_large_taxonomy_uses_several_name_arrays(spark, monkeypatch):
-    monkeypatch.setattr(taxonomy, "MENTION_CHUNK", 2)
-    frame = spark.createDataFrame([(1, "welding"), (2, "nothing"), (3, "geology, welding")], "i int, t string")
-    found = taxonomy.match_category_mention(frame, taxonomy.selectable_categories(_categories(spark)), F.col("t"))
-    assert {r.i: r.mentioned and r.mentioned.id for r in found.collect()} == {1: "2", 2: None, 3: "3"}
-
-
-def test_mentions_by_join_equal_a_plain_search(spark, monkeypatch):
+def test_mentions_equal_a_plain_search(spark):
+    """Names from one letter on, letters of several bytes, texts that repeat, are empty or null, and names that are patterns."""
     draw = random.Random(3)
-    words = ["".join(draw.choices("ab c", k=draw.randint(1, 7))).strip() or "a" for _ in range(60)]
-    texts = ["".join(draw.choices("ab c", k=draw.randint(0, 12))) for _ in range(80)]
+    words = ["".join(draw.choices("ab cé😀.", k=draw.randint(1, 9))).strip() or "a" for _ in range(80)] + ["a.", "(", "\\e"]
+    texts = ["".join(draw.choices("ab cé😀.", k=draw.randint(0, 40))) for _ in range(80)] * 2 + ["", "\n(", "x\\e"]
     rows = [("p", "parent", None)] + [(str(i), word, "p") for i, word in enumerate(words)]
-    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    ordered = sorted((word, str(i)) for i, word in enumerate(words))
-    expected = {i: next((key for word, key in ordered if word in text), None) for i, text in enumerate(texts)}
+    frame = spark.createDataFrame([*enumerate(texts), (999, None)], "i int, t string")
+    ordered = sorted((word.encode(), str(i)) for i, word in enumerate(words))
+    expected = {i: next((key for word, key in ordered if word in text.encode()), None) for i, text in enumerate(texts)} | {999: None}
     selectable = taxonomy.selectable_categories(_categories(spark, rows))
-    for limit in (20_000, 0):
-        monkeypatch.setattr(taxonomy, "MENTION_LIMIT", limit)
-        found = taxonomy.match_category_mention(frame, selectable, F.col("t")).collect()
-        assert {r.i: r.mentioned and r.mentioned.id for r in found} == expected, limit
+    found = taxonomy.match_category_mention(frame, selectable, F.col("t")).collect()
+    assert len(found) == len(expected) and {r.i: r.mentioned and r.mentioned.id for r in found} == expected
+    some = taxonomy.match_category_mention(frame, selectable, F.col("t"), where=F.col("i") % 2 == 0).collect()
+    assert {r.i: r.mentioned and r.mentioned.id for r in some} == {i: None if i % 2 else key for i, key in expected.items()}
+    none = taxonomy.match_category_mention(frame, selectable.limit(0), F.col("t"))
+    assert none.count() == len(expected) and none.filter("mentioned is not null").count() == 0
+
+
+def test_mention_index_has_one_rare_gram_for_each_name(spark):
+    from gleaner.operators.mentions import mention_index
+
+    names = spark.createDataFrame([("welding shop", 3), ("welding shop", 1), ("welding", 2), ("ab", 4), ("", 5)], "lname string, place int")
+    found = {r.lname: (r.gram, r.place) for r in mention_index(names).collect()}
+    # The grams of "welding" are all in both names, those across the space in one.
+    assert found == {"welding shop": (" shop", 1), "welding": ("eldin", 2), "ab": ("ab", 4)}
 
 
 def test_flat_category_table_falls_back_to_all_active_rows(spark):
