@@ -76,18 +76,25 @@ def known_after_run(known: DataFrame, saved: DataFrame, column: str = "source_ur
     return known.select(column).union(saved.select(column)).distinct()
 
 
+def anti_keys(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose key is not among ``keys`` (first column). Rows without a key stay.
+
+    No key can match them, so each gets a number in its place: they are dealt out evenly and do not meet in one task.
+    """
+    known = keys.select(F.col(keys.columns[0]).alias("_known")).filter("_known <> ''").distinct()
+    none = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    probed = df.withColumn("_probe", F.when(F.col(column) != "", F.col(column)).otherwise(none))
+    return probed.join(known, F.col("_probe") == F.col("_known"), "left_anti").drop("_probe")
+
+
 def anti_known(
     df: DataFrame, known: DataFrame, url: str = "url", known_url: str = "source_url", key: str | None = None
 ) -> DataFrame:
-    """Rows whose page identity is not stored yet.
-
-    ``key`` names a column that holds the identity already; a frame partitioned by it is not shuffled again.
-    """
-    column = key or "_key"
-    keys = known.select(url_key(F.col(known_url)).alias(column)).filter(F.col(column) != "").distinct()
-    keyed = df if key else df.withColumn(column, url_key(F.col(url)))
-    fresh = keyed.join(keys, column, "left_anti")
-    return fresh if key else fresh.drop(column)
+    """Rows whose page identity is not stored yet; ``key`` names a column that holds the identity already."""
+    keys = known.select(url_key(F.col(known_url)).alias("key"))
+    if key:
+        return anti_keys(df, keys, key)
+    return anti_keys(df.withColumn("_key", url_key(F.col(url))), keys, "_key").drop("_key")
 
 
 def anti_known_raw(df: DataFrame, known: DataFrame, url: str = "url", known_url: str = "source_url") -> DataFrame:

@@ -10,21 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gleaner import constants as K
-from gleaner.functions.records import post_rows, visible_columns
+from gleaner.functions.records import visible_columns
 from gleaner.functions.text import strip_space
 from gleaner.functions.urls import page_slug
 from gleaner.operators.ranking import global_position
 from gleaner.operators.shape import ensure_columns
-from gleaner.sources.tables import path_exists
-
-
-def append_posts(records: DataFrame, path: str, run_ts: datetime, default_owner: str = K.DEFAULT_OWNER) -> None:
-    """Append the records' posts; those whose id is stored already add nothing, so a load can be repeated."""
-    rows = post_rows(records, run_ts, default_owner).dropDuplicates(["id"])
-    spark = records.sparkSession
-    if path_exists(spark, path):
-        rows = rows.join(spark.read.parquet(path).select("id"), "id", "left_anti").select(*rows.columns)
-    rows.write.mode("append").parquet(path)
+from gleaner.sources.tables import file_names, publish_text
 
 
 def apply_category_updates(posts: DataFrame, updates: DataFrame, run_ts: datetime) -> DataFrame:
@@ -54,20 +45,22 @@ def write_version(df: DataFrame, root: str, version: str) -> str:
 
 
 def save_state(urls: DataFrame, records: DataFrame, root: str, run_ts: datetime) -> str:
-    """Snapshot of the known URLs and the records of a run."""
+    """Snapshot of the known URLs and the records of a run. It counts once both are written, in one step."""
     version = run_ts.strftime("%Y%m%dT%H%M%S")
     stamp = F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz").alias("saved_at")
     write_version(urls.select("source_url", stamp), f"{root.rstrip('/')}/urls", version)
     write_version(records.select("*", stamp), f"{root.rstrip('/')}/records", version)
+    publish_text(urls.sparkSession, f"{root.rstrip('/')}/complete/{version}", version)
     return version
 
 
-def load_state(spark: SparkSession, root: str, version: str, record_schema: StructType) -> tuple[DataFrame, DataFrame] | None:
-    """The frames of a saved version; None when it was never written."""
-    path = f"{root.rstrip('/')}/urls/version={version}"
-    if not path_exists(spark, path):
+def load_state(spark: SparkSession, root: str, version: str | None, record_schema: StructType) -> tuple[DataFrame, DataFrame] | None:
+    """The frames of a saved version, the latest one if none is named; None when it was never completed."""
+    complete = file_names(spark, f"{root.rstrip('/')}/complete")
+    version = max(complete, default=None) if version is None else version
+    if version not in complete:
         return None
-    urls = spark.read.schema("source_url string, saved_at timestamp_ntz").parquet(path)
+    urls = spark.read.schema("source_url string, saved_at timestamp_ntz").parquet(f"{root.rstrip('/')}/urls/version={version}")
     schema = StructType([*record_schema.fields, *StructType.fromDDL("saved_at timestamp_ntz").fields])
     return urls, spark.read.schema(schema).parquet(f"{root.rstrip('/')}/records/version={version}")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,11 +24,6 @@ def read_table(spark: SparkSession, source: str | dict, name: str, spread: bool
     return table
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def list_folders(spark: SparkSession, path: str) -> list[str]:
     """The folders right below a folder, in any file system; none where it does not exist."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -33,6 +31,34 @@ def list_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for s in system.listStatus(target) if s.isDirectory()) if system.exists(target) else []
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies right below a folder, hidden entries left out; none where it does not exist."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in system.listStatus(target)] if system.exists(target) else []
+    return sorted(name for name in names if not name.startswith(("_", ".")))
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """Make a small file appear whole and at once, in any file system; FileExistsError where there is one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".draft-{uuid.uuid4().hex}")
+    system = target.getFileSystem(conf)
+    stream = system.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    # Unlike FileSystem, FileContext refuses to rename onto a file.
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else system.getUri(), conf)
+    try:
+        context.rename(draft, target, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as error:
+        system.delete(draft, False)
+        if "FileAlreadyExistsException" in str(error.java_exception):
+            raise FileExistsError(path) from error
+        raise
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

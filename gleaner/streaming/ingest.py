@@ -13,12 +13,12 @@ from pyspark.sql.types import StructType
 
 from gleaner import constants as K
 from gleaner.functions.urls import url_key
-from gleaner.operators.dedupe import anti_known, first_per_key
+from gleaner.operators.dedupe import anti_keys, first_per_key
 from gleaner.operators.ingest import keep_records
 from gleaner.operators.spillover import cap_with_spillover
 from gleaner.session import cut_lineage
-from gleaner.sources.sinks import append_posts
-from gleaner.sources.tables import delete_folder, list_folders, path_exists
+from gleaner.sources.posts import append_posts, known_pages
+from gleaner.sources.tables import delete_folder, list_folders
 
 
 def read_arrivals(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int | None = None) -> DataFrame:
@@ -77,8 +77,8 @@ def incremental_ingest(
         if not parts:
             return
         waiting = spark.read.schema(stream.schema).parquet(*parts).withColumn("_page", url_key(F.col("source_url")))
-        if path_exists(spark, posts_path):
-            waiting = anti_known(waiting, spark.read.parquet(posts_path).select("source_url"), key="_page")
+        # Only the buckets of the waiting pages are read, and none of the posts.
+        waiting = anti_keys(waiting, known_pages(spark, posts_path, waiting.select("_page")), "_page")
         waiting = cut_lineage(first_per_key(waiting, [group, "_page"], order))
         saved = cut_lineage(cap_with_spillover(waiting, [group], "_page", order, n).select(group, "_page"))
         append_posts(waiting.join(saved, [group, "_page"], "left_semi").drop("_page"), posts_path, run_ts, default_owner)

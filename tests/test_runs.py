@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from gleaner.operators.company import company_profile
 from gleaner.plans import listing
 from gleaner.plans.ingest import scheduled_ingest
+from gleaner.sources import posts as posts_store
 from gleaner.sources import sinks, tables
 from gleaner.streaming import ingest as streaming
 
@@ -162,12 +163,129 @@ def test_classify_and_update(spark):
     assert {r.id: r.categoryId for r in found.collect()} == {"a": 3, "b": 4, "c": 2}
 
 
+def _record(i, title="T", site="m"):
+    return (f"https://h.com/{i}?r={i}", title, site, str(i % 3))
+
+
+RECORD = "source_url string, job_title string, siteId string, category_id string"
+
+
+def test_append_reads_only_the_buckets_of_the_batch(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    assert posts_store.append_posts(spark.createDataFrame([_record(i) for i in range(400)], RECORD), path, RUN) == 400
+    tables = posts_store.stored_posts(spark, path)
+    batch = spark.createDataFrame([_record(5), _record(900)], RECORD)
+    ids = posts_store.post_rows(batch, RUN).select("id")
+    every, few = tables.files(tables.latest(), "posts"), tables.files(tables.latest(), "posts", ids)
+    assert len(every) > 50 and len(few) <= 2
+    scan = tables.read("posts", few)
+    assert len(scan.inputFiles()) == len(few)
+    # The other files can't be read any more, and the append still works: it does not open them.
+    for name in set(every) - set(few):
+        (tmp_path / "posts" / name).write_bytes(b"no parquet")
+    assert posts_store.append_posts(batch, path, RUN) == 1
+    assert tables.latest().number == 2
+
+
+def test_known_pages_do_not_open_posts(spark, tmp_path):
+    """Runs of the stream look up stored pages without a look at the posts."""
+    path = str(tmp_path / "posts")
+    posts_store.append_posts(spark.createDataFrame([_record(i) for i in range(50)], RECORD), path, RUN)
+    for name in posts_store.stored_posts(spark, path).latest().files["posts"]:
+        (tmp_path / "posts" / name).write_bytes(b"no parquet")
+    keys = spark.createDataFrame([("https://h.com/3",), ("https://h.com/999",), ("",), (None,)], "k string")
+    assert [r.page for r in posts_store.known_pages(spark, path, keys).collect()] == ["https://h.com/3"]
+    plan = posts_store.known_pages(spark, path, keys)
+    assert all("/pages/" in name for name in plan.inputFiles())
+
+
+def test_update_rewrites_only_touched_files(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    posts_store.append_posts(spark.createDataFrame([_record(i) for i in range(300)], RECORD), path, RUN)
+    tables = posts_store.stored_posts(spark, path)
+    before = tables.latest()
+    ids = [r.id for r in posts_store.read_posts(spark, path).orderBy("id").limit(10).collect()]
+    updates = spark.createDataFrame([(i, "77") for i in ids] + [("unknown", "5"), (None, "1"), (ids[0], "no number")], "id string, category_id string")
+    assert posts_store.update_posts(spark, path, updates, datetime(2024, 7, 1)) == 10
+    after = tables.latest()
+    assert after.number == before.number + 1
+    assert len(set(before.files["posts"]) - set(after.files["posts"])) <= 10 and before.files["pages"] == after.files["pages"]
+    found = posts_store.read_posts(spark, path)
+    assert found.count() == 300 and sorted(r.id for r in found.filter("categoryId = 77").collect()) == ids
+    assert found.filter("updatedAt = timestamp_ntz'2024-07-01'").count() == 10
+    assert posts_store.update_posts(spark, path, updates.limit(0), RUN) == 0 and tables.latest() == after
+
+
+def test_a_crash_before_publishing_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    from gleaner.sources.versions import VersionedTables
+
+    path = str(tmp_path / "posts")
+    posts_store.append_posts(spark.createDataFrame([_record(i) for i in range(20)], RECORD), path, RUN)
+    updates = posts_store.read_posts(spark, path).select("id", F.lit("9").alias("category_id"))
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(VersionedTables, "publish", fail)
+        for step in (lambda: posts_store.update_posts(spark, path, updates, RUN), lambda: posts_store.append_posts(spark.createDataFrame([_record(50)], RECORD), path, RUN)):
+            with pytest.raises(RuntimeError):
+                step()
+    assert posts_store.read_posts(spark, path).count() == 20 and posts_store.read_posts(spark, path).filter("categoryId = 9").count() == 0
+    assert posts_store.update_posts(spark, path, updates, RUN) == 20
+    assert posts_store.append_posts(spark.createDataFrame([_record(50)], RECORD), path, RUN) == 1
+
+
+def test_two_writers_and_merged_files(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    tables = posts_store.stored_posts(spark, path)
+    for step in range(3):
+        posts_store.append_posts(spark.createDataFrame([_record(i) for i in range(step * 40, step * 40 + 40)], RECORD), path, RUN, buckets=8)
+    base = tables.latest()
+    merged = tables.merge_files("posts", most=2)
+    assert len(base.files["posts"]) > 16 and len(merged.files["posts"]) == 8 and posts_store.read_posts(spark, path).count() == 120
+    with pytest.raises(FileExistsError):  # made from a version that is not the last any more
+        tables.publish(base, {})
+    assert tables.latest() == merged
+
+
+def test_rows_without_key_do_not_meet_in_one_task(spark):
+    from gleaner.operators.dedupe import anti_keys
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.col("id").cast("string")).when(F.col("id") % 4 == 1, F.lit("")).alias("k"))
+    known = spark.range(0, 2000, 8).select(F.col("id").cast("string").alias("k"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found = anti_keys(rows, known, "k").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    sizes = [r["count"] for r in found]
+    assert sum(sizes) == 3750 and max(sizes) < 2 * sum(sizes) / 8
+
+
+def test_latest_complete_state(spark, tmp_path):
+    records = spark.createDataFrame([("A",)], "job_title string")
+    urls = spark.createDataFrame([("https://h.com/1",)], "source_url string")
+    assert sinks.load_state(spark, str(tmp_path), None, records.schema) is None
+    for day, title in ((1, "A"), (2, "B")):
+        sinks.save_state(urls, records.select(F.lit(title).alias("job_title")), str(tmp_path), datetime(2024, 6, day))
+    # A later state whose run failed between its two tables.
+    sinks.write_version(urls, f"{tmp_path}/urls", "20240603T000000")
+    _, loaded = sinks.load_state(spark, str(tmp_path), None, records.schema)
+    assert [r.job_title for r in loaded.collect()] == ["B"]
+    assert sinks.load_state(spark, str(tmp_path), "20240603T000000", records.schema) is None
+
+
 def test_posts_without_url_have_ids_of_their_own(spark, tmp_path):
     path = str(tmp_path / "posts")
     rows = spark.createDataFrame([("", "A", "m"), ("", "B", "m"), ("https://h.com/1", "C", "m")], "source_url string, job_title string, siteId string")
     for _ in range(2):  # a repeated load adds nothing
-        sinks.append_posts(rows, path, RUN)
-    posts = spark.read.parquet(path)
+        posts_store.append_posts(rows, path, RUN)
+    posts = posts_store.read_posts(spark, path)
     assert posts.count() == 3 and posts.select("id").distinct().count() == 3
 
 
@@ -215,7 +333,7 @@ def test_stream_adds_nothing_twice(spark, tmp_path):
     def run():
         stream = streaming.read_arrivals(spark, arrivals, schema, files_per_batch=1)
         streaming.incremental_ingest(stream, posts, str(tmp_path / "check"), RUN).awaitTermination()
-        return sorted(r.source_url for r in spark.read.parquet(posts).select("source_url").collect())
+        return sorted(r.source_url for r in posts_store.read_posts(spark, posts).select("source_url").collect())
 
     arrive([(f"https://h.com/{i}?x={i}", "T", "", "f", i, "m") for i in range(3)] + [("https://h.com/9", " ", "", "f", 9, "m")])
     first = run()
@@ -236,9 +354,9 @@ def test_stream_keeps_what_the_cap_holds_back(spark, tmp_path, files):
     for _ in range(4):
         stream = streaming.read_arrivals(spark, arrivals, schema, files_per_batch=1)
         streaming.incremental_ingest(stream, posts, str(tmp_path / "check"), RUN).awaitTermination()
-        sizes.append(spark.read.parquet(posts).count())
+        sizes.append(posts_store.read_posts(spark, posts).count())
     assert sizes == [10, 20, 25, 25]
-    assert {r.source_url for r in spark.read.parquet(posts).collect()} == {f"https://h.com/{i}" for i in range(25)}
+    assert {r.source_url for r in posts_store.read_posts(spark, posts).collect()} == {f"https://h.com/{i}" for i in range(25)}
 
 
 def test_stream_spills_to_the_next_feed(spark, tmp_path):
@@ -248,7 +366,7 @@ def test_stream_spills_to_the_next_feed(spark, tmp_path):
     rows += [("https://h.com/20?a", " ", "", "f0", 0, "m"), ("https://h.com/20?b", "T", "", "f0", 1, "m")]  # the untitled row hides nothing
     spark.createDataFrame(rows, schema).write.parquet(arrivals)
     streaming.incremental_ingest(streaming.read_arrivals(spark, arrivals, schema), posts, str(tmp_path / "check"), RUN).awaitTermination()
-    assert sorted(r.source_url for r in spark.read.parquet(posts).collect()) == sorted([f"https://h.com/{i}" for i in range(12)] + ["https://h.com/20?b"])
+    assert sorted(r.source_url for r in posts_store.read_posts(spark, posts).collect()) == sorted([f"https://h.com/{i}" for i in range(12)] + ["https://h.com/20?b"])
 
 
 def test_stream_first_per_key(spark, tmp_path):
