@@ -2,28 +2,56 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import part_of, prepare, settle, texts, width
 
-CACHED_WORDS = 1_200_000
+#: Words, and runs of letters, that a worker remembers (about 300 MB together).
+CACHED_WORDS, CACHED_RUNS = 1_200_000, 400_000
+#: Characters below this one have no composed forms and are the same letters in every version of Unicode.
+_OTHER = re.compile("[^\x00-\u024f]")
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, the others follow from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Words(dict):
+    """Ids by word; a missing word is encoded and kept."""
+
+    def __init__(self, code: Encoder, items: Iterable[tuple[bytes, bytes]] = ()):
+        super().__init__(items)
+        self.word_ids = code.word_ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.word_ids(word)
+        return found
+
+
 class Encoder:
     """Token ids of texts, as packed unsigned 32-bit numbers, with the words met so far remembered.
 
-    Holds for tokenizers that drop white space: a text's ids are then those of its white-space-separated words, one after another. The
-    memory is emptied when it holds ``CACHED_WORDS`` (about 250 MB); the frequent words are back at once.
+    Holds for tokenizers that drop white space: a text's ids are then those of its white-space-separated words, one after another. Where
+    the tokenizer splits words by one pattern before it merges bytes, and lower-cases, a new word of plain letters is split here, and only
+    runs that are new, too, go to the merges; all other words go through the whole tokenizer. A full memory loses its older half; frequent
+    words are back at once.
     """
 
     def __init__(self, file: str):
@@ -37,25 +65,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         # Where the tokenizer lower-cases all text itself, words that differ in case alone are remembered once.
         self.folds = "Lowercase()" in str(self.tokenizer.normalizer)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [word for word in words if word not in self.known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = array("I", found.ids).tobytes()
+        self.pattern = self._word_pattern(json.loads(self.tokenizer.to_str()))
+        self.letters = _byte_letters()
+        self.known = _Words(self)
+        self.runs: dict[str, bytes] = {}
+
+    def _word_pattern(self, spec: dict) -> regex.Pattern | None:
+        """The pattern whose matches are merged one by one, for tokenizers that do nothing else to a lower-case word of plain letters."""
+        steps = [(n["type"], n.get("pattern"), n.get("content")) for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        plain = steps == [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
+        if not plain or len(cuts) != 2 or spec["model"]["type"] != "BPE" or spec["model"]["dropout"]:
+            return None
+        split, level = cuts
+        splits = split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"] and "Regex" in split["pattern"]
+        levels = level["type"] == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"]
+        return regex.compile(split["pattern"]["Regex"]) if splits and levels else None
+
+    def _new_run(self, run: str) -> bytes:
+        if len(self.runs) > CACHED_RUNS:
+            self.runs = dict(islice(self.runs.items(), CACHED_RUNS // 2, None))
+        shown = run if run.isascii() and run.isprintable() else "".join(map(self.letters.__getitem__, run.encode()))
+        found = self.runs[run] = array("I", [token.id for token in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return found
+
+    def _run_ids(self, run: str) -> bytes:
+        return self.runs.get(run) or self._new_run(run)
+
+    def word_ids(self, word: bytes) -> bytes:
+        """The ids of a word that is not remembered."""
+        if self.pattern and b"<|" not in word:
+            text = word.decode().lower()
+            if not _OTHER.search(text):
+                if text.isalpha():
+                    return self._run_ids(text)
+                if text[:-1].isalpha():
+                    return self._run_ids(text[:-1]) + self._run_ids(text[-1])
+                return b"".join(map(self._run_ids, self.pattern.findall(text)))
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         if len(self.known) > CACHED_WORDS:
-            self.known = {}
+            self.known = _Words(self, islice(self.known.items(), CACHED_WORDS // 2, None))
         # Special tokens are found before lower-casing, so a text that may hold one keeps its case.
         words = (text.lower() if self.folds and b"<|" not in text else text).split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def encoder(file: str) -> Encoder:

@@ -49,6 +49,26 @@ def test_special_tokens_and_case(spark):
     _check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8)
 
 
+def test_words_learnt_by_runs_agree_with_the_tokenizer(monkeypatch):
+    """Every word of a table, and words of signs, digits and letters of all kinds, with memories that overflow."""
+    from gleaner.llm import packing
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 2000)
+    monkeypatch.setattr(packing, "CACHED_RUNS", 500)
+    code, plain = packing.Encoder(NAME), Tokenizer.from_file(public_tokenizers.path(NAME))
+    assert code.pattern
+    rng = random.Random(2)
+    signs = "abcxyz'sdlmrvteABZ019.,;!?-_<|>&%$\"()éÉßñœŒŁłſǅɏɐİıςΣжЖ中文한ไ²½٣\u0301\u200b\ufeff\x7f😀"
+    texts = ["".join(rng.choices(signs, k=rng.randrange(1, 9))) for _ in range(20_000)]
+    texts += ["it's", "we'll've", "'s", "o''ss", "A1B2", "x" * 5000, "1" * 300, "naïve-café", "<|endoftext|>", "a<|startoftext|>B", "<|x"]
+    import pandas as pd
+
+    texts += pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text.tolist()
+    for at in range(0, len(texts), 40):
+        text = " ".join(texts[at : at + 40])
+        assert np.frombuffer(code.encode(text.encode()), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def _fewest(items, capacity):
     """Fewest bins by trying everything."""
 
