@@ -16,18 +16,33 @@ from gleaner.llm.url_rules import ASCII_LOWER, ASCII_UPPER
 # Everything that ends a word: ASCII other than digits and letters.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Label, words of a notice, and the key phrase that must stand in it.
+#: Label, a sentence of the licence or of its usual notices, and its mandatory key phrases, which must stand at their places in it.
 TEMPLATES = (
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation", "hereby granted free"),
-    ("apache", "licensed under the apache license version 2 0", "apache license version"),
-    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    ("lgpl", "under the terms of the gnu lesser general public license version 3", "lesser general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "binary forms"),
-    ("mpl", "subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    ("mit", "released under the mit license", ("mit license",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("hereby granted free", "charge")),
+    ("mit", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("merge publish distribute sublicense",)),
+    ("mit", "this permission notice shall be included in all copies or substantial portions of the software", ("permission notice shall", "substantial portions")),
+    ("apache", "licensed under the apache license version 2 0", ("apache license version",)),
+    ("apache", "you may not use this file except in compliance with the license", ("file except", "compliance", "license")),
+    ("gpl", "this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
+    ("gpl", "modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license", "free software foundation")),
+    ("lgpl", "under the terms of the gnu lesser general public license version 3", ("lesser general public license",)),
+    ("agpl", "under the terms of the gnu affero general public license version 3", ("affero general public license",)),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("source", "binary forms")),
+    ("bsd", "redistribution and use in source and in binary forms with or without modification are permitted", ("in binary forms",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("must retain", "above copyright notice")),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", ("must reproduce", "above copyright notice")),
+    ("mpl", "subject to the terms of the mozilla public license version 2 0", ("mozilla public license version",)),
+    ("mpl", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("without fee", "hereby granted")),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released", "public domain")),
+    *((f"cc-by{'-' * bool(kind)}{kind}", f"licensed under cc by {kind} {version}".replace("  ", " "), (f"cc by {kind} {version}".replace("  ", " "),)) for kind in ("", "nc", "sa", "nd") for version in ("3 0", "4 0")),
+    *(("cc-by", f"licensed under a creative commons attribution {version} international license", (f"creative commons attribution {version}",)) for version in ("3 0", "4 0")),
 )
+#: A template is matched where its key phrases stand in place and its words in place have this share of the IDF of all its words.
+MIN_SHARE = 0.2
+#: Words of a template that a text looks up: the highest in IDF of those that it has.
+LOOKED_UP = 3
 INDEXED_LENGTH = 5
 
 
@@ -38,8 +53,8 @@ def _words(text: str) -> list[str]:
 def _indexed(templates: tuple, phrases: dict[str, str]) -> list[str]:
     """Words with postings: those of key phrases, and the templates' longer words."""
     found = {w for phrase in phrases for w in _words(phrase)}
-    for _, notice, key in templates:
-        found |= {*_words(key), *(w for w in _words(notice) if len(w) >= INDEXED_LENGTH)}
+    for _, notice, keys in templates:
+        found |= {*_words(" ".join(keys)), *(w for w in _words(notice) if len(w) >= INDEXED_LENGTH)}
     return sorted(found)
 
 
@@ -83,7 +98,7 @@ def _phrase(places: dict[str, str], words: list[str]) -> Column:
 
 
 def scan_licenses(
-    docs: DataFrame, phrases: dict[str, str] | None = None, templates: tuple = TEMPLATES, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, phrases: dict[str, str] | None = None, templates: tuple = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_words, places, base_labels, labels, score``.
 
@@ -91,10 +106,12 @@ def scan_licenses(
     where a base phrase stands, with its label. The index keeps, for each text, the positions of the licence words: those of key phrases
     and the templates' words of five letters and more. Document frequencies of these words over all texts give their IDF.
 
-    A template's candidate starts are those of its mandatory phrase: the positions of the phrase's words, each less the word's offset in
-    the template, are intersected. Every index word of the template then votes with its IDF for the candidates at which it stands in
-    place; where it stands elsewhere, or nowhere, it only does not vote. ``labels`` are the labels of matched templates and base phrases,
-    both sorted and comma-joined; ``score`` is the largest IDF share, over the starts of matched templates, of index words in place.
+    A text looks up, for each template, the template's words with the highest IDF among those it has, and the rarest word of the key
+    phrases, without which nothing can match. Each place of such a word, less the word's offset in the template, is a candidate start. The key
+    phrases are verified there: every word of theirs must stand in place. Then all index words of the template that stand in place vote for
+    the start with their IDF, and the template is matched where they have at least ``min_share`` of the template's IDF. Words elsewhere
+    neither help nor hinder. ``labels`` are the labels of matched templates and base phrases, both sorted and comma-joined; ``score`` is the
+    largest IDF share of a matched template, 0 without one.
 
     Everything about one text is in one row, so no group can be hot; the only shuffle counts, map-side first, as many
     words as the templates have. Position lists are intersected by hashing and votes are sorted, so a text of nothing but licence words is
@@ -119,27 +136,47 @@ def scan_licenses(
         f"_base{k}": _labelled(_phrase(places, _words(p)), label)
         for k, (p, label) in enumerate(phrases.items())
     }
-    shares, names = [], []
-    for k, (label, notice, key) in enumerate(templates):
-        words, key_words = _words(notice), _words(key)
-        begin = next(i for i in range(len(words)) if words[i : i + len(key_words)] == key_words)
-        indexed = {w: i for i, w in reversed(list(enumerate(words))) if w in places}
-        ranked = sorted(indexed, key=lambda w: (-idf[w], w))
-        steps[f"_start{k}"] = _shifted(_phrase(places, key_words), begin)
-        weight = sum(idf[w] for w in ranked)
-        votes = F.concat(*[_votes(F.array_intersect(_all_starts(places, words, w), F.col(f"_start{k}")), idf[w] / weight) for w in ranked])
-        shares.append(F.when(F.size(f"_start{k}") > 0, _most(votes)).otherwise(0.0))
-        names.append(F.when(F.size(f"_start{k}") > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")))
+    weights = []
+    for k, (_, notice, keys) in enumerate(templates):
+        words = _words(notice)
+        indexed = sorted({w for w in words if w in places}, key=lambda w: (-idf[w], w))
+        mandatory = key_places(words, keys)
+        rarest = max(mandatory, key=lambda m: (idf[m[1]], m[1]))
+        looked_up = F.slice(F.filter(F.array(*[_all_starts(places, words, w) for w in indexed]), lambda starts: F.size(starts) > 0), 1, LOOKED_UP)
+        candidates = F.array_distinct(F.concat(F.flatten(looked_up), _starts(places, rarest[1], rarest[0])))
+        steps[f"_start{k}"] = reduce(F.array_intersect, [_starts(places, w, i) for i, w in sorted(mandatory, key=lambda m: -idf[m[1]])], candidates)
+        weight = sum(idf[w] for w in indexed)
+        weights.append([(w, idf[w] / weight) for w in indexed])
+    votes = {
+        f"_share{k}": F.when(
+            F.size(f"_start{k}") > 0,
+            _most(F.concat(*[_votes(F.array_intersect(_all_starts(places, _words(notice), w), F.col(f"_start{k}")), share) for w, share in weights[k]])),
+        ).otherwise(0.0)
+        for k, (_, notice, _) in enumerate(templates)
+    }
+    matched = lambda k: F.col(f"_share{k}") >= min_share
+    names = [F.when(matched(k), F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for k, (label, *_) in enumerate(templates)]
+    shares = [F.when(matched(k), F.col(f"_share{k}")).otherwise(0.0) for k in range(len(templates))]
     base = F.concat(*[F.col(f"_base{k}") for k in range(len(phrases))])
     join = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    matched = settled(settled(held, steps), {"places": base}).select(
+    found = settled(settled(settled(held, steps), {"places": base}), votes).select(
         "doc_id", "n_words", "places", join(F.col("places.label")).alias("base_labels"),
         join(F.concat(F.col("places.label"), *names)).alias("labels"), F.least(F.lit(1.0), F.greatest(*shares)).alias("score"),
     )
     none = index.where(F.size("postings") == 0).select(
         "doc_id", "n_words", F.array().cast("array<struct<start: long, label: string>>").alias("places"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score")
     )
-    return matched.unionByName(none)
+    return found.unionByName(none)
+
+
+def key_places(words: list[str], keys: tuple[str, ...]) -> list[tuple[int, str]]:
+    """Offset and word of all words of the key phrases, each phrase at its first place behind the one before."""
+    found, at = [], 0
+    for phrase in map(_words, keys):
+        at = next(i for i in range(at, len(words)) if words[i : i + len(phrase)] == phrase)
+        found += [(at + i, w) for i, w in enumerate(phrase)]
+        at += len(phrase)
+    return found
 
 
 def _all_starts(places: dict[str, str], words: list[str], word: str) -> Column:

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
+import random
 import re
 
-from gleaner.llm.licenses import BASE_PHRASES, scan_licenses
+from gleaner.llm.licenses import BASE_PHRASES, MIN_SHARE, TEMPLATES, _indexed, key_places, scan_licenses
 from gleaner.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -48,6 +50,54 @@ def test_notices(spark):
     assert rows[1].score > 0.9 and rows[7].score == 0
 
 
+def test_phrases_that_are_no_notices(spark):
+    texts = ["Plant spores take binary forms in winter.", "the request hereby granted free of doubt", "See cc by nc for the train timetable", "we do not use the Mozilla Public License here"]
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.labels, r.score) for r in rows] == [("", 0.0)] * 4
+
+
+def aligned(texts):
+    """Labels and score by laying every template over every place of every text."""
+    vocabulary = set(_indexed(TEMPLATES, BASE_PHRASES))
+    split = [WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) for text in texts]
+    idf = {w: math.log((len(texts) + 1) / (sum(w in words for words in split) + 1)) + 0.01 for w in vocabulary}
+    out = []
+    for words in split:
+        labels = {label for phrase, label in BASE_PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()}
+        best = 0.0
+        for label, notice, keys in TEMPLATES:
+            notice = notice.split()
+            weight = sum(idf[w] for w in {*notice} & vocabulary)
+            for start in range(-len(notice), len(words)):
+                here = [i for i in range(len(notice)) if 0 <= start + i < len(words) and words[start + i] == notice[i]]
+                if all(i in here for i, _ in key_places(notice, keys)):
+                    share = sum(idf[w] for w in {notice[i] for i in here} & vocabulary) / weight
+                    if share >= MIN_SHARE:
+                        labels.add(label)
+                        best = max(best, share)
+        out.append((",".join(sorted(labels)), round(min(best, 1.0), 9)))
+    return out
+
+
+def test_labels_and_scores_equal_a_plain_alignment(spark):
+    rng = random.Random(4)
+    words = sorted({w for _, notice, _ in TEMPLATES for w in notice.split()} | {"spore", "winter", "é"})
+    texts = ["", None, "mit license " * 40]
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            notice = rng.choice(TEMPLATES)[1].split()
+            low = rng.randrange(len(notice))
+            part = notice[low : low + rng.randrange(1, 20)] if rng.random() < 0.5 else notice
+            # Some words change, go or come.
+            parts += [w if rng.random() < 0.93 else rng.choice(words) for w in part if rng.random() < 0.97] + rng.choices(words, k=rng.randrange(4))
+        texts.append(rng.choice([" ", ", "]).join(parts))
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r.doc_id: (r.labels, round(r.score, 9)) for r in rows}
+    assert found == dict(enumerate(aligned(texts)))
+    assert len({label for labels, _ in found.values() for label in labels.split(",")}) > 10
+
+
 def test_words_elsewhere_do_not_veto(spark):
     """A notice keeps its label where its other words stand in the prose around it, out of place; words count for one start only."""
     prose = "Under these terms the version at hand is subject to change, with software and permission under its own version. " * 20
