@@ -41,6 +41,17 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A number for a row's id and whole text: rows that agree in both share it, others don't but for 64-bit accidents."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows whose ``row_key`` is not in ``gone`` (its only column), with their columns."""
+    marked = docs.withColumn("_row_key", row_key(id_col, text_col))
+    return marked.join(gone.toDF("_gone").distinct(), F.col("_row_key") == F.col("_gone"), "left_anti").drop("_row_key")
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle in this session; work that is split by hand is split in as many parts or more."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

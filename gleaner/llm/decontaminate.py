@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import part_of, prepare, texts
+from gleaner.llm.common import part_of, prepare, row_key, texts, without_rows
 
 BLOCK_CHARS = 8 << 20
 # ASCII letters lower-cased, digits and bytes beyond ASCII as they are, all else a space.
@@ -85,8 +85,9 @@ class Searcher:
         if places:
             self.automaton.make_automaton()
 
-    def search(self, text: bytes) -> list[tuple[int, int, int, int, int]]:
-        """For each item that the text holds within its budget: item id, distance, first and last word of the closest place, number of places."""
+    def search(self, text: bytes) -> list[tuple[int, ...]]:
+        """For each item that the text holds within its budget: item id, distance, first and last word of the closest place, number of places,
+        words of the text and of the item."""
         if not len(self.automaton):
             return []
         words = fold(text)
@@ -120,16 +121,18 @@ class Searcher:
                     if best is None or distance < best[0]:
                         best = (distance, first, low + end - 1)
             if best:
-                found.append((item, *best, count))
+                found.append((item, *best, count, len(words), n))
         return sorted(found)
 
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, errors: float = 0.2, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text",
-    item_id_col: str = "item_id", item_text_col: str = "text",
+    item_id_col: str = "item_id", item_text_col: str = "text", n_words: bool = False,
 ) -> DataFrame:
     """Documents that hold a benchmark item: ``doc_id, item_id, distance, first_word, last_word, places``, one row per document and item.
 
+    With ``n_words``, also the numbers of words of the document and the item, ``n_words`` and ``item_words``.
+
     Words are ASCII-lowered runs of digits, letters and anything beyond ASCII; in scripts without spaces (Chinese, Japanese, Thai and others) each
     character is a word, and their marks and full-width ones break words like ASCII marks. An item of ``n`` words has a budget of ``errors * n`` (rounded
     down) inserted, dropped or replaced words. It is cut into one more piece than that: where the document holds it within the budget, one
@@ -148,7 +151,9 @@ def find_leaks(
     size = queries.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_CHARS))
     rows = texts(docs, id_col, text_col).select("doc_id", F.encode("text", "utf-8").alias("text"))
-    schema = "doc_id long, item_id long, distance int, first_word long, last_word long, places long"
+    kinds = {"doc_id": "long", "item_id": "long", "distance": "int", "first_word": "long", "last_word": "long", "places": "long"}
+    kinds |= {"n_words": "long", "item_words": "long"} if n_words else {}
+    names, schema = list(kinds), ", ".join(f"{name} {kind}" for name, kind in kinds.items())
     out = None
     for block in range(blocks):
         chosen = queries.where(part_of("item_id", "text", parts=blocks) == block).orderBy("item_id", "text").collect()
@@ -164,17 +169,27 @@ def find_leaks(
             for batch in batches:
                 found = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                    found += [(doc, *row) for row in searcher.search(text.as_buffer().to_pybytes())]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                columns = zip(*found) if found else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "distance", "first_word", "last_word", "places"])
+                    found += [(doc, *row)[: len(names)] for row in searcher.search(text.as_buffer().to_pybytes())]
+                columns = zip(*found) if found else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "distance" else pa.int64()) for c, n in zip(columns, names)], names)
 
         part = rows.mapInArrow(work, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The input rows whose document holds no item, with all their columns; rows with a null id are judged by nothing and stay."""
-    leaked = find_leaks(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(leaked, id_col, "left_anti")
+def drop_leaks(
+    docs: DataFrame, items: DataFrame, min_share: float = 0.5, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
+    item_text_col: str = "text", errors: float = 0.2,
+) -> DataFrame:
+    """The input rows whose text holds no item, with all their columns.
+
+    Rows are judged by id and text, so a clean text stays where its id repeats with a leaking one, and rows with a null id are judged like
+    others. An item under ``min_words`` words stands in many texts by chance, a single word in most: such a hit makes a row go only
+    where the item's words are at least ``min_share`` of the text's.
+    """
+    marked = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    leaks = find_leaks(marked, items, errors, min_words, "row", "text", item_id_col, item_text_col, n_words=True)
+    long = F.col("last_word") - F.col("first_word") + 1
+    telling = leaks.where((F.col("item_words") >= min_words) | (long >= min_share * F.col("n_words")))
+    return without_rows(docs, telling.select("doc_id"), id_col, text_col)

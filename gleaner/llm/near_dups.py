@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import prepare, runs_by_key, settle, texts
 from gleaner.llm.components import connected_components
 from gleaner.llm.wordhash import Words, mix, text_runs, windows
+from gleaner.operators.ranking import global_position
 
 TREES, LEVELS, FIRST_LEVEL = 16, 6, 3
 REGION_ROWS, REGION_SHINGLES = 2048, 4_000_000
@@ -250,7 +251,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     pair table is ever written.
 
     Null and empty texts and texts without words have an empty set and are linked with nothing. Repeated rows are one class with the same
-    id; all of them are ``kept`` if their id is the component's. Rows with a null id get no component and are not kept. An empty
+    id; all of them are ``kept`` if their id is the component's. Rows with a null id get no component and are not kept. An id that
+    repeats with several texts stands for one of them where links are confirmed; ``keep_one_of_each`` numbers such rows first. An empty
     table gives no rows. Extra columns are not read.
     """
     prepare(docs.sparkSession)
@@ -271,6 +273,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows that no smaller id is reachable from, with all their columns; rows with a null id are judged by nothing and stay."""
-    away = near_duplicates(docs, shingle, percent, id_col, text_col).where("doc_id is not null and not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(away, id_col, "left_anti")
+    """The input rows that no smaller id is reachable from, with all their columns.
+
+    Where ids are null or repeat with several texts, rows are numbered by id and digest of the text first, null ids last, and take part by these
+    numbers: each text is judged by itself. Else the ids serve, which saves that pass.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
+    by_id = rows.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    if by_id.where("id IS NULL OR low <> high").isEmpty():
+        away = near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_away"))
+        return docs.join(away.distinct(), F.col(id_col).cast("long") == F.col("_away"), "left_anti")
+    numbers = settle(global_position(rows.select("id", "digest").distinct(), [F.col("id").asc_nulls_last(), "digest"], "number"))
+    known = numbers.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "number")
+    numbered = rows.join(known, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("number", "text")
+    away = near_duplicates(numbered, shingle, percent, "number", "text").where("not kept").select("doc_id").distinct()
+    gone = numbers.join(away, F.col("number") == F.col("doc_id"), "left_semi").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+    marked = docs.withColumn("_text_digest", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_digest") == F.col("_digest"))
+    return marked.join(gone, same, "left_anti").drop("_text_digest")

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import prepare, settle
+from gleaner.llm.common import prepare, row_key, settle, without_rows
 
 #: At most so many labelled documents are used to fit the text classifier, those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -60,9 +60,9 @@ def _folded(text: bytes) -> tuple[list[bytes], set[bytes]]:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...]) -> DataFrame:
-    """``docs`` with one 0/1 label for each target; of repeated labels of an id, the largest. Rows without a label are left out."""
+    """``docs`` with a 0/1 label for each target, null where an id has none; of repeated labels of an id, the largest. Rows without any are left out."""
     marks = labels.groupBy("doc_id").agg(*[F.max(t).alias(t) for t in targets])
-    return docs.join(marks.dropna(subset=list(targets)), "doc_id")
+    return docs.join(marks.dropna("all", subset=list(targets)), "doc_id")
 
 
 class TextModel:
@@ -116,13 +116,14 @@ def _choose(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, sets: list[np.nda
 
 
 def fit_text_model(rows: DataFrame, targets: tuple[str, ...], mosts: tuple[float, ...]) -> TextModel:
-    """Fit on ``doc_id, text`` and one 0/1 column per target, a bounded sample. The driver sees its shape numbers and the positions of
-    chosen words, never a text."""
+    """Fit on ``doc_id, text`` and one 0/1 column per target, a bounded sample; a target is fitted on the rows that have it. The driver sees
+    shape numbers and the positions of chosen words, never a text."""
     sample = settle(rows.select("doc_id", F.encode("text", "utf-8").alias("text"), *targets))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [[1] * batch.num_rows, *(batch.column(t).to_pylist() for t in targets)]
+            labels = [batch.column(t).to_pylist() for t in targets]
+            marks = [[1] * batch.num_rows, *labels, *([mark is not None for mark in own] for own in labels)]
             counts: list[Counter] = [Counter() for _ in marks]
             for k, text in enumerate(batch.column("text")):
                 distinct = _folded(text.as_buffer().to_pybytes())[1]
@@ -130,16 +131,17 @@ def fit_text_model(rows: DataFrame, targets: tuple[str, ...], mosts: tuple[float
                     if mark[k]:
                         count.update(distinct)
             columns = [pa.array([count[word] for word in counts[0]], pa.int64()) for count in counts]
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts[0]), pa.binary()), *columns], ["word", "n", *targets])
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts[0]), pa.binary()), *columns], ["word", *counted])
 
-    sums = sample.mapInArrow(words_of, "word binary, n long, " + ", ".join(f"{t} long" for t in targets)).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *targets)])
+    counted = ["n", *targets, *(f"has_{t}" for t in targets)]
+    sums = sample.mapInArrow(words_of, "word binary, " + ", ".join(f"{c} long" for c in counted)).groupBy("word").agg(*[F.sum(c).alias(c) for c in counted])
     common = settle(sums.where("n >= 5"))
-    whole = sample.agg(F.count(F.lit(1)), *[F.sum(t) for t in targets]).first()
+    whole = sample.agg(*[call(t).alias(f"{name}_{t}") for t in targets for name, call in (("n", F.count), ("hits", F.sum))]).first()
     ranked: list[list[bytes]] = []
-    for k, target in enumerate(targets):
-        n, hits = max(1, whole[0]), whole[k + 1] or 0
-        inside, outside = F.col(target) / max(1, hits), (F.col("n") - F.col(target)) / max(1, n - hits)
-        share = F.col("n") / n
+    for target in targets:
+        n, hits = max(1, whole[f"n_{target}"]), whole[f"hits_{target}"] or 0
+        inside, outside = F.col(target) / max(1, hits), (F.col(f"has_{target}") - F.col(target)) / max(1, n - hits)
+        share = F.col(f"has_{target}") / n
         strength = F.abs(inside - outside) / F.sqrt(share * (1 - share) * (1 / max(1, hits) + 1 / max(1, n - hits)) + 1e-12)
         best = common.select("word", strength.alias("s")).orderBy(F.desc("s"), "word").limit(max(WORDS_PER_TARGET)).collect()
         ranked.append([bytes(row["word"]) for row in best])
@@ -171,9 +173,11 @@ def fit_text_model(rows: DataFrame, targets: tuple[str, ...], mosts: tuple[float
     weights = []
     for target, most in zip(targets, mosts):
         y = table.column(target).to_numpy().astype(float)
-        best = _choose(x, rows_, cols, own, y, fold % np.uint64(FOLDS) == 0, most)
-        at = own[best][cols]
-        weights.append(_fit(x, rows_[at], cols[at], len(words), y) if n else np.zeros(x.shape[1] + len(words)))
+        has = ~np.isnan(y)
+        place, word = (np.cumsum(has) - 1)[rows_[has[rows_]]], cols[has[rows_]]
+        best = _choose(x[has], place, word, own, y[has], (fold % np.uint64(FOLDS) == 0)[has], most)
+        at = own[best][word]
+        weights.append(_fit(x[has], place[at], word[at], len(words), y[has]) if has.any() else np.zeros(x.shape[1] + len(words)))
     return TextModel(words, mean, scale, np.array(weights))
 
 
@@ -219,47 +223,61 @@ def classify_quality(
     ``host_rate`` and ``path_rate`` are those of bad documents. ``kept`` is true where ``bad`` is below 0.5 and ``toxic`` below 0.2.
 
     Null and empty texts have no words and are judged by that. Null hosts and paths are empty ones, sites like others. Repeated rows are
-    judged each alike; null ids have no label but are judged. Without labels every rate is one half and the text says nothing: nothing
-    is kept with odds of one. An empty table gives no rows. Extra columns are not read.
+    judged each alike; null ids have no label but are judged. Each target takes the rows that have its label, whether or not they have the
+    other's. Without any label of a target its rates are one half, its text says nothing, and nothing is rejected for it. An empty table
+    gives no rows. Extra columns are not read.
     """
+    return _judged(docs, labels, id_col, text_col, host_col, path_col, quality_col, toxic_col).drop("row_key")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, quality_col: str, toxic_col: str) -> DataFrame:
+    """``classify_quality`` with the ``row_key`` of each row."""
     spark = docs.sparkSession
     prepare(spark)
     site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((host_col, "host"), (path_col, "path"))]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *site)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *site, row_key(id_col, text_col).alias("row_key"))
     bad = labels.select(F.col(id_col).cast("long").alias("doc_id"), (1 - F.col(quality_col).cast("int")).alias("bad"), F.col(toxic_col).cast("int").alias("toxic"))
     marked = settle(labelled_rows(rows.select("doc_id", "host", "path"), bad, ("bad", "toxic")).where(~held_out(F.col("doc_id"))))
     sample = marked.select("doc_id", "bad", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     # At most SAMPLE_ROWS rows of three numbers.
     model = spark.sparkContext.broadcast(fit_text_model(rows.join(F.broadcast(sample), "doc_id"), ("bad", "toxic"), (MOST_BAD, MOST_TOXIC)))
-    rates = {t: settle(shrunk_rates(marked.select("host", "path", t), t)) for t in ("bad", "toxic")}
+    rates = {t: settle(shrunk_rates(marked.select("host", "path", t).where(F.col(t).isNotNull()), t)) for t in ("bad", "toxic")}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             z = np.clip(model.value.logits([t.as_buffer().to_pybytes() for t in batch.column("text")]), -30, 30)
             p = 1 / (1 + np.exp(-z))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "path")), pa.array(p[:, 0]), pa.array(p[:, 1])], ["doc_id", "host", "path", "text_bad", "text_toxic"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(p[:, 0]), pa.array(p[:, 1])], [*kept, "text_bad", "text_toxic"])
 
-    judged = rows.select("doc_id", "host", "path", F.encode("text", "utf-8").alias("text")).mapInArrow(judge, "doc_id long, host string, path string, text_bad double, text_toxic double")
+    kept = ["doc_id", "row_key", "host", "path"]
+    judged = rows.select(*kept, F.encode("text", "utf-8").alias("text")).mapInArrow(judge, "doc_id long, row_key long, host string, path string, text_bad double, text_toxic double")
     odds = lambda p: p / (1 - p)
-    placed, rate, posterior = judged, {}, {}
-    for t, found in rates.items():
-        overall = (found.select("global_rate").first() or [0.5])[0]
+    placed, rate, posterior, fine = judged, {}, {}, F.lit(True)
+    for (t, found), most in zip(rates.items(), (MOST_BAD, MOST_TOXIC)):
+        first = found.select("global_rate").first()
+        overall = first[0] if first else 0.5
         by_path = found.select("host", "path", F.col("path_rate").alias(f"{t}_path"))
         by_host = found.groupBy("host").agg(F.min("host_rate").alias(f"{t}_host"))
         placed = placed.join(by_path, ["host", "path"], "left").join(by_host, "host", "left")
         rate[t] = F.coalesce(f"{t}_host", F.lit(overall)), F.coalesce(f"{t}_path", f"{t}_host", F.lit(overall))
         raised = odds(rate[t][1]) * odds(F.col(f"text_{t}")) / (overall / (1 - overall))
         posterior[t] = (raised / (1 + raised)).alias(t)
+        if first:
+            fine = fine & (F.col(t) < most)
     scored = placed.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_bad", "text_toxic", rate["bad"][0].alias("host_rate"), rate["bad"][1].alias("path_rate"), posterior["bad"], posterior["toxic"]
+        "doc_id", "row_key", held_out(F.col("doc_id")).alias("held_out"), "text_bad", "text_toxic", rate["bad"][0].alias("host_rate"), rate["bad"][1].alias("path_rate"), posterior["bad"], posterior["toxic"]
     )
-    return scored.withColumn("kept", (F.col("bad") < MOST_BAD) & (F.col("toxic") < MOST_TOXIC))
+    return scored.withColumn("kept", fine)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
+    quality_col: str = "quality", toxic_col: str = "toxic",
+) -> DataFrame:
     """The input rows that the classifier keeps, with all their columns.
 
-    Rows of one id and several texts go together if any of them is rejected; rows with a null id can't be told apart and stay.
+    Rows are judged by id and text: a good text stays where its id repeats with a bad one, and rows with a null id are judged like others.
+    Rows that agree in both but not in host or path go together if any of them is rejected.
     """
-    gone = classify_quality(docs, labels, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = _judged(docs, labels, id_col, text_col, host_col, path_col, quality_col, toxic_col).where("not kept").select("row_key")
+    return without_rows(docs, gone, id_col, text_col)

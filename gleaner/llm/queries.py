@@ -25,7 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
 ]
-SHARD_BYTES = 32 << 20
+#: Small enough that the smallest table splits; real shards are a hundred times that.
+SHARD_BYTES = 256 << 10
 TOKENIZER = "word_bpe_49k.json"
 
 
