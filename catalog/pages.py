@@ -176,8 +176,8 @@ def q_detail_text(spark, d):
     return P.detail_html(_with_chrome(spark, d)).select("page_id", F.regexp_replace(text, r"(?U)\s+", "").alias("letters"))
 
 
-SQL_DETAIL_TEXT = f"""
-select page_id, regexp_replace(array_to_string({_pieces_sql(_BODY_SQL)}, ''), '[\\s\\x0b\\x{{85}}\\p{{Z}}]+', '', 'g') as letters from pages"""
+LETTERS_SQL = f"regexp_replace(array_to_string({_pieces_sql(_BODY_SQL)}, ''), '[\\s\\x0b\\x{{85}}\\p{{Z}}]+', '', 'g')"
+SQL_DETAIL_TEXT = f"select page_id, {LETTERS_SQL} as letters from pages"
 
 # --- company pages ----------------------------------------------------------------------------
 

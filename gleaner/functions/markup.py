@@ -125,14 +125,17 @@ def _resolve(base: str, ref: str | None) -> str | None:
         return None
 
 
-def read_nodes(html: str | None, url: str | None, use_base: bool) -> list[dict] | None:
+def read_nodes(html: str | None, url: str | None, use_base: bool) -> list[dict]:
     """Nodes of one page; links resolved against the page or, if asked, its base tag."""
     reader = _NodeReader()
     try:
         reader.feed(html or "")
         nodes = reader.finish()
     except AssertionError:
-        return None
+        # The parser gives up on unknown marked sections; browsers take them for comments up to the next mark, and so does it with a space.
+        reader = _NodeReader()
+        reader.feed(html.replace("<![", "<! ["))
+        nodes = reader.finish()
     base = url or ""
     if use_base:
         hints = (dict(n["attrs"]).get("href", "").strip() for n in nodes if n["tag"] == "base")

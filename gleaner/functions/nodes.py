@@ -75,15 +75,53 @@ def remove(nodes: Column, wanted: Predicate) -> Column:
     return let(nodes, lambda page: let(spans(page, wanted), lambda roots: remove_spans(page, roots)))
 
 
+def outermost(roots: Column) -> Column:
+    """The intervals that lie in no other one, in document order. Intervals of a tree never overlap otherwise."""
+    none = F.array().cast("array<struct<node:int,last:int>>")
+
+    def add(held: Column, root: Column) -> Column:
+        end = F.try_element_at(held, F.lit(-1))["last"]
+        return F.when(F.coalesce(root["last"] <= end, F.lit(False)), held).otherwise(F.concat(held, F.array(root)))
+
+    # By beginning, the longer of equals first; the end that counts is always the last one kept.
+    ordered = F.array_sort(F.transform(roots, lambda r: F.struct(r["node"].alias("node"), (-r["last"]).alias("back"))))
+    spans_ = F.transform(ordered, lambda r: F.struct(r["node"].cast("int").alias("node"), (-r["back"]).cast("int").alias("last")))
+    return F.aggregate(spans_, none, add)
+
+
+def sweep(nodes: Column, roots: Column, change: Callable[[Column], Column], strict: bool = False) -> Column:
+    """The nodes in order, runs of them below the roots passed through ``change`` (an array to an array), each node read once.
+
+    The roots' outermost intervals cut the array into runs, so the work grows with the nodes plus the roots and not with their product.
+    ``strict`` leaves an outermost root itself as it is. ``nodes`` is any run of a page's nodes.
+    """
+
+    def of_page(page: Column) -> Column:
+        base = F.coalesce(F.get(page, F.lit(0))["node"], F.lit(0))
+
+        def cut(edges: Column) -> Column:
+            def run(edge: Column, i: Column) -> Column:
+                begin = F.coalesce(F.when(i > 0, F.get(edges, i - 1)["last"]), base - 1) + 1
+                low = F.greatest(edge["node"] + (1 if strict else 0), base)
+                kept = F.slice(page, begin - base + 1, F.greatest(low - begin, F.lit(0)))
+                return F.concat(kept, change(F.slice(page, low - base + 1, F.greatest(edge["last"] - low + 1, F.lit(0)))))
+
+            end = F.coalesce(F.try_element_at(edges, F.lit(-1))["last"], base - 1) + 1
+            return F.concat(F.flatten(F.transform(edges, run)), F.slice(page, end - base + 1, F.size(page)))
+
+        return let(outermost(roots), cut)
+
+    return let(nodes, of_page)
+
+
 def remove_spans(nodes: Column, roots: Column) -> Column:
-    return F.transform(
-        nodes,
-        lambda node: node.withField(
-            "live",
-            node["live"]
-            & ~F.exists(roots, lambda root: (node["node"] >= root["node"]) & (node["node"] <= root["last"])),
-        ),
-    )
+    """Take the roots off the page, with all below them."""
+    return sweep(nodes, roots, lambda run: F.transform(run, lambda node: node.withField("live", F.lit(False))))
+
+
+def outside(nodes: Column, roots: Column) -> Column:
+    """The nodes that stand below none of the roots."""
+    return sweep(nodes, roots, lambda run: F.slice(run, F.lit(1), F.lit(0)), strict=True)
 
 
 def keep_span(nodes: Column, root: Column) -> Column:

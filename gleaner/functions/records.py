@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pandas as pd
@@ -23,33 +24,37 @@ from gleaner.functions.urls import url_key
 from gleaner.operators.shape import first_filled
 
 
-def ask_model(prompt: Column, open_model: Callable[[], Callable[[str], str]]) -> Column:
+def ask_model(prompt: Column, open_model: Callable[[], Callable], parallel: int = 1, batched: bool = False) -> Column:
     """Answer per prompt from a caller's model; NULL where the call failed.
 
-    ``open_model`` runs once per task and returns the function that answers one prompt. Only the
-    prompt column crosses to Python.
+    ``open_model`` runs once per task and returns the function that answers one prompt or, if ``batched``, a list of them by a list of
+    answers. A task has at most ``parallel`` calls under way at a time. Only the prompt column crosses to Python.
     """
 
     def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = open_model()
 
-        def answer(text: str) -> str | None:
+        def answer(texts: list[str]) -> list[str | None]:
             try:
-                return model(text)
+                found = list(model(texts)) if batched else [model(texts[0])]
+                return found if len(found) == len(texts) else [None] * len(texts)
             except Exception:
-                return None
+                return [None] * len(texts)
 
-        for batch in batches:
-            yield batch.map(answer, na_action="ignore").astype(object)
+        with ThreadPoolExecutor(parallel) as calls:
+            for batch in batches:
+                asked = batch[batch.notna()]
+                size = max(1, -(-len(asked) // parallel)) if batched else 1
+                parts = [asked.iloc[at : at + size].tolist() for at in range(0, len(asked), size)]
+                found = [one for part in calls.map(answer, parts) for one in part]
+                yield pd.Series(found, index=asked.index, dtype=object).reindex(batch.index)
 
     answers.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     # A model may answer otherwise the next time, so the optimizer must not copy the call.
     return F.pandas_udf(answers, "string").asNondeterministic()(prompt)
 
 
-def extract_with_model(
-    df: DataFrame, open_model: Callable[[], Callable[[str], str]], prompt: str = "prompt", out: str = "response"
-) -> DataFrame:
+def extract_with_model(df: DataFrame, open_model: Callable[[], Callable], prompt: str = "prompt", out: str = "response") -> DataFrame:
     return df.withColumn(out, ask_model(F.col(prompt), open_model))
 
 

@@ -21,6 +21,8 @@ from gleaner.functions.nodes import (
     inside_any,
     is_element,
     keep_span,
+    outermost,
+    outside,
     remove,
     remove_spans,
     render_html,
@@ -144,35 +146,28 @@ def _edge_named(node: Column) -> Column:
     return id_and_class(node).rlike("header|footer")
 
 
-def exclude_under_header_footer(links: Column, nodes: Column) -> Column:
-    """Drop links with an ancestor whose id or class names a header or footer."""
-    return let(spans(nodes, _edge_named), lambda edges: F.filter(links, lambda link: ~inside_any(link, edges)))
+def exclude_under_header_footer(nodes: Column) -> Column:
+    """Drop the nodes with an ancestor whose id or class names a header or footer."""
+    return let(nodes, lambda page: let(spans(page, _edge_named), lambda edges: outside(page, edges)))
 
 
 def page_links(nodes: Column) -> Column:
     """All anchors with a target outside head, footer and anything named header or footer."""
     cut = remove(nodes, lambda n: n["tag"].isin("head", "footer"))
-    return let(
-        cut,
-        lambda page: exclude_under_header_footer(
-            find_all(page, lambda n: (n["tag"] == "a") & n["href"].isNotNull()), page
-        ),
-    )
+    return find_all(exclude_under_header_footer(cut), lambda n: (n["tag"] == "a") & n["href"].isNotNull())
 
 
 def _job_link_structs(nodes: Column, html: Column, url: Column) -> Column:
     def ranked(page: Column) -> Column:
         holders = F.struct(
-            *[spans(page, lambda n, c=c: has_class(n, *c)).alias(name) for name, c in HOLDER_CLASSES.items()],
-            spans(page, lambda n: has_attr(n, "data-job-id")).alias("job_id"),
-            spans(page, lambda n: F.contains(attr(n, "data-testid"), F.lit("job"))).alias("job_testid"),
+            *[outermost(spans(page, lambda n, c=c: has_class(n, *c))).alias(name) for name, c in HOLDER_CLASSES.items()],
+            outermost(spans(page, lambda n: has_attr(n, "data-job-id"))).alias("job_id"),
+            outermost(spans(page, lambda n: F.contains(attr(n, "data-testid"), F.lit("job")))).alias("job_testid"),
         )
 
         def links_of(held: Column) -> Column:
-            linked = find_all(page, lambda n: n["href"].isNotNull() & is_job_url(n["href"]))
-            outside = exclude_under_header_footer(linked, page)
             placed = F.transform(
-                outside,
+                find_all(exclude_under_header_footer(page), lambda n: n["href"].isNotNull() & is_job_url(n["href"])),
                 lambda n: F.struct(
                     _link_rank(n, held).alias("rank"), n["node"].alias("pos"), n["href"].alias("url")
                 ),
@@ -326,7 +321,12 @@ def main_content(nodes: Column, plain: bool = False) -> Column:
 
 def detail_html(pages: DataFrame, plain: bool = False, out: str = "html_content") -> DataFrame:
     """Cleaned html of a detail page; the uncleaned main part where cleaning leaves nothing. Stray bytes of double encoding go first."""
-    main = parse_pages(pages.withColumn("html", fix_mojibake(F.col("html")))).withColumn("_main", main_content(F.col("nodes"), plain)).drop("nodes")
+    return _clean_html(parse_pages(pages.withColumn("html", fix_mojibake(F.col("html")))), plain, out).drop("nodes")
+
+
+def _clean_html(parsed: DataFrame, plain: bool, out: str, nodes: str = "nodes") -> DataFrame:
+    """Add the cleaned html of a node array."""
+    main = parsed.withColumn("_main", main_content(F.col(nodes), plain))
     cleaned = strip_page_chrome(main.withColumn("_clean", F.col("_main")), "_clean")
     shown = settled(cleaned, {"_html": render_html(drop_empty_paragraphs(F.col("_clean")))}).drop("_clean")
     return shown.withColumn(
@@ -334,6 +334,21 @@ def detail_html(pages: DataFrame, plain: bool = False, out: str = "html_content"
     ).drop("_main", "_html")
 
 
+def job_details(pages: DataFrame, text_out: str = "page_text", html_out: str | None = "html_content", plain: bool = False) -> DataFrame:
+    """The text for the extraction model and, if named, the cleaned html of detail pages, from one node array.
+
+    Pages with stray bytes of double encoding, which the html leaves out and the text keeps, are the only ones parsed for each.
+    """
+    parsed = parse_pages(pages)
+    if html_out:
+        fixed = fix_mojibake(F.col("html"))
+        again = parse_nodes(F.when(fixed != F.col("html"), fixed), F.col("url"))
+        both = parsed.withColumn("_again", again).withColumn("_fixed", F.when(fixed != F.col("html"), F.col("_again")).otherwise(F.col("nodes"))).drop("_again")
+        parsed = _clean_html(settled(both, {"_fixed": F.col("_fixed")}), plain, html_out, "_fixed").drop("_fixed")
+    quiet = parsed.withColumn("nodes", remove(F.col("nodes"), lambda n: n["tag"].isin("script", "style")))
+    return strip_page_chrome(quiet).withColumn(text_out, F.array_join(text_pieces(F.col("nodes")), "\n")).drop("nodes")
+
+
 # --- company pages ---------------------------------------------------------------------------
 
 

@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from gleaner import constants as K
 from gleaner.functions.geo import standardize_location
-from gleaner.functions.records import extract_with_model, parse_model_record
+from gleaner.functions.records import parse_model_record
 from gleaner.functions.text import clamp, truncate_text
 from gleaner.functions.urls import url_key
 from gleaner.operators.dedupe import anti_known, drop_landing, first_per_key
 from gleaner.operators.geo import match_country_state_ids
-from gleaner.operators.ingest import buffer_links, keep_records, take_first
-from gleaner.operators.pages import job_links, job_text
+from gleaner.operators.ingest import buffer_links, keep_records, prefer_larger_run, take_first
+from gleaner.operators.pages import job_details, job_links
 from gleaner.operators.taxonomy import assign_category, category_prompt
-from gleaner.session import cut_lineage
+from gleaner.session import write_table
+from gleaner.sources.answers import with_answers
 
 PROMPT_HEAD = "Read the job page below and answer with one JSON object holding these keys, null where unknown: "
 
@@ -71,15 +72,19 @@ def detail_records(
     open_model: Callable[[], Callable[[str], str]],
     categories: DataFrame | None = None,
     tree: DataFrame | None = None,
+    include_html: bool = True,
+    answers: str | None = None,
+    **calls,
 ) -> DataFrame:
-    """Job records of fetched detail pages (``page_id, url, html`` and any columns to keep).
+    """Job records of fetched detail pages (``page_id, url, html`` and any columns to keep), with their cleaned ``html_content`` unless
+    ``include_html`` is false.
 
-    The answers are written to the checkpoint folder before anything reads them, so each page is parsed and asked about once, however
-    often the records are read.
+    Pages, prompts and answers are written before anything reads them, so each page is parsed once and each prompt asked once, however
+    often the records are read. ``answers`` is a folder that keeps the answers over runs; ``calls`` says how the model is called, see
+    ``with_answers``.
     """
-    text = job_text(details, "page_text").drop("html")
-    asked = cut_lineage(extract_with_model(extraction_prompt(text, categories), open_model).drop("prompt"))
-    parsed = parse_model_record(asked).withColumn("source_url", F.col("url"))
+    text = job_details(details, "page_text", "html_content" if include_html else None).drop("html")
+    parsed = parse_model_record(with_answers(extraction_prompt(text, categories), open_model, answers, **calls)).withColumn("source_url", F.col("url"))
     return standard_records(parsed, categories, tree)
 
 
@@ -93,6 +98,22 @@ def kept_records(
     return take_first(kept, max(1, min(max_jobs, K.API_MAX_JOBS)), order, listing)
 
 
+def two_phase_records(
+    shallow: DataFrame, deep: DataFrame, records_of: Callable[[DataFrame], DataFrame], max_jobs: int, order, listing: str = "listing_id", filter_location: bool | str = False
+) -> DataFrame:
+    """Kept records of the shallow run's pages; listings that came out short are run again on the deep run's pages, and the run with more
+    records counts, the first of equals.
+
+    ``records_of`` makes records of detail pages. Pages of listings that had enough are dropped before the second run parses or asks anything.
+    """
+    wanted = max(1, min(max_jobs, K.API_MAX_JOBS))
+    first = write_table(kept_records(records_of(shallow), wanted, order, listing, filter_location).withColumn("_run", F.lit(1)))
+    enough = first.groupBy(listing).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= wanted).select(listing)
+    again = deep.join(enough, listing, "left_anti")
+    second = kept_records(records_of(again), wanted, order, listing, filter_location).withColumn("_run", F.lit(2))
+    return prefer_larger_run(first.unionByName(second, allowMissingColumns=True), listing, "_run").drop("_run")
+
+
 def asked_jobs(requests: DataFrame, column: str = "max_jobs") -> DataFrame:
     """Requested job numbers within their bounds."""
     return requests.withColumn(column, clamp(F.col(column), 1, K.API_MAX_JOBS))
