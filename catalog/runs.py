@@ -15,7 +15,7 @@ from gleaner.operators.dedupe import known_urls
 from gleaner.plans.classify import classify_stored
 from gleaner.plans.ingest import scheduled_ingest
 from gleaner.plans.listing import detail_records, kept_records, two_phase_records
-from gleaner.session import checkpoint_dir
+from gleaner.session import checkpoint_dir, cut_lineage
 from gleaner.sources import sinks, tables
 from gleaner.sources.posts import append_posts, read_posts
 from gleaner.sources.tables import read_table
@@ -140,6 +140,30 @@ with r as (select *, row_number() over (partition by o_custkey % 20 order by o_o
 select 'https://jobs.example.com/' || o_orderkey || '?r=1' as source_url, o_orderpriority as job_title from r where place <= 20"""
 
 
+def q_stream_first(spark, d):
+    """Events arrive in four files. Each comes twice in its file, the last ones of a file again in the next, and old ones at the very end."""
+    root = _folder(spark)
+    events = read_table(spark, d, "events")
+    part = F.floor(F.col("event_id") * 4 / events.count()) + 1  # events are numbered in the order of their time
+    events = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), part.alias("part"))
+    url = F.concat(F.lit("https://jobs.example.com/"), F.col("event_id").cast("string"))
+    events = cut_lineage(events)
+    for part in range(1, 5):
+        own = events.filter(F.col("part") == part).select(url.alias("url"), "ts")
+        rows = own.unionByName(own.withColumn("url", F.concat("url", F.lit("?again=1"))))
+        rows = rows.unionByName(events.filter(F.col("part") == part - 1).orderBy(F.desc("ts")).limit(50).select(F.concat(url, F.lit("#next")).alias("url"), "ts"))
+        if part == 4:
+            rows = rows.unionByName(events.filter("part = 1").select(F.concat(url, F.lit("/late")).alias("url"), "ts"))
+        rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = streaming.stream_first_per_key(streaming.read_arrivals(spark, f"{root}/in", "url string, ts timestamp", 1), event_time="ts", delay="1 hour")
+    run = stream.select("url_key").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("url_key string").parquet(f"{root}/out")
+
+
+SQL_STREAM_FIRST = "select 'https://jobs.example.com/' || event_id as url_key from events"
+
+
 def q_saved_state(spark, d):
     records = pages(spark, d, spread=False).select(F.col("url").alias("source_url"), F.col("page_id").cast("string").alias("job_id"))
     root = _folder(spark)
@@ -235,6 +259,6 @@ SQL_INGEST_COUNTS = _sequential_sql("""
 select case when grouping(k) = 0 then k end as config_id, case when grouping(f) = 0 then f end as feed_url, count(*) as scraped, count(*) as new, count(taken) as saved, grouping(k, f) as level
 from (select '1' as k, 'https://feeds.example.com/' || c.feed as f, s.url as taken from c left join s on c.feed = s.feed and c.url = s.url) t group by rollup (k, f)""")
 
-_NAMES = ["scheduled_ingest", "ingest_counts", "listing_run", "listing_two_phases", "classify_update", "stream_ingest", "saved_state", "fetch_errors", "existing_table", "known_limit", "deep_page"]
+_NAMES = ["scheduled_ingest", "ingest_counts", "listing_run", "listing_two_phases", "classify_update", "stream_ingest", "stream_first", "saved_state", "fetch_errors", "existing_table", "known_limit", "deep_page"]
 QUERIES = {f"q_{name}": globals()[f"q_{name}"] for name in _NAMES}
 ORACLES = {f"q_{name}": globals()[f"SQL_{name.upper()}"] for name in _NAMES}

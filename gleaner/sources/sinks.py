@@ -13,7 +13,7 @@ from gleaner import constants as K
 from gleaner.functions.records import visible_columns
 from gleaner.functions.text import strip_space
 from gleaner.functions.urls import page_slug
-from gleaner.operators.ranking import global_position
+from gleaner.operators.paging import narrowed
 from gleaner.operators.shape import ensure_columns
 from gleaner.sources.tables import file_names, publish_text
 
@@ -119,10 +119,13 @@ def page_of(
 ) -> DataFrame:
     """One page of the sorted frame, with ``total_pages``.
 
-    Rows are numbered through range partitions and the page is cut by number, the first one like the last. Rows that agree in field
-    and ``tie`` are ordered by a hash of the row, so pages neither share nor lose rows.
+    Ranges of keys are counted until few rows are left that can be on the page, and only those are sorted, see ``narrowed``. Rows that agree
+    in field and ``tie`` are ordered by a hash of the row, so pages neither share nor lose rows.
     """
-    pages = df.agg(F.ceil(F.count(F.lit(1)) / size)).scalar()
-    placed = global_position(df, _sorting(field, descending, tie), "_n")
-    rows = placed.filter((F.col("_n") > (page - 1) * size) & (F.col("_n") <= page * size)).orderBy("_n").drop("_n")
-    return rows.withColumn("total_pages", pages)
+    total = df.count()
+    hashable = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant", "struct", "array")]
+    row = F.xxhash64(*hashable) if hashable else F.lit(0)
+    first = (page - 1) * size
+    part, before = narrowed(df, [(sort_key(field), descending), (F.col(tie), False), (row, False)], first, first + size - 1, total)
+    rows = part.orderBy(*_sorting(field, descending, tie), row).offset(first - before).limit(size)
+    return rows.withColumn("total_pages", F.lit(-(-total // size)).cast("long"))

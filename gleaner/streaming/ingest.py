@@ -29,9 +29,17 @@ def read_arrivals(spark: SparkSession, path: str, schema: StructType | str, file
     return reader.parquet(path)
 
 
-def stream_first_per_key(stream: DataFrame, url: str = "url") -> DataFrame:
-    """Each page identity once over the life of the stream; the seen keys live in the checkpoint."""
-    return stream.withColumn("url_key", url_key(F.col(url))).dropDuplicates(["url_key"])
+def stream_first_per_key(stream: DataFrame, url: str = "url", event_time: str | None = None, delay: str = "7 days") -> DataFrame:
+    """Each page identity once; the seen keys live in the checkpoint.
+
+    With an ``event_time`` column, a key is forgotten once the stream is ``delay`` past it, so the state holds the keys of that span and no
+    more. Rows that come later than the delay are left out, as nobody can tell any more whether they repeat. Without one, keys are
+    kept for the life of the stream.
+    """
+    keyed = stream.withColumn("url_key", url_key(F.col(url)))
+    if event_time is None:
+        return keyed.dropDuplicates(["url_key"])
+    return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["url_key"])
 
 
 class IngestRun:

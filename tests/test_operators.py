@@ -28,6 +28,31 @@ def test_global_position(spark):
     assert [(r.o, r.id) for r in found] == sorted((r.o, r.id) for r in found)
 
 
+def test_a_page_sorts_only_its_range(spark, monkeypatch):
+    """Ranges with few rows are left for pages anywhere, with a key that most rows share, descending, with nulls and repeated rows."""
+    from gleaner.operators import paging
+    from gleaner.sources import sinks
+
+    monkeypatch.setattr(paging, "SORTED_ROWS", 150)
+    monkeypatch.setattr(paging, "SAMPLE_ROWS", 400)
+    draw = random.Random(6)
+    rows = [(draw.choice(["same"] * 6 + [None, "a", "é", "Zz", "z", f"k{i}"]), f"id{i}") for i in range(5000)]
+    frame = spark.createDataFrame(rows, "t string, id string").repartition(7)
+    order = [(sinks.sort_key("t"), False), (F.col("id"), False)]
+    for first in (0, 2000, 4990):
+        part, before = paging.narrowed(frame, order, first, first + 9, 5000)
+        held = part.count()
+        assert held <= 400 and before <= first and first + 9 < before + held
+    for descending in (False, True):
+        whole = [r.id for r in sinks.sort_by_field(frame, "t", descending).collect()]
+        for page in (37, 500) if descending else (1, 260):
+            found = sinks.page_of(frame, page, "t", descending).collect()
+            assert [r.id for r in found] == whole[(page - 1) * 10 : page * 10] and {r.total_pages for r in found} == {500}
+    assert sinks.page_of(frame, 501, "t").count() == 0
+    same = spark.range(400).select(F.lit("x").alias("t"), F.lit("y").alias("id"))
+    assert sinks.page_of(same, 40, "t").count() == 10 and sinks.page_of(same.limit(0), 1, "t").count() == 0
+
+
 def _spill(candidates, n):
     saved, seen = [], set()
     for feed in sorted({c[0] for c in candidates}):

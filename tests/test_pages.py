@@ -175,3 +175,65 @@ def test_deep_pages_take_linear_work():
         assert mark_chrome(nodes) == []
         took.append(time.perf_counter() - start)
     assert took[1] < 12 * max(took[0], 0.02)
+
+
+def test_blocks_are_removed_in_one_pass(spark):
+    """Nested, repeated and unordered intervals against a plain loop, on whole pages and on runs of their nodes."""
+    import random
+
+    from gleaner.functions.nodes import outermost, outside, remove_spans
+
+    rng = random.Random(8)
+    rows = []
+    for case in range(40):
+        parts, depth = [], 0
+        for _ in range(rng.randrange(30)):
+            if depth and rng.random() < 0.5:
+                parts.append("</div>")
+                depth -= 1
+            else:
+                parts.append("<div>" if rng.random() < 0.7 else "x<br>")
+                depth += parts[-1] == "<div>"
+        nodes = read_nodes("".join(parts), "https://h.com/", False)
+        roots = rng.choices(nodes, k=rng.randrange(6)) if nodes else []
+        rows.append((case, "".join(parts), [(r["node"], r["last"]) for r in roots]))
+    schema = "page_id int, html string, roots array<struct<node:int,last:int>>"
+    parsed = pages.parse_pages(spark.createDataFrame([(i, h, r) for i, h, r in rows], schema).withColumn("url", F.lit("https://h.com/")))
+    found = parsed.select(
+        "page_id", "nodes", "roots", F.transform(remove_spans(F.col("nodes"), F.col("roots")), lambda n: n["live"]).alias("live"),
+        F.transform(outside(F.col("nodes"), F.col("roots")), lambda n: n["node"]).alias("outside"), outermost(F.col("roots")).alias("outer"),
+        F.transform(remove_spans(F.slice("nodes", 3, 9), F.filter("roots", lambda r: (r["node"] >= 2) & (r["last"] <= 10))), lambda n: n["live"]).alias("part"),
+    ).collect()
+    for r in found:
+        held = [(a, b) for a, b in r.roots]
+        n = len(r.nodes)
+        assert r.live == [not any(a <= i <= b for a, b in held) for i in range(n)]
+        assert r.outside == [i for i in range(n) if not any(a < i <= b for a, b in held)]
+        assert [tuple(o) for o in r.outer] == sorted({(a, b) for a, b in held if not any((c, d) != (a, b) and c <= a and b <= d for c, d in held)})
+        low = [(a, b) for a, b in held if a >= 2 and b <= 10]
+        assert r.part == [not any(a <= i <= b for a, b in low) for i in range(2, min(n, 11))]
+
+
+def test_removal_time_grows_with_nodes_plus_roots(spark):
+    import time
+
+    from gleaner.functions.nodes import remove_spans
+
+    def seconds(n):
+        html = "<p class='x'>a</p>" * n
+        rows = pages.parse_pages(frame(spark, html))
+        marked = rows.select(remove_spans(F.col("nodes"), F.transform(F.filter("nodes", lambda k: k["tag"] == "p"), lambda k: F.struct(k["node"].alias("node"), k["last"].alias("last")))).alias("m"))
+        began = time.perf_counter()
+        assert marked.select(F.size(F.filter("m", lambda k: k["live"]))).first()[0] == 0
+        return time.perf_counter() - began
+
+    seconds(500)
+    small, large = min(seconds(2000) for _ in range(2)), min(seconds(8000) for _ in range(2))
+    # Four times the nodes and four times the roots: sixteen times the work for a product of both.
+    assert large < 8 * small + 1
+
+
+def test_unknown_marked_sections_do_not_lose_a_page(spark):
+    rows = frame(spark, "<![foo<p>lost</p>", "<p>a</p><![ x]><p>b</p>", "<![CDATA[kept]]><p>c</p>", "<![if IE]><p>d</p><![endif]>")
+    assert [r.page_text for r in pages.page_text(rows).orderBy("page_id").collect()][:2] == ["lost", "a\nb"]
+    assert pages.html_nodes(rows).select("page_id").distinct().count() == 4

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import date, datetime
 
 import pytest
@@ -323,6 +324,102 @@ def test_each_page_is_asked_once(spark, tmp_path):
     assert len(os.listdir(calls)) == 12
 
 
+def _counting_model(folder, fail=""):
+    """A model that leaves a file for each prompt it is asked, and fails on some."""
+
+    def open_model():
+        import os
+        import uuid
+
+        def answer(prompts):
+            for prompt in prompts:
+                with open(os.path.join(folder, uuid.uuid4().hex), "w") as note:
+                    note.write(prompt)
+            if fail and any(fail in prompt for prompt in prompts):
+                raise RuntimeError("no answer")
+            return [f"answer to {prompt}" for prompt in prompts]
+
+        return answer
+
+    return open_model
+
+
+def test_answers_are_asked_once_and_kept(spark, tmp_path):
+    from gleaner.sources.answers import with_answers
+
+    calls, store = tmp_path / "calls", str(tmp_path / "answers")
+    calls.mkdir()
+    rows = spark.createDataFrame([(i, f"p{i % 5}" if i % 7 else None) for i in range(40)], "i int, prompt string")
+    ask = lambda df, fail="": {r.i: r.response for r in with_answers(df, _counting_model(str(calls), fail), store, parallel=3, batched=True, slices=2).collect()}
+    found = ask(rows)
+    assert found == {i: f"answer to p{i % 5}" if i % 7 else None for i in range(40)}
+    assert sorted(f.read_text() for f in calls.iterdir()) == [f"p{k}" for k in range(5)]
+    assert ask(rows) == found and len(list(calls.iterdir())) == 5  # a second run asks nothing
+    more = rows.unionByName(spark.createDataFrame([(100, "new"), (101, "bad")], "i int, prompt string"))
+    first = ask(more, fail="bad")
+    assert first[101] is None and len(list(calls.iterdir())) == 7
+    # What failed is asked again, what was answered in the same run is not, unless they were one call.
+    second = ask(more)
+    assert second[101] == "answer to bad" and second[100] == "answer to new" and 8 <= len(list(calls.iterdir())) <= 9
+
+
+def test_answers_survive_a_failed_run(spark, tmp_path, monkeypatch):
+    from gleaner.sources.answers import with_answers
+    from gleaner.sources.versions import VersionedTables
+
+    calls, store = tmp_path / "calls", str(tmp_path / "answers")
+    calls.mkdir()
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(30)], "i int, prompt string")
+    publish, done = VersionedTables.publish, []
+
+    def fail_later(self, *args):
+        if len(done) == 2:
+            raise RuntimeError("lost")
+        done.append(1)
+        return publish(self, *args)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(VersionedTables, "publish", fail_later)
+        with pytest.raises(RuntimeError):
+            with_answers(rows, _counting_model(str(calls)), store, batched=True, slices=4)
+    asked = len(list(calls.iterdir()))
+    assert with_answers(rows, _counting_model(str(calls)), store, batched=True, slices=4).filter("response is null").count() == 0
+    assert len(list(calls.iterdir())) < asked + 30 and len({f.read_text() for f in calls.iterdir()}) == 30
+
+
+def test_second_run_reads_only_short_listings(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def open_model():
+        import os
+        import uuid
+
+        def answer(prompt):
+            with open(os.path.join(str(calls), uuid.uuid4().hex), "w") as note:
+                note.write(prompt)
+            return '{"job_title": "Welder"}'
+
+        return answer
+
+    shallow = [(1, 10, "https://h.com/1/a"), (1, 11, "https://h.com/1/b"), (2, 20, "https://h.com/2/a")]
+    deep = [*shallow, (1, 12, "https://h.com/1/c"), (2, 21, "https://h.com/2/b"), (3, 30, "https://h.com/3/a")]
+    frames = [spark.createDataFrame([(*r, f"<p>{r[2]}</p>") for r in rows], "listing_id int, page_id int, url string, html string") for rows in (shallow, deep)]
+    found = listing.two_phase_records(*frames, lambda rows: listing.detail_records(rows, open_model), 2, "page_id")
+    assert sorted((r.listing_id, r.page_id) for r in found.collect()) == [(1, 10), (1, 11), (2, 20), (2, 21), (3, 30)]
+    asked = sorted(re.search(r"Page: (\S+)", f.read_text()).group(1) for f in calls.iterdir())
+    assert asked == sorted([*(r[2] for r in shallow), "https://h.com/2/a", "https://h.com/2/b", "https://h.com/3/a"])
+
+
+def test_listing_records_hold_cleaned_html(spark):
+    html = "<main><div id='cookieBar'>We use cookies</div><p>Weld \u00c2 here</p><p> </p></main>"
+    rows = spark.createDataFrame([(1, "https://h.com/1", html), (2, "https://h.com/2", None)], "page_id int, url string, html string")
+    found = {r.page_id: r for r in listing.detail_records(rows, stub_model()).collect()}
+    assert found[1].html_content == "<main><p>Weld  here</p></main>"
+    assert found[1].job_title == "Welder" and not found[2].html_content
+    assert "html_content" not in listing.detail_records(rows, stub_model(), include_html=False).columns
+
+
 def test_stream_adds_nothing_twice(spark, tmp_path):
     schema = "source_url string, job_title string, location string, feed_url string, pos int, site string"
     arrivals, posts = str(tmp_path / "in"), str(tmp_path / "posts")
