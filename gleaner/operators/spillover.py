@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
@@ -60,11 +60,9 @@ def cap_with_spillover(
     further = None if further.isEmpty() else further
     frontier, let_in, done = options.filter("page = 0"), [], [options]
     lead = F.col(f"feed.{feed_order[0]}")
-    while True:
+    number, first = _asking(frontier).agg(F.count(F.lit(1)), F.min(lead)).first()
+    while number:
         asks = _asking(frontier)
-        number, first = asks.agg(F.count(F.lit(1)), F.min(lead)).first()
-        if not number:
-            break
         pool = asks.withColumn("asked", F.lit(True))
         if let_in:
             # Feeds before the first one asked are settled. Of all that were ever let in, those behind the cut had to go in an earlier round.
@@ -75,10 +73,17 @@ def cap_with_spillover(
         cuts = top_n(pool, "feed", "place", n, "rank").filter(F.col("rank") == n).select(F.col("feed").alias("_feed"), F.col("place").alias("cut"))
         judged = pool.join(cuts, F.col("feed").eqNullSafe(F.col("_feed")), "left").withColumn("stays", F.col("cut").isNull() | (F.col("place") <= F.col("cut")))
         # Rows that were let in before and stay are written already.
-        judged = write_table(judged.filter("asked or not stays").drop("_feed", "cut"))
+        # How many ask next, and which feed first, is counted while the rows are written.
+        watch, goes_on = Observation(), ~F.col("stays") & (F.size("options") > 0)
+        judged = judged.filter("asked or not stays").drop("_feed", "cut")
+        next_lead = F.get("options", F.lit(0))["feed"][feed_order[0]]
+        judged = write_table(judged.observe(watch, F.count(F.lit(1)).alias("rows"), F.count_if(goes_on).alias("asking"), F.min(F.when(goes_on, next_lead)).alias("lead")))
         if rounds is not None:
-            rounds.append((number, judged.count()))
+            rounds.append((number, watch.get["rows"]))
         frontier = _refilled(judged.filter("not stays"), further)
+        number, first = watch.get["asking"], watch.get["lead"]
+        if further is not None:
+            number, first = _asking(frontier).agg(F.count(F.lit(1)), F.min(lead)).first()
         let_in.append(judged.filter("stays").drop("stays", "asked"))
         done.append(judged)
         if len(let_in) > PARTS:
