@@ -82,16 +82,18 @@ def test_cap_with_spillover_example(spark):
     assert found == sorted([(1, f"u{i}") for i in range(1, 11)] + [(2, "u11"), (2, "u12"), (2, "u13")])
 
 
-def test_cap_with_spillover_carries_only_what_was_turned_away(spark):
-    """Sixty feeds, keys that up to forty of them list, and one key that all list."""
+def test_cap_with_spillover_carries_only_what_was_turned_away(spark, monkeypatch):
+    """Twenty feeds, keys that up to fourteen of them list, and one key that all list, with parts that are merged and options that run out."""
+    monkeypatch.setattr(spillover, "PARTS", 4)
+    monkeypatch.setattr(spillover, "OPTIONS", 6)
     draw = random.Random(11)
-    pairs = {(f, f"u{k}") for k in range(700) for f in draw.sample(range(60), draw.choice([1, 2, 3, 40]))} | {(f, "u-all") for f in range(60)}
+    pairs = {(f, f"u{k}") for k in range(250) for f in draw.sample(range(20), draw.choice([1, 2, 3, 14]))} | {(f, "u-all") for f in range(20)}
     candidates = [(f, k, p) for p, (f, k) in enumerate(draw.sample(sorted(pairs), len(pairs)))]
     rounds = []
     found = spillover.cap_with_spillover(spark.createDataFrame(candidates, "feed int, key string, pos int"), ["feed"], "key", "pos", 7, rounds)
     assert sorted(map(tuple, found.select("feed", "key", "pos").collect())) == _spill(candidates, 7)
     asked, written = [a for a, _ in rounds], [w for _, w in rounds]
-    assert len(rounds) > spillover.PARTS and asked == sorted(asked, reverse=True) and asked[0] == 701
+    assert len(rounds) > spillover.PARTS and asked == sorted(asked, reverse=True) and asked[0] == 251
     # A key that was let in and is pushed out is written once more; nothing else is.
     assert all(w <= a + (rounds[i - 1][1] if i else 0) for i, (a, w) in enumerate(rounds)) and sum(written) < 2 * sum(asked)
 
