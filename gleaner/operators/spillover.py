@@ -17,12 +17,17 @@ PARTS = 12
 
 
 def _options(candidates: DataFrame, feed_order: list[str], key: str, position: str) -> DataFrame:
-    """``key, page, options``: the feeds that list a key, in feed order, in pages of a bounded number."""
+    """``key, page, options``: the feeds that list a key, in feed order, in pages of a bounded number; written."""
     feed, place = F.struct(*feed_order), F.struct(F.col(position).alias("pos"), F.col(key).alias("key"))
     listed = candidates.filter(F.col(key) != "").groupBy(feed.alias("feed"), F.col(key).alias("key")).agg(F.min(place).alias("place"))
-    numbered = running_before(listed, "key", [F.col("feed")], {"at": ("count", "key", 0)})
+    listed = write_table(listed)
+    most = listed.groupBy("key").agg(F.count(F.lit(1)).alias("feeds")).agg(F.max("feeds")).first()[0] or 0
+    # Places are only needed where a key has more than one page.
+    numbered = listed.withColumn("at", F.lit(0)) if most <= OPTIONS else running_before(listed, "key", [F.col("feed")], {"at": ("count", "key", 0)})
     paged = numbered.groupBy("key", F.floor(F.col("at") / OPTIONS).alias("page"))
-    return paged.agg(F.sort_array(F.collect_list(F.struct("feed", "place"))).alias("options"))
+    options = write_table(paged.agg(F.sort_array(F.collect_list(F.struct("feed", "place"))).alias("options")))
+    drop_table(listed)
+    return options
 
 
 def _asking(frontier: DataFrame) -> DataFrame:
@@ -55,7 +60,7 @@ def cap_with_spillover(
     and null keys are no candidates; a key listed twice by a feed counts at its first place. ``rounds`` receives, for each round, how many
     keys asked and how many rows were written.
     """
-    options = write_table(_options(candidates, feed_order, key, position))
+    options = _options(candidates, feed_order, key, position)
     further = options.filter("page > 0")
     further = None if further.isEmpty() else further
     frontier, let_in, done = options.filter("page = 0"), [], [options]
