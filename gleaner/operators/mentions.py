@@ -9,6 +9,9 @@ from gleaner.session import write_table
 
 #: Letters of a gram; a shorter name is one gram.
 GRAM = 5
+#: Letters of an index that Spark may send to all tasks. It measures the file, which repeated letters make a small part of what the driver
+#: would hold; a longer index is joined by shuffles.
+SENT_LETTERS = 1_000_000
 
 
 def _windows(text: Column) -> Column:
@@ -26,8 +29,9 @@ def mention_index(names: DataFrame, name: str = "lname", place: str = "place") -
     wide = F.least(F.length("lname"), F.lit(GRAM))
     grams = distinct.select("lname", F.explode(F.filter(_windows(F.col("lname")), lambda g: F.length(g) == wide)).alias("gram"))
     sizes = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
-    rarest = grams.join(sizes, "gram").groupBy("lname").agg(F.min(F.struct("names", "gram")).alias("rarest"))
-    return distinct.join(rarest, "lname").select(F.col("rarest.gram").alias("gram"), "lname", "place")
+    # Merge joins, as derived letters are many times the size of the file that Spark takes them for.
+    rarest = grams.join(sizes.hint("merge"), "gram").groupBy("lname").agg(F.min(F.struct("names", "gram")).alias("rarest"))
+    return distinct.join(rarest.hint("merge"), "lname").select(F.col("rarest.gram").alias("gram"), "lname", "place")
 
 
 def first_mention(texts: DataFrame, names: DataFrame, name: str = "lname", place: str = "place") -> DataFrame:
@@ -35,14 +39,15 @@ def first_mention(texts: DataFrame, names: DataFrame, name: str = "lname", place
 
     ``texts`` holds ``key`` (distinct) and ``text``. A text that contains a name contains the name's rarest gram, so joining the grams of a
     text with the index misses nothing and finds little else; what it finds is verified in the text. The same plan serves any number of
-    names: the index is a table with a row per name, sent to all tasks while it is small by Spark's measure and joined by gram, with
-    frequent grams split, when it is not. Only the lengths of its grams, at most ``GRAM`` numbers, go to the driver.
+    names: the index is a table with a row per name, sent to all tasks while it is small by Spark's measure and holds at most
+    ``SENT_LETTERS``, and joined by gram, with frequent grams split, when it is not. Only the lengths of its grams, at most ``GRAM``
+    numbers, and its letters, another one, go to the driver.
     """
     index = write_table(mention_index(names, name, place))
-    lengths = index.agg(F.sort_array(F.collect_set(F.length("gram")))).first()[0]
+    lengths, letters = index.agg(F.sort_array(F.collect_set(F.length("gram"))), F.sum(F.length("lname") + F.length("gram"))).first()
     if not lengths:
         return texts.select("key", F.lit(None).cast(names.schema[place].dataType).alias("place")).limit(0)
     cut = [F.expr(f"filter(transform(_windows, w -> left(w, {n})), g -> length(g) = {n})") for n in lengths]
     grams = texts.select("key", _windows(F.col("text")).alias("_windows")).select("key", F.explode(F.array_distinct(F.concat(*cut))).alias("gram"))
-    likely = grams.join(index, "gram").select("key", "lname", "place")
-    return likely.join(texts, "key").filter(F.contains("text", F.col("lname"))).groupBy("key").agg(F.min("place").alias("place"))
+    likely = grams.join(index if letters <= SENT_LETTERS else index.hint("merge"), "gram").select("key", "lname", "place")
+    return likely.join(texts.hint("merge"), "key").filter(F.contains("text", F.col("lname"))).groupBy("key").agg(F.min("place").alias("place"))

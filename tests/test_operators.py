@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gleaner import constants
 from gleaner.operators import dedupe, ingest, spillover, taxonomy
 from gleaner.operators.geo import match_country_state_ids
+from gleaner.operators.mentions import first_mention
 from gleaner.operators.ranking import global_position, top_n
 
 
@@ -202,3 +203,14 @@ def test_geo_ids(spark):
     assert ids == {
         ("Ontario", "Canada"): ("3", "1"), ("Nevada", ""): ("4", "2"), ("Nevada", "Canada"): (None, "1"), ("", "usa"): (None, "2"), ("x", "y"): (None, None),
     }
+
+
+def test_many_names_are_not_sent_whole(spark):
+    # Their file is far below the size up to which Spark sends a table to all tasks.
+    names = spark.range(60_000).select(F.format_string("%010d-%06d", F.col("id") % 6_000, F.col("id")).alias("lname"), F.col("id").alias("place"))
+    texts = spark.range(3).select(F.col("id").alias("key"), F.format_string("fits %010d-%06d of it", "id", F.col("id") + 6_000).alias("text"))
+    found = first_mention(texts, names)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 6_000), (1, 6_001), (2, 6_002)]
+    few = first_mention(texts, names.filter("place in (6000, 6001)"))
+    assert sorted(tuple(r) for r in few.collect()) == [(0, 6_000), (1, 6_001)]
