@@ -5,8 +5,10 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from gleaner.functions import markup
 from gleaner.functions import contacts as C
 from gleaner.functions import geo as G
 from gleaner.functions import text as T
@@ -165,3 +167,13 @@ def test_person_fields(spark):
     ]
     found = evaluate(spark, C.person_fields, [lines for lines, _ in cases], "array<string>")
     assert [tuple(f) for f in found] == [expected for _, expected in cases]
+
+
+def test_nodes_of_a_batch_come_in_bounded_runs():
+    page = "<p>" + "word " * 2_000 + "</p>"
+    htmls, urls = pa.array([page, None, "", page + page * 30] + [page] * 200), pa.array(["https://a.example.com/"] * 204)
+    runs = list(markup.node_runs(iter([(htmls, urls), (htmls.slice(0, 0), urls.slice(0, 0))]), False))
+    assert len(runs) > 10 and max(len(run) for run in runs) < 25
+    expected = [markup.read_nodes(html, "https://a.example.com/", False) for html in htmls.to_pylist()]
+    found = [nodes for run in runs for nodes in run.to_pylist()]
+    assert [[(n["tag"], n["text"], n["last"]) for n in nodes] for nodes in found] == [[(n["tag"], n["text"], n["last"]) for n in nodes] for nodes in expected]
