@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from catalog.common import pages
 from catalog.feeds import FEED_TYPES
 from catalog.pages import LETTERS_SQL
+from gleaner.functions.staging import settled
 from gleaner.operators.dedupe import known_urls
 from gleaner.plans.classify import classify_stored
 from gleaner.plans.ingest import scheduled_ingest
@@ -223,9 +224,9 @@ def _scheduled(spark, d):
     feeds = ",".join(f'{{"url":"https://feeds.example.com/{kind}"}}' for kind in FEED_TYPES)
     configs = spark.createDataFrame([("1", "m1", f'{{"feeds":[{feeds}]}}')], "id string, micrositeId string, config string")
     sites = spark.createDataFrame([("m1", "owner-1")], "id string, userId string")
-    events = read_table(spark, d, "events", spread=True)
     url = F.concat(F.lit("https://jobs.example.com/"), F.get_json_object("props", "$.k"))
-    links = events.select(F.concat(F.lit("https://feeds.example.com/"), "event_type").alias("feed_url"), url.alias("url"), F.col("event_id").alias("pos")).filter("url is not null")
+    events = settled(read_table(spark, d, "events", spread=True).select("event_id", "event_type", "props"), {"url": url})
+    links = events.select(F.concat(F.lit("https://feeds.example.com/"), "event_type").alias("feed_url"), "url", F.col("event_id").alias("pos")).filter("url is not null")
     records = links.select(F.col("url").alias("source_url")).distinct().withColumns({"job_title": F.concat(F.lit("Job "), F.substring_index("source_url", "/", -1)), "location": F.lit("")})
     posts = records.select("source_url").filter(F.endswith("source_url", F.lit("7")))
     return scheduled_ingest(configs, sites, links, records, posts, RUN)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner import constants as K
 from gleaner.functions.records import post_rows
+from gleaner.functions.staging import settled
 from gleaner.functions.urls import url_key
 from gleaner.operators.dedupe import anti_known, anti_known_raw, first_per_key, known_urls
 from gleaner.operators.ingest import explode_feeds, ingest_summary, keep_records, owner_for_site
@@ -36,11 +37,14 @@ def scheduled_ingest(
     """
     feeds = owner_for_site(explode_feeds(configs), sites).withColumn("config_no", F.coalesce(F.col("config_id").try_cast("long"), F.lit(-1).cast("long")))
     known = known_urls(posts, K.SOURCE_URL_ALIASES)
-    listed = feeds.join(links, "feed_url").withColumn("url_key", url_key(F.col("url")))
-    listed = listed.filter((F.col("url_key") != "") & (F.col("url_key") != url_key(F.col("feed_url"))))
+    # Settled, as the optimizer would work the identity out once more in each filter, and do so before a table is spread. Ahead of the join,
+    # as a few feeds' names leave few tasks.
+    links = settled(links, {"url_key": url_key(F.col("url"))}).filter("url_key <> ''")
+    listed = feeds.withColumn("_feed_key", url_key(F.col("feed_url"))).join(links, "feed_url")
+    listed = listed.filter(F.col("url_key") != F.col("_feed_key")).drop("_feed_key")
     fresh = anti_known(first_per_key(listed, [*FEED, "url_key"], "pos"), known, key="url_key")
 
-    by_key = records.withColumn("url_key", url_key(F.col("source_url")))
+    by_key = settled(records, {"url_key": url_key(F.col("source_url"))})
     by_key = first_per_key(by_key, "url_key", "source_url")
     scraped = cut_lineage(keep_records(fresh.join(by_key, "url_key"), "filter_location"))
     new = anti_known_raw(scraped, known, "source_url")
