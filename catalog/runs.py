@@ -16,7 +16,7 @@ from gleaner.operators.dedupe import known_urls
 from gleaner.plans.classify import classify_stored
 from gleaner.plans.ingest import scheduled_ingest
 from gleaner.plans.listing import detail_records, kept_records, two_phase_records
-from gleaner.session import checkpoint_dir, cut_lineage
+from gleaner.session import checkpoint_dir, write_table
 from gleaner.sources import sinks, tables
 from gleaner.sources.posts import append_posts, read_posts
 from gleaner.sources.tables import read_table
@@ -142,23 +142,24 @@ select 'https://jobs.example.com/' || o_orderkey || '?r=1' as source_url, o_orde
 
 
 def q_stream_first(spark, d):
-    """Events arrive in four files. Each comes twice in its file, the last ones of a file again in the next, and old ones at the very end."""
+    """Events arrive in four parts, one run each. Each comes twice in its part, the last ones of a part again in the next, and old ones at the very end."""
     root = _folder(spark)
-    events = read_table(spark, d, "events")
+    events = read_table(spark, d, "events", spread=True)
     part = F.floor(F.col("event_id") * 4 / events.count()) + 1  # events are numbered in the order of their time
     events = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), part.alias("part"))
     url = F.concat(F.lit("https://jobs.example.com/"), F.col("event_id").cast("string"))
-    events = cut_lineage(events)
+    events = write_table(events)
     for part in range(1, 5):
         own = events.filter(F.col("part") == part).select(url.alias("url"), "ts")
         rows = own.unionByName(own.withColumn("url", F.concat("url", F.lit("?again=1"))))
         rows = rows.unionByName(events.filter(F.col("part") == part - 1).orderBy(F.desc("ts")).limit(50).select(F.concat(url, F.lit("#next")).alias("url"), "ts"))
         if part == 4:
             rows = rows.unionByName(events.filter("part = 1").select(F.concat(url, F.lit("/late")).alias("url"), "ts"))
-        rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = streaming.stream_first_per_key(streaming.read_arrivals(spark, f"{root}/in", "url string, ts timestamp", 1), event_time="ts", delay="1 hour")
-    run = stream.select("url_key").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
-    run.awaitTermination()
+        rows.write.mode("append").parquet(f"{root}/in")
+        # A run reads all files of its part as one batch, so none of them is late because of another.
+        stream = streaming.stream_first_per_key(streaming.read_arrivals(spark, f"{root}/in", "url string, ts timestamp"), event_time="ts", delay="1 hour")
+        run = stream.select("url_key").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.schema("url_key string").parquet(f"{root}/out")
 
 

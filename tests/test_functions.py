@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-import pytest
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions import markup
 from gleaner.functions import contacts as C
 from gleaner.functions import geo as G
+from gleaner.functions import markup
 from gleaner.functions import text as T
 from gleaner.functions import urls as U
 
