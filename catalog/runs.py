@@ -129,9 +129,11 @@ def q_stream_ingest(spark, d):
         F.concat(F.lit("https://jobs.example.com/"), F.col("o_orderkey").cast("string"), F.lit("?r=1")).alias("source_url"), F.col("o_orderpriority").alias("job_title"),
         F.lit("").alias("location"), F.format_string("feed-%02d", F.col("o_custkey") % 20).alias("feed_url"), F.col("o_orderkey").alias("pos"),
     )
-    records.repartition(3, "pos").write.parquet(f"{root}/in")
+    # Three batches, each of as many files as there are cores.
+    files = spark.sparkContext.defaultParallelism
+    records.repartition(3 * files, "pos").write.parquet(f"{root}/in")
     for _ in range(2):
-        stream = streaming.read_arrivals(spark, f"{root}/in", records.schema, files_per_batch=1)
+        stream = streaming.read_arrivals(spark, f"{root}/in", records.schema, files_per_batch=files)
         streaming.incremental_ingest(stream, f"{root}/posts", f"{root}/check", RUN).awaitTermination()
     return read_posts(spark, f"{root}/posts").select("source_url", F.col("jobTitle").alias("job_title"))
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from gleaner import constants as K
+from gleaner.functions.staging import settled
 from gleaner.functions.urls import url_key
 from gleaner.operators.dedupe import anti_keys, first_per_key
 from gleaner.operators.ingest import keep_records
@@ -84,7 +85,8 @@ def incremental_ingest(
         parts = list_folders(spark, folder)
         if not parts:
             return
-        waiting = spark.read.schema(stream.schema).parquet(*parts).withColumn("_page", url_key(F.col("source_url")))
+        # Settled, so that each page identity is worked out once and not again in each filter.
+        waiting = settled(spark.read.schema(stream.schema).parquet(*parts), {"_page": url_key(F.col("source_url"))})
         # Only the buckets of the waiting pages are read, and none of the posts.
         waiting = anti_keys(waiting, known_pages(spark, posts_path, waiting.select("_page")), "_page")
         waiting = cut_lineage(first_per_key(waiting, [group, "_page"], order))

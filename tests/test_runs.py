@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from catalog import runs
 from gleaner.operators.company import company_profile
+from gleaner.plans import ingest as ingest_plan
 from gleaner.plans import listing
 from gleaner.plans.ingest import scheduled_ingest
 from gleaner.sources import posts as posts_store
@@ -497,3 +499,34 @@ def test_ensure_columns(spark):
 
     wanted = StructType.fromDDL("a string, b int")
     assert ensure_columns(spark.createDataFrame([("x",)], "a string"), wanted).first().asDict() == {"a": "x", "b": None}
+
+
+def test_arrivals_of_a_batch_are_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "_folder", lambda _: f"{tmp_path}/run")
+    spark.range(400).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 40).alias("o_custkey"), F.lit("1-URGENT").alias("o_orderpriority")
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    assert runs.q_stream_ingest(spark, str(tmp_path)).count() == 400
+    assert len(list((tmp_path / "run/in").glob("part-*.parquet"))) > 3
+
+
+def test_parts_of_events_are_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "_folder", lambda _: f"{tmp_path}/run")
+    events = spark.range(1000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1.7e9) + F.col("id") * 60).alias("ts"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    found = [r.url_key for r in runs.q_stream_first(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(f"https://jobs.example.com/{i}" for i in range(1000))
+    assert len(list((tmp_path / "run/in").glob("part-*.parquet"))) > 4
+
+
+def test_page_identities_are_not_worked_out_in_filters(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(ingest_plan, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    configs = spark.createDataFrame([("1", "m1", '{"feeds":[{"url":"https://f.example.com/a"}]}')], "id string, micrositeId string, config string")
+    sites = spark.createDataFrame([("m1", "o1")], "id string, userId string")
+    listed = spark.range(20).repartition(4).select(F.lit("https://f.example.com/a").alias("feed_url"), F.format_string("https://j.example.com/%d?x=1", "id").alias("url"), F.col("id").alias("pos"))
+    records = listed.select(F.col("url").alias("source_url"), F.lit("Cook").alias("job_title"), F.lit("").alias("location"))
+    posts = spark.createDataFrame([("https://j.example.com/3?x=2",)], "source_url string")
+    rows, _ = ingest_plan.scheduled_ingest(configs, sites, listed, records, posts, datetime(2024, 6, 1))
+    assert rows.count() == 10
+    assert not [line for line in plans[0].splitlines() if "Filter" in line and "opportunityId" in line and "j.example.com" in line]
