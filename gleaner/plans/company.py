@@ -11,7 +11,7 @@ from gleaner import constants as K
 from gleaner.functions.markup import parse_nodes
 from gleaner.functions.records import extract_with_model
 from gleaner.functions.staging import settled
-from gleaner.functions.text import strip_space, truncate_text
+from gleaner.functions.text import strip_space
 from gleaner.operators.company import company_profile
 from gleaner.operators.pages import page_lines
 from gleaner.session import cut_lineage
@@ -27,9 +27,8 @@ ASK_CONTACTS = (
 
 
 def _prompt(ask: str, url: Column, text: Column) -> Column:
-    """The question about a page; NULL where it has no text, so that nothing is asked."""
-    cut = truncate_text(text, K.COMPANY_TEXT_LIMIT)
-    return F.when(strip_space(text) != "", F.concat(F.lit(ask + "Page: "), F.coalesce(url, F.lit("")), F.lit("\nText:\n"), cut))
+    """The question about a page with its whole text; NULL where it has none, so that nothing is asked."""
+    return F.when(strip_space(text) != "", F.concat(F.lit(ask + "Page: "), F.coalesce(url, F.lit("")), F.lit("\nText:\n"), text))
 
 
 def ask_company_pages(companies: DataFrame, open_model: Callable[[], Callable[[str], str]]) -> DataFrame:

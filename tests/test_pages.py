@@ -237,3 +237,22 @@ def test_unknown_marked_sections_do_not_lose_a_page(spark):
     rows = frame(spark, "<![foo<p>lost</p>", "<p>a</p><![ x]><p>b</p>", "<![CDATA[kept]]><p>c</p>", "<![if IE]><p>d</p><![endif]>")
     assert [r.page_text for r in pages.page_text(rows).orderBy("page_id").collect()][:2] == ["lost", "a\nb"]
     assert pages.html_nodes(rows).select("page_id").distinct().count() == 4
+
+
+def test_company_model_reads_whole_texts(spark):
+    import json
+
+    from gleaner.plans.company import profiles_with_model
+
+    def last_line_model():
+        def answer(prompt: str) -> str:
+            last = prompt.rsplit("\n", 1)[-1]
+            return json.dumps({"regions": [{"name": last}]} if "regions" in prompt.split("Page: ")[0] else {"description": last})
+
+        return answer
+
+    about, contact = (f"<p>{'filler words ' * 2_000}</p><p>{end}</p>" for end in ("The last of us.", "Last office"))
+    row = (1, "https://h.com/", "<p>home</p>", "https://h.com/about", about, "https://h.com/contact", contact)
+    columns = "company_id long, home_url string, home_html string, about_url string, about_html string, contact_url string, contact_html string"
+    found = profiles_with_model(spark.createDataFrame([row], columns), last_line_model).first()
+    assert (found.about.description, [r.name for r in found.regions]) == ("The last of us.", ["Last office"])
