@@ -101,8 +101,9 @@ def match_category_mention(jobs: DataFrame, selectable: DataFrame, text: Column,
 
     Equal texts are searched once, whatever number of jobs has them.
     """
-    hashed = jobs.withColumn("_text_hash", F.sha2(text if where is None else F.when(where, text), 256))
-    texts = hashed.filter(F.col("_text_hash").isNotNull()).select(F.col("_text_hash").alias("key"), text.alias("text")).dropDuplicates(["key"])
+    # Half of the hash, in bytes: the keys are most of what is shuffled.
+    hashed = jobs.withColumn("_text_hash", F.substring(F.unhex(F.sha2(text if where is None else F.when(where, text), 256)), 1, 16))
+    texts = hashed.filter(F.col("_text_hash").isNotNull()).select(F.col("_text_hash").alias("key"), text.alias("text"))
     places = selectable.filter("name != ''").select(category_place().alias("place"))
     found = first_mention(texts, places.select("place.lname", "place")).select(F.col("key").alias("_found_hash"), F.col("place").alias(out))
     joined = hashed.drop(out).join(found, F.col("_text_hash") == F.col("_found_hash"), "left")

@@ -214,3 +214,18 @@ def test_many_names_are_not_sent_whole(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(0, 6_000), (1, 6_001), (2, 6_002)]
     few = first_mention(texts, names.filter("place in (6000, 6001)"))
     assert sorted(tuple(r) for r in few.collect()) == [(0, 6_000), (1, 6_001)]
+
+
+def test_many_names_are_cut_to_those_that_texts_may_hold(spark):
+    from gleaner.operators.mentions import mention_index
+
+    words = [f"{'äb'[i % 2]}{i * 7919 % 1_000_003:06d}-{i % 83}" for i in range(12_000)] + ["é-4", "x", "zz"]
+    names = spark.range(12_003).select(F.element_at(F.lit(words), (F.col("id") + 1).cast("int")).alias("lname"), F.lit("p" * 100).alias("unused"), F.col("id").alias("place"))
+    ends = [*words[5:12_000:1_500], "é-4", "x1"]
+    rows = [(i, ("filler " * (7 * i) + ends[i % len(ends)] + "9 tail")) for i in range(40)] + [(99, ""), (98, "none"), (97, None)]
+    texts = spark.createDataFrame(rows + rows[:5], "key int, text string")
+    expected = {key: min((at for at, word in enumerate(words) if word in (text or "")), default=None) for key, text in rows}
+    found = first_mention(texts, names).collect()
+    assert {r.key: r.place for r in found} == {key: at for key, at in expected.items() if at is not None} and len(found) == 40
+    # A gram of five letters would stand for many of so many names.
+    assert mention_index(names).filter(F.length("lname") > 6).agg(F.min(F.length("gram"))).first()[0] == 6
